@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.llm import bpe, quality
-from shelfrank.llm.common import table
+from shelfrank.llm import bpe, chat, decontaminate, quality, secrets, urls
+from shelfrank.llm.common import shared_dir, table
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.fit(urls.labelled(spark)))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +26,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op8_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.Ledger(spark, shared_dir(spark))
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), ledger))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op4_quality_rules, op8_byte_bpe, op9_secret_scans, op10_chat_formatting)}
+ORACLES: dict[str, str] = {"op10_chat_formatting": chat.ORACLE}
