@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.llm import bpe, chat, decontaminate, quality, secrets, urls
+from shelfrank.llm import bpe, chat, decontaminate, near_dedup, quality, secrets, urls
 from shelfrank.llm.common import shared_dir, table
 
 
@@ -22,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,5 +39,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op4_quality_rules, op8_byte_bpe, op9_secret_scans, op10_chat_formatting)}
-ORACLES: dict[str, str] = {"op10_chat_formatting": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op4_quality_rules, op5_minhash_dedup, op8_byte_bpe, op9_secret_scans, op10_chat_formatting)}
+ORACLES: dict[str, str] = {"op5_minhash_dedup": near_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
