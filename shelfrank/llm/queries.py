@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.llm import bpe, chat, decontaminate, near_dedup, quality, secrets, urls
+from shelfrank.llm import bpe, chat, decontaminate, exact_substrings, html, language_model, near_dedup, quality, secrets, urls
 from shelfrank.llm.common import shared_dir, table
 
 
@@ -16,6 +16,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -26,6 +30,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,5 +51,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op4_quality_rules, op5_minhash_dedup, op8_byte_bpe, op9_secret_scans, op10_chat_formatting)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_decontamination,
+        op3_html_extraction,
+        op4_quality_rules,
+        op5_minhash_dedup,
+        op6_suffix_dedup,
+        op7_lm_scoring,
+        op8_byte_bpe,
+        op9_secret_scans,
+        op10_chat_formatting,
+    )
+}
 ORACLES: dict[str, str] = {"op5_minhash_dedup": near_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
