@@ -2,8 +2,61 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfrank.llm import bpe, decontaminate, near_dedup, quality, secrets
+from shelfrank.llm.common import cut, if_small, table
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rule or that the classifier rejects."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents linked by 0.8 of their five-word shingles, the one with the smallest id; a row without id stays."""
+    groups = near_dedup.group(docs, k=5, percent=80)
+    kept = if_small(cut(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))))
+    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(if_small(cut(found.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of every secret."""
+    return secrets.redact(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and digests of them and of what they decode to."""
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The stages use a fitted classifier, sketches and a tokenizer, which SQL can't express; the tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
