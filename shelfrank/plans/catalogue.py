@@ -1,6 +1,532 @@
-"""All registered queries of the retrieval engine, with their SQL."""
+"""All registered queries of the retrieval engine on the test tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfrank.functions import text as t
+from shelfrank.operators import audit, constraints, dense, evidence, fusion, graph, lexical, popularity, preprocess, profile
+from shelfrank.plans.oracle_parts import BM25, EVIDENCE, FUSION, GRAPH, TOKENS
+from shelfrank.sources import files
+from shelfrank.sources import testdata as td
+from shelfrank.sources.testdata import with_sql
+from shelfrank.streaming.evidence_index import chunk_reviews
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+BASE = ("interactions", "splits")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Popularity and ranking metrics.
+
+
+def _popularity_sql(split: str, seen: str) -> str:
+    return with_sql(*BASE) + f""", pop AS (SELECT parent_asin, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, parent_asin) AS r FROM splits WHERE split = 'train' GROUP BY parent_asin),
+seen AS (SELECT user_id, parent_asin FROM splits WHERE split IN ({seen})),
+t AS (SELECT user_id, parent_asin FROM splits WHERE split = '{split}'),
+h AS (SELECT t.user_id, COUNT(seen.user_id) AS h FROM t LEFT JOIN seen ON seen.user_id = t.user_id GROUP BY 1),
+cand AS (SELECT h.user_id, pop.parent_asin, pop.r FROM h JOIN pop ON pop.r <= 10 + h.h),
+fr AS (SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY cand.user_id ORDER BY r) AS rk FROM cand ANTI JOIN seen ON cand.user_id = seen.user_id AND cand.parent_asin = seen.parent_asin)
+SELECT 'popularity' AS model, '{split}' AS split, 10 AS k, COUNT(*) AS users,
+       ROUND(CAST(AVG(CASE WHEN fr.rk <= 10 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS recall,
+       ROUND(CAST(AVG(CASE WHEN fr.rk <= 10 THEN 1.0 / LOG2(fr.rk + 1) ELSE 0.0 END) AS DOUBLE), 6) AS ndcg,
+       ROUND(CAST(AVG(CASE WHEN fr.rk <= 10 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS hit_rate
+FROM t LEFT JOIN fr ON t.user_id = fr.user_id AND t.parent_asin = fr.parent_asin"""
+
+
+@query(_popularity_sql("test", "'train', 'valid'"))
+def popularity_metrics(spark, root):
+    return popularity.evaluate_popularity(td.splits(spark, root), "test")
+
+
+@query(_popularity_sql("valid", "'train'"))
+def popularity_metrics_valid(spark, root):
+    return popularity.evaluate_popularity(td.splits(spark, root), "valid")
+
+
+@query(with_sql(*BASE) + """, pop AS (SELECT parent_asin, COUNT(*) AS score, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, parent_asin) AS r FROM splits WHERE split = 'train' GROUP BY parent_asin),
+seen AS (SELECT user_id, parent_asin FROM splits WHERE split = 'train'),
+h AS (SELECT u.user_id, COUNT(seen.user_id) AS h FROM (SELECT DISTINCT user_id FROM splits) u LEFT JOIN seen ON seen.user_id = u.user_id GROUP BY 1),
+cand AS (SELECT h.user_id, pop.parent_asin, pop.r, pop.score FROM h JOIN pop ON pop.r <= 10 + h.h),
+fr AS (SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY cand.user_id ORDER BY r) AS rk FROM cand ANTI JOIN seen ON cand.user_id = seen.user_id AND cand.parent_asin = seen.parent_asin)
+SELECT user_id, parent_asin, CAST(rk AS INTEGER) AS rank, score FROM fr WHERE rk <= 10""")
+def popularity_top_k(spark, root):
+    splits = td.splits(spark, root)
+    return popularity.popularity_top_k(splits.where("split = 'train'"), splits, 10)
+
+
+@query(with_sql(*BASE) + "SELECT parent_asin, COUNT(*) AS n FROM splits WHERE split = 'train' GROUP BY parent_asin")
+def item_counts(spark, root):
+    return popularity.item_counts(td.splits(spark, root).where("split = 'train'"))
+
+
+@query(with_sql("interactions") + "SELECT DISTINCT user_id, parent_asin FROM interactions")
+def user_history(spark, root):
+    return popularity.user_history(td.interactions(spark, root))
+
+
+@query(with_sql(*BASE) + """, m AS (SELECT split, k, COUNT(*) AS users, ROUND(AVG(CASE WHEN CAST(parent_asin AS INT) % k = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS recall FROM splits, (VALUES (10), (20), (50)) AS ks(k) WHERE split <> 'train' GROUP BY split, k)
+SELECT 'parity' AS model, split, MAX(users) AS users, MAX(recall) FILTER (k = 10) AS recall_at_10, MAX(recall) FILTER (k = 20) AS recall_at_20, MAX(recall) FILTER (k = 50) AS recall_at_50,
+ MAX(recall) FILTER (k = 10) AS ndcg_at_10, MAX(recall) FILTER (k = 20) AS ndcg_at_20, MAX(recall) FILTER (k = 50) AS ndcg_at_50, MAX(recall) FILTER (k = 10) AS hit_rate_at_10, MAX(recall) FILTER (k = 20) AS hit_rate_at_20, MAX(recall) FILTER (k = 50) AS hit_rate_at_50
+FROM m GROUP BY split""")
+def merge_metrics(spark, root):
+    rows = td.splits(spark, root).where("split <> 'train'").select("split", "parent_asin", F.explode(F.array(F.lit(10), F.lit(20), F.lit(50))).alias("k"))
+    hit = (F.col("parent_asin").cast("int") % F.col("k") == 0).cast("double")
+    one = rows.groupBy("split", "k").agg(F.count("*").alias("users"), F.round(F.avg(hit), 6).alias("recall"))
+    return popularity.merge_metrics(one.select(F.lit("parity").alias("model"), "split", "k", "users", "recall", F.col("recall").alias("ndcg"), F.col("recall").alias("hit_rate")), [10, 20, 50])
+
+
+# Preprocessing.
+
+
+@query(with_sql(*BASE) + "SELECT parent_asin, COUNT(*) FILTER (split = 'train') AS train_count FROM splits GROUP BY parent_asin ORDER BY train_count DESC, parent_asin LIMIT 500")
+def select_catalog(spark, root):
+    return preprocess.select_catalog(td.splits(spark, root), 500)
+
+
+_CATALOG = ", catalog AS (SELECT parent_asin FROM splits GROUP BY parent_asin ORDER BY COUNT(*) FILTER (split = 'train') DESC, parent_asin LIMIT 500)"
+
+
+@query(with_sql(*BASE) + _CATALOG + "SELECT split, COUNT(*) AS kept FROM splits SEMI JOIN catalog ON catalog.parent_asin = splits.parent_asin GROUP BY split")
+def keep_catalog(spark, root):
+    splits = td.splits(spark, root)
+    return preprocess.keep_catalog(splits, preprocess.select_catalog(splits, 500)).groupBy("split").agg(F.count("*").alias("kept"))
+
+
+_RAW_SPLITS = ", raw AS (SELECT *, CASE l_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM (SELECT * FROM interactions UNION ALL SELECT * FROM interactions WHERE l_orderkey % 3 = 0) z)"
+
+
+def _raw_splits(spark, root):
+    rows = td.interactions(spark, root)
+    both = rows.unionByName(rows.where("l_orderkey % 3 = 0"))
+    return both.withColumn("split", F.when(F.col("l_orderkey") % 10 == 0, "test").when(F.col("l_orderkey") % 10 == 1, "valid").otherwise("train"))
+
+
+@query(with_sql("interactions") + _RAW_SPLITS + """, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, parent_asin, rating, ts ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, l_orderkey, l_linenumber) AS r FROM raw)
+SELECT user_id, parent_asin, rating, ts, split FROM n WHERE r = 1""")
+def dedupe_interactions(spark, root):
+    return preprocess.dedupe_interactions(_raw_splits(spark, root), ["l_orderkey", "l_linenumber"]).select("user_id", "parent_asin", "rating", "ts", "split")
+
+
+@query(with_sql("interactions") + _RAW_SPLITS + """, catalog AS (SELECT parent_asin FROM raw GROUP BY parent_asin ORDER BY COUNT(*) FILTER (split = 'train') DESC, parent_asin LIMIT 500),
+n AS (SELECT raw.*, catalog.parent_asin IS NOT NULL AS inside, ROW_NUMBER() OVER (PARTITION BY user_id, raw.parent_asin, rating, ts ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, l_orderkey, l_linenumber) AS r FROM raw LEFT JOIN catalog ON catalog.parent_asin = raw.parent_asin)
+SELECT split, COUNT(*) AS source_rows, COUNT(*) FILTER (NOT inside) AS filtered_rows, COUNT(*) FILTER (inside AND r > 1) AS duplicate_rows, COUNT(*) FILTER (inside AND r = 1) AS retained_rows,
+COUNT(DISTINCT CASE WHEN inside AND r = 1 THEN user_id END) AS users FROM n GROUP BY split""")
+def preprocess_stats(spark, root):
+    raw = _raw_splits(spark, root)
+    return preprocess.preprocess_stats(raw, preprocess.select_catalog(raw, 500), ["l_orderkey", "l_linenumber"])
+
+
+@query(with_sql(*BASE) + "SELECT split, user_id, MIN(ts) AS min_ts, MAX(ts) AS max_ts FROM splits GROUP BY split, user_id")
+def time_bounds(spark, root):
+    return preprocess.time_bounds(td.splits(spark, root))
+
+
+@query(with_sql(*BASE) + """, b AS (SELECT split, user_id, MIN(ts) AS lo, MAX(ts) AS hi FROM splits GROUP BY 1, 2)
+SELECT x.split AS earlier, y.split AS later, COUNT(*) AS comparisons, COUNT(*) FILTER (x.hi > y.lo) AS violations FROM b x JOIN b y ON x.user_id = y.user_id
+WHERE (x.split, y.split) IN (('train', 'valid'), ('valid', 'test'), ('train', 'test')) GROUP BY 1, 2""")
+def check_chronology(spark, root):
+    return preprocess.check_chronology(td.splits(spark, root))
+
+
+@query(with_sql("interactions", "splits") + """SELECT a.parent_asin, p_name AS title, p_brand AS brand FROM (SELECT DISTINCT parent_asin FROM splits) a LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = a.parent_asin AND p_partkey % 5 <> 0""")
+def attach_metadata(spark, root):
+    raw = td.items(spark, root).where(F.col("parent_asin").cast("long") % 5 != 0)
+    twice = raw.withColumn("seq", F.lit(1)).unionByName(raw.withColumns({"title": F.lit("later"), "seq": F.lit(2)}))
+    return preprocess.attach_metadata(td.splits(spark, root).select("parent_asin").distinct(), twice, ["seq"]).select("parent_asin", "title", "brand")
+
+
+@query(with_sql("reviews") + """, u AS (SELECT *, CAST(substr(asin, 2) AS BIGINT) AS seq FROM reviews WHERE trim(text) <> ''),
+low AS (SELECT *, 0 AS block, ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY verified_purchase DESC, helpful_vote DESC, ts DESC, seq DESC) AS place FROM u WHERE rating <= 3 QUALIFY place <= 2),
+top AS (SELECT *, 1 AS block, ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY verified_purchase DESC, helpful_vote DESC, ts DESC, seq DESC) AS place FROM u QUALIFY place <= 5),
+once AS (SELECT * FROM (SELECT * FROM low UNION ALL SELECT * FROM top) QUALIFY ROW_NUMBER() OVER (PARTITION BY parent_asin, asin, user_id, ts, title, text ORDER BY block, place) = 1)
+SELECT parent_asin, asin, CAST(ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY block, place) AS INTEGER) AS position, block = 0 AS low_list FROM once QUALIFY position <= 5""")
+def select_reviews(spark, root):
+    rows = td.reviews(spark, root).withColumn("seq", F.substring("asin", 2, 20).cast("long"))
+    return preprocess.select_reviews(rows, 5, 2).select("parent_asin", "asin", "position", "low_list")
+
+
+@query(with_sql("reviews") + """SELECT asin, 'rvw_' || substr(sha256('[' || to_json(parent_asin) || ',' || to_json(asin) || ',' || to_json(user_id) || ',' || ts || ',' || to_json(title) || ',' || to_json(text) || ']'), 1, 32) AS review_id FROM reviews""")
+def review_ids(spark, root):
+    return preprocess.with_review_ids(td.reviews(spark, root)).select("asin", "review_id")
+
+
+@query(with_sql(*BASE, "items") + "SELECT parent_asin FROM (SELECT parent_asin FROM splits WHERE split = 'train' UNION SELECT parent_asin FROM splits WHERE split = 'valid' UNION SELECT parent_asin FROM splits WHERE split = 'test')")
+def union_of_splits(spark, root):
+    s = td.splits(spark, root)
+    of = lambda name: s.where(F.col("split") == name).select("parent_asin")
+    return of("train").unionByName(of("valid")).unionByName(of("test")).distinct()
+
+
+@query(with_sql(*BASE, "items") + "SELECT parent_asin FROM items EXCEPT SELECT parent_asin FROM splits WHERE split = 'test'")
+def catalog_minus(spark, root):
+    return td.items(spark, root).select("parent_asin").subtract(td.splits(spark, root).where("split = 'test'").select("parent_asin"))
+
+
+@query(with_sql(*BASE) + "SELECT user_id FROM splits WHERE split = 'train' INTERSECT SELECT user_id FROM splits WHERE split = 'test'")
+def shared_users(spark, root):
+    s = td.splits(spark, root)
+    return s.where("split = 'train'").select("user_id").intersect(s.where("split = 'test'").select("user_id"))
+
+
+@query(with_sql("items") + "SELECT * FROM items ORDER BY parent_asin LIMIT 20")
+def preview(spark, root):
+    return files.preview(td.items(spark, root), 20)
+
+
+# Text functions.
+
+
+@query(TOKENS + "SELECT doc_id, COUNT(*) AS n_tokens, COUNT(DISTINCT term) AS n_terms FROM tok GROUP BY doc_id")
+def tokenize(spark, root):
+    tok = td.read_table(spark, root, "documents", ["doc_id", "text"]).select("doc_id", F.explode(t.tokenize(F.col("text"))).alias("term"))
+    return tok.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+
+
+@query(r"""SELECT item_id, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS cjk, 'FREE-' || upper(substr(sha256(trim(text)), 1, 10)) AS query_id, replace(lower(trim(text)), 'ß', 'ss') AS key,
+TRY_CAST(replace(nullif(regexp_extract('about $' || (item_id * 1234.5)::VARCHAR || ' now', '\d[\d,]*(?:\.\d+)?'), ''), ',', '') AS DOUBLE) AS price FROM benchmark""")
+def text_functions(spark, root):
+    c = F.col("text")
+    price = t.parse_price(F.concat(F.lit("about $"), (F.col("item_id") * F.lit(1234.5).cast("decimal(5,1)")).cast("string"), F.lit(" now")))
+    return td.read_table(spark, root, "benchmark").select("item_id", t.is_cjk(c).alias("cjk"), t.free_query_id(c).alias("query_id"), t.norm_key(c).alias("key"), price.alias("price"))
+
+
+@query(r"""SELECT doc_id, nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS text, list_filter(list_transform(string_split(text, '.'), lambda x: nullif(regexp_replace(x, '^\s+|\s+$', '', 'g'), '')), lambda x: x IS NOT NULL) AS parts FROM documents""")
+def norm_text_and_lists(spark, root):
+    return td.read_table(spark, root, "documents").select("doc_id", t.norm_text(F.col("text")).alias("text"), t.norm_list(F.split("text", r"\.")).alias("parts"))
+
+
+@query(with_sql("items") + """SELECT parent_asin, 'Title: ' || title || chr(10) || 'Brand: ' || brand || chr(10) || 'Main Category: ' || category || chr(10) || 'Categories: ' || category || ' | ' || color || chr(10) || 'Features: ' || title || chr(10)
+|| 'Details: Color: "' || color || '" | Size: ' || length(title) || chr(10) || 'Description: ' AS document FROM items""")
+def product_documents(spark, root):
+    df = td.items(spark, root)
+    details = F.to_json(F.struct(F.length("title").alias("Size"), F.col("color").alias("Color")))
+    document = t.product_document(F.col("title"), F.col("brand"), F.col("category"), F.array("category", "color"), F.array("title"), details, F.lit(None).cast("string"))
+    return df.select("parent_asin", document.alias("document"))
+
+
+@query(with_sql("reviews") + r""", r AS (SELECT asin AS review_id, parent_asin, regexp_extract_all('Review title: ' || title || chr(10) || 'Rating: ' || rating || chr(10) || 'Review text: ' || regexp_replace(text, '^\s+|\s+$', '', 'g'), '\S+') AS w FROM reviews WHERE trim(text) <> ''),
+c AS (SELECT *, unnest(range(0, greatest(len(w) - 64, 1), 320)) AS s FROM r)
+SELECT review_id || '#chunk_' || (s // 320) AS chunk_id, parent_asin, 'passage: ' || array_to_string(w[s + 1:s + 384], ' ') AS chunk_text FROM c""")
+def chunk_reviews_(spark, root):
+    return chunk_reviews(td.reviews(spark, root).withColumn("review_id", F.col("asin"))).select("chunk_id", "parent_asin", "chunk_text")
+
+
+# Profiles.
+
+
+@query(with_sql("items") + """, m AS (SELECT COUNT(*) AS rows, COUNT(*) FILTER (title IS NULL OR title = '') AS t, COUNT(*) FILTER (brand IS NULL OR brand = '') AS b, COUNT(*) FILTER (price IS NULL) AS p FROM items)
+SELECT field, rows, missing, ROUND(missing / rows, 6) AS missing_ratio FROM (SELECT 'title' AS field, rows, t AS missing FROM m UNION ALL SELECT 'brand', rows, b FROM m UNION ALL SELECT 'price', rows, p FROM m)""")
+def quality_report(spark, root):
+    return profile.quality_report(td.items(spark, root), ["title", "brand", "price"])
+
+
+@query(with_sql("items") + """SELECT lower(brand) AS brand_key, arg_min(brand, CAST(parent_asin AS BIGINT)) AS brand, arg_min(parent_asin, CAST(parent_asin AS BIGINT)) AS example, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM items), 6) AS share FROM items WHERE brand IS NOT NULL GROUP BY 1""")
+def brand_stats(spark, root):
+    return profile.brand_stats(td.items(spark, root), F.col("parent_asin").cast("long"))
+
+
+@query(with_sql(*BASE) + """, c AS (SELECT user_id, COUNT(*) AS n FROM splits GROUP BY 1)
+SELECT COUNT(*) AS users, ROUND(AVG(n), 6) AS mean, ROUND(stddev_samp(n), 6) AS sd, MIN(n) AS least, """ + ", ".join(f"ROUND(quantile_cont(n, {p / 100}), 6) AS p{p}" for p in profile.PERCENTILES) + ", MAX(n) AS greatest, (SELECT n FROM c GROUP BY n ORDER BY COUNT(*) DESC, n LIMIT 1) AS mode FROM c")
+def user_distribution(spark, root):
+    return profile.user_distribution(td.splits(spark, root))
+
+
+@query(with_sql(*BASE) + """, c AS (SELECT user_id, COUNT(*) AS n FROM splits GROUP BY 1)
+SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 50 THEN '21-50' WHEN n <= 100 THEN '51-100' WHEN n <= 200 THEN '101-200' ELSE '201+' END AS bucket, COUNT(*) AS users, ROUND(COUNT(*) / (SELECT COUNT(*) FROM c), 6) AS share FROM c GROUP BY 1""")
+def user_buckets(spark, root):
+    return profile.user_buckets(td.splits(spark, root))
+
+
+@query(with_sql("reviews") + """, c AS (SELECT parent_asin, COUNT(*) AS n FROM reviews GROUP BY 1)
+SELECT COUNT(*) AS users, ROUND(AVG(n), 6) AS mean, ROUND(stddev_samp(n), 6) AS sd, MIN(n) AS least, """ + ", ".join(f"ROUND(quantile_cont(n, {p / 100}), 6) AS p{p}" for p in profile.PERCENTILES) + ", MAX(n) AS greatest, (SELECT n FROM c GROUP BY n ORDER BY COUNT(*) DESC, n LIMIT 1) AS mode FROM c")
+def review_distribution(spark, root):
+    return profile.user_distribution(td.reviews(spark, root), "parent_asin")
+
+
+@query(with_sql("reviews") + "SELECT rating, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM reviews), 6) AS share FROM reviews GROUP BY rating")
+def rating_distribution(spark, root):
+    return profile.rating_distribution(td.reviews(spark, root))
+
+
+@query(with_sql("reviews") + """, i AS (SELECT DISTINCT user_id, parent_asin, rating, ts FROM reviews WHERE helpful_vote > 3), s AS (
+SELECT 'all' AS scope, * FROM reviews UNION ALL SELECT 'interactions', r.* FROM reviews r SEMI JOIN i ON i.user_id = r.user_id AND i.parent_asin = r.parent_asin AND i.rating = r.rating AND i.ts = r.ts
+UNION ALL SELECT 'catalog', * FROM reviews WHERE CAST(parent_asin AS INT) < 25)
+SELECT scope, COUNT(*) AS n, ROUND(AVG(verified_purchase::INT), 6) AS verified, ROUND(AVG((rating > 4)::INT), 6) AS above_four FROM s GROUP BY scope""")
+def verified_share(spark, root):
+    r = td.reviews(spark, root)
+    return profile.verified_share(r, r.where("helpful_vote > 3"), r.where("cast(parent_asin as int) < 25").select("parent_asin").distinct())
+
+
+@query("SELECT CAST(l_suppkey AS VARCHAR) || '-' || l_linenumber AS asin, CAST(MIN(l_partkey % 40) AS VARCHAR) AS parent_asin FROM lineitem GROUP BY 1 HAVING COUNT(DISTINCT l_partkey % 40) = 1")
+def variant_map(spark, root):
+    rows = td.read_table(spark, root, "lineitem").select(F.concat_ws("-", "l_suppkey", "l_linenumber").alias("asin"), (F.col("l_partkey") % 40).cast("string").alias("parent_asin"))
+    return profile.variant_map(rows)
+
+
+@query(with_sql(*BASE) + """, c AS (SELECT user_id, COUNT(*) AS c FROM splits WHERE split = 'train' GROUP BY 1)
+SELECT COUNT(*) AS n, COUNT(*) FILTER (c >= 1) AS at_least_1, COUNT(*) FILTER (c >= 2) AS at_least_2, COUNT(*) FILTER (c >= 5) AS at_least_5, COUNT(*) FILTER (c >= 10) AS at_least_10, MIN(c) AS least, MAX(c) AS greatest, list_sort(list(c))[COUNT(*) // 2 + 1] AS median FROM c""")
+def candidate_count_summary(spark, root):
+    return profile.candidate_count_summary(td.splits(spark, root).where("split = 'train'"), "user_id")
+
+
+@query(TOKENS + """, l AS (SELECT d.doc_id, COUNT(tok.term)::INT AS n_tokens FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id GROUP BY 1)
+SELECT COUNT(*) AS n, MIN(n_tokens) AS min_tokens, quantile_disc(n_tokens, 0.5) AS p50, quantile_disc(n_tokens, 0.9) AS p90, quantile_disc(n_tokens, 0.95) AS p95, quantile_disc(n_tokens, 0.99) AS p99, MAX(n_tokens) AS max_tokens, COUNT(*) FILTER (n_tokens > 512) AS truncated, ROUND(COUNT(*) FILTER (n_tokens > 512) / COUNT(*), 6) AS truncated_ratio FROM l""")
+def token_length_stats(spark, root):
+    docs = td.read_table(spark, root, "documents", ["doc_id", "text"]).select(F.size(t.tokenize(F.col("text"))).alias("n_tokens"))
+    return dense.token_length_stats(docs, 512)
+
+
+# Search.
+
+
+def _queries(spark, root):
+    words = F.split("text", " ")
+    return td.read_table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 8), " ").alias("query"))
+
+
+@query(BM25 + "SELECT term, df, ROUND(idf, 6) AS idf FROM terms")
+def lexical_terms(spark, root):
+    index = lexical.build_lexical_index(td.read_table(spark, root, "documents", ["doc_id", "text"]))
+    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(BM25 + """, q AS (SELECT item_id AS query_id, regexp_extract_all(replace(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM benchmark), qt AS (SELECT query_id, unnest(w) AS term FROM q),
+s AS (SELECT query_id, p.doc_id, SUM(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT AVG(dl) FROM dl)))) AS score FROM qt JOIN postings p ON p.term = qt.term JOIN terms ON terms.term = p.term JOIN dl ON dl.doc_id = p.doc_id GROUP BY 1, 2)
+SELECT query_id, doc_id, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""".replace("\\\\", "\\"))
+def bm25_search(spark, root):
+    index = lexical.build_lexical_index(td.read_table(spark, root, "documents", ["doc_id", "text"]))
+    found = lexical.bm25_search(index, _queries(spark, root), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT.format(a='q.embedding', b='v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, id, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def dense_search(spark, root):
+    rows = td.read_table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")  # the stated queries
+    found = dense.dense_search(rows, asked, 11).where("query_id <> id")
+    return lexical.top_k(found.drop("rank"), ["query_id"], "id", 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT vec_id, label + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+def upsert_vectors(spark, root):
+    rows = td.read_table(spark, root, "embeddings", ["vec_id", "label"])
+    return dense.upsert_vectors(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+
+
+# Constraints and fusion on candidates of all customers.
+
+
+def _requests(spark, root):
+    c = td.read_table(spark, root, "customer")
+    none = F.array().cast("array<string>")
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    return c.select(
+        key.cast("string").alias("request_id"),
+        (key % 2 == 0).alias("known_user"),
+        F.lit(10).alias("top_k"),
+        F.when(key % 4 == 1, F.array(F.lit(" Small "))).when(key % 4 == 2, F.array(F.lit("eco"), F.lit("promo"))).otherwise(none).alias("category_tags"),
+        F.when(key % 3 == 0, F.lit(900.0) + F.abs(balance) / 100).alias("min_price"),
+        F.when(key % 5 == 0, F.lit(1500.0)).alias("max_price"),
+        F.when(key % 7 == 0, F.array(F.lit("BRAND#1"), F.lit("Brand#2 "), F.lit("brand#3"))).otherwise(none).alias("brands"),
+        F.when(key % 6 == 0, F.array(F.lit("brand#4"), F.lit("Brand#5"))).otherwise(none).alias("excluded_brands"),
+        F.when(key % 8 == 1, F.array(F.lit("red"), F.lit("Blue"))).otherwise(none).alias("color_tags"),
+        none.alias("material_tags"),
+    )
+
+
+def _candidates(spark, root):
+    """Thirty candidates a channel: a customer's parts by quantity, price and date, and the most frequent parts."""
+    orders = td.read_table(spark, root, "orders", ["o_orderkey", "o_custkey"])
+    lines = td.read_table(spark, root, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    own = lines.groupBy(F.col("o_custkey").cast("string").alias("request_id"), F.col("l_partkey").cast("string").alias("parent_asin")).agg(F.max("l_quantity").alias("dense"), F.max("l_extendedprice").alias("bm25"), F.max(F.unix_timestamp("l_shipdate")).cast("double").alias("lightgcn"))
+    out = None
+    for name in ("dense", "bm25", "lightgcn"):
+        part = lexical.top_k(own.select("request_id", "parent_asin", F.col(name).alias("score")), ["request_id"], "parent_asin", 30).withColumn("channel", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    ranked = popularity.ranked_items(lines.select(F.col("l_partkey").cast("string").alias("parent_asin")), 30)
+    everyone = td.read_table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("rank"))
+    popular = everyone.join(ranked.withColumn("score", F.col("score").cast("double")), "rank").withColumn("channel", F.lit("popularity"))
+    return out.unionByName(popular)
+
+
+def _items(spark, root):
+    return td.items(spark, root).select("parent_asin", "brand", "price", F.array(F.lower("category")).alias("item_categories"), F.array("color").alias("item_colors"), F.array().cast("array<string>").alias("item_materials"))
+
+
+def _fused(spark, root):
+    return fusion.fuse(_candidates(spark, root), _requests(spark, root), _items(spark, root))
+
+
+@query(FUSION + "SELECT request_id, parent_asin, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, array_to_string(sources, ',') AS sources FROM ranked")
+def weighted_rrf(spark, root):
+    return _fused(spark, root).ranked.select("request_id", "parent_asin", "rank", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(FUSION + "SELECT request_id, parent_asin, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def fusion_final(spark, root):
+    return _fused(spark, root).final.select("request_id", "parent_asin", "rank")
+
+
+@query(FUSION + "SELECT request_id, parent_asin, policy AS filter_policy, reason AS filter_reason FROM judged WHERE reason IS NOT NULL")
+def source_policy(spark, root):
+    return _fused(spark, root).filtered.select("request_id", "parent_asin", "filter_policy", "filter_reason")
+
+
+@query(FUSION + "SELECT c.request_id, c.channel, c.parent_asin, CAST(c.rank AS INTEGER) AS rank FROM cand c JOIN judged j ON j.request_id = c.request_id AND j.parent_asin = c.parent_asin WHERE j.full_reason IS NULL")
+def hard_filter(spark, root):
+    joined = _candidates(spark, root).join(_requests(spark, root), "request_id").join(_items(spark, root), "parent_asin", "left")
+    return constraints.hard_filter(joined).select("request_id", "channel", "parent_asin", "rank")
+
+
+_INTENT = """SELECT c_custkey, '{"product_terms": [" ' || c_mktsegment || ' ", "", "unknown"], "brands": ["Brand#' || (c_custkey % 30) || '", "BRAND#' || (c_custkey % 30) || '"], "min_price": ' || CASE WHEN c_custkey % 11 = 0 THEN '500' ELSE '10' END || ', "max_price": ' || CASE WHEN c_custkey % 13 = 0 THEN '"x"' ELSE '250.5' END || ', "color_tags": [" black "], "search_query": "no"}' AS payload FROM customer"""
+
+
+def _payloads(spark, root):
+    c, key = td.read_table(spark, root, "customer"), F.col("c_custkey")
+    brand = (key % 30).cast("string")
+    body = F.concat(
+        F.lit('{"product_terms": [" '), F.col("c_mktsegment"), F.lit(' ", "", "unknown"], "brands": ["Brand#'), brand, F.lit('", "BRAND#'), brand, F.lit('"], "min_price": '),
+        F.when(key % 11 == 0, "500").otherwise("10"), F.lit(', "max_price": '), F.when(key % 13 == 0, '"x"').otherwise("250.5"), F.lit(', "color_tags": [" black "], "search_query": "no"}'),
+    )
+    return c.select(key.cast("string").alias("request_id"), body.alias("payload"))
+
+
+@query(f"WITH p AS ({_INTENT}) SELECT CAST(c_custkey AS VARCHAR) AS request_id, list_filter(list_transform(CAST(json_extract(payload, '$.product_terms') AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> '') AS product_terms, CAST(json_extract(payload, '$.min_price') AS DOUBLE) AS min_price, ['black'] AS color_tags FROM p WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0")
+def parse_intent(spark, root):
+    return constraints.parse_intent(_payloads(spark, root)).ok.select("request_id", "product_terms", "min_price", "color_tags")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE WHEN c_custkey % 13 = 0 THEN 'not a price' ELSE 'min_price is greater than max_price' END AS error FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 13 = 0")
+def intent_errors(spark, root):
+    return constraints.parse_intent(_payloads(spark, root)).errors.select("request_id", "error")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS brand FROM part), c AS (SELECT CAST(c_custkey AS VARCHAR) AS request_id, 'Brand#' || (c_custkey % 30) AS b, c_mktsegment AS s FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0)
+SELECT request_id, ['Segment ' || lower(s)] AS category_tags, CASE WHEN a.brand IS NULL THEN [] ELSE [a.brand] END AS brands FROM c LEFT JOIN a ON a.brand = c.b""")
+def resolve_constraints(spark, root):
+    intents = constraints.parse_intent(_payloads(spark, root)).ok
+    segments = td.read_table(spark, root, "customer").select(F.col("c_mktsegment").alias("alias"), F.concat(F.lit("Segment "), F.lower("c_mktsegment")).alias("canonical")).distinct()
+    brands = td.read_table(spark, root, "part").select(F.lower("p_brand").alias("alias"), F.col("p_brand").alias("canonical")).distinct()
+    return constraints.resolve_constraints(intents, segments, brands).select("request_id", "category_tags", "brands")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, c_name AS query, CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE CAST(c_custkey % 60 AS INTEGER) END AS top_k FROM customer WHERE c_custkey % 4 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 60 BETWEEN 1 AND 50)")
+def valid_requests(spark, root):
+    key = F.col("c_custkey")
+    raw = td.read_table(spark, root, "customer").select(key.cast("string").alias("request_id"), F.when(key % 4 != 0, F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).otherwise("  ").alias("query"), F.lit("").alias("user_id"), F.when(key % 5 != 0, (key % 60).cast("int")).alias("top_k"))
+    return constraints.valid_requests(raw).ok.select("request_id", "query", "top_k")
+
+
+# Evidence.
+
+
+def _pairs(spark, root):
+    """Each product with a request of its own; the vector is that of its first chunk."""
+    chunks = td.chunks(spark, root)
+    first = chunks.groupBy("parent_asin").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return first.select(F.concat(F.lit("q"), "parent_asin").alias("request_id"), "parent_asin", F.concat(F.lit("Product "), "parent_asin").alias("title"), "vector")
+
+
+@query(EVIDENCE + "SELECT parent_asin, chunk_id, ROUND(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found WHERE rank <= 20")
+def evidence_search(spark, root):
+    found = evidence.evidence_search(_pairs(spark, root), td.chunks(spark, root), 20)
+    return found.select("parent_asin", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(EVIDENCE + "SELECT parent_asin, chunk_id, review_id, CAST(place AS INTEGER) AS review_place, added FROM final")
+def evidence_gather(spark, root):
+    return evidence.gather(_pairs(spark, root), td.chunks(spark, root)).select("parent_asin", "chunk_id", "review_id", "review_place", "added")
+
+
+@query(EVIDENCE + """SELECT p.parent_asin, 'Product ' || p.parent_asin || ' 符合当前需求；已检索到 ' || COUNT(DISTINCT f.review_id) || ' 条可追溯评论证据。' AS reason,
+CASE WHEN MIN(f.place) FILTER (f.rating <= 3) IS NULL THEN '暂未检索到明确的中低评分评论，潜在缺点需要后续人工核查。' ELSE '部分评论评分较低（review_id: ' || arg_min(f.review_id, f.place * 1000 + f.rank) FILTER (f.rating <= 3) || '），建议关注该评论中提到的使用体验。' END AS potential_cons
+FROM pairs p JOIN final f ON f.parent_asin = p.parent_asin GROUP BY p.parent_asin""")
+def template_explanations(spark, root):
+    pairs = _pairs(spark, root)
+    found = evidence.template_explanations(pairs.select("request_id", "parent_asin", "title"), evidence.gather(pairs, td.chunks(spark, root)))
+    return found.select("parent_asin", "reason", "potential_cons")
+
+
+# Audits.
+
+
+def _audit(spark, root):
+    """Three channels that compare the first chunk of each product on all, the first half and the second half of the dimensions."""
+    rows = td.read_table(spark, root, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("vector"))
+    out = None
+    for name, first, count in (("all", 1, 64), ("first", 1, 32), ("second", 33, 32)):
+        cutout = rows.select(F.col("vec_id").cast("string").alias("id"), F.slice("embedding", first, count).alias("vector"))
+        found = dense.dense_search(cutout, asked.select("query_id", F.slice("vector", first, count).alias("vector")), 10).withColumn("channel", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    labels = rows.select(F.col("vec_id").cast("string").alias("id"), "label")
+    gap = F.abs(F.col("label") - F.col("own"))
+    return out.join(labels, "id").join(asked.select("query_id", "own"), "query_id").select("channel", "query_id", "rank", F.col("id").alias("parent_asin"), F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("human_relevance"))
+
+
+def _audit_sql() -> str:
+    parts = []
+    for name, a, b in (("all", 1, 64), ("first", 1, 32), ("second", 33, 64)):
+        score = _DOT.format(a=f"q.embedding[{a}:{b}]", b=f"v.embedding[{a}:{b}]")
+        parts.append(f"SELECT '{name}' AS channel, CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS parent_asin, abs(q.label - v.label) AS gap, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY ROUND({score}, 9) DESC, CAST(v.vec_id AS VARCHAR)) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10")
+    return "WITH s AS (" + " UNION ALL ".join(f"(SELECT * FROM ({p}))" for p in parts) + """), r AS (SELECT *, CASE gap WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS rel FROM s),
+i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel, query_id ORDER BY rel DESC, rank) AS ir FROM r),
+q AS (SELECT channel, query_id, SUM((2 ** rel - 1) / log2(rank + 1)) / nullif(SUM((2 ** rel - 1) / log2(ir + 1)), 0) AS ndcg, AVG(rel) AS mean_relevance, AVG((rel = 2)::INT) AS excellent_rate, AVG((rel >= 1)::INT) AS acceptable_rate, AVG((rel = 0)::INT) AS bad_rate,
+coalesce(MAX(1.0::DOUBLE / rank) FILTER (rel = 2), 0) AS mrr_strict, coalesce(MAX(1.0::DOUBLE / rank) FILTER (rel >= 1), 0) AS mrr_loose FROM i GROUP BY 1, 2) """
+
+
+@query(_audit_sql() + "SELECT channel, COUNT(*) AS queries, " + ", ".join(f"ROUND(AVG({'coalesce(ndcg, 0)' if m == 'ndcg' else m}), 6) AS {m}" for m in audit.MEASURES) + " FROM q GROUP BY channel")
+def audit_summary(spark, root):
+    return audit.audit_summary(_audit(spark, root), 10)
+
+
+@query(_audit_sql() + """, x AS (SELECT channel, query_id, round(coalesce(ndcg, 0), 9) AS n, round(mean_relevance, 9) AS m FROM q)
+SELECT a.channel, b.channel AS against, COUNT(*) FILTER ((a.n, a.m) > (b.n, b.m)) AS wins, COUNT(*) FILTER ((a.n, a.m) < (b.n, b.m)) AS losses, COUNT(*) FILTER ((a.n, a.m) = (b.n, b.m)) AS ties FROM x a JOIN x b ON a.query_id = b.query_id AND a.channel <> b.channel GROUP BY 1, 2""")
+def pairwise_wins(spark, root):
+    return audit.pairwise_wins(_audit(spark, root), 10)
+
+
+# The graph model.
+
+
+def _start(train):
+    nodes = graph.build_graph(train).select(F.col("src").alias("node")).distinct()
+    number = F.substring("node", 3, 20).cast("double")
+    return nodes.select("node", F.array(F.when(F.col("node").startswith("u:"), number / 1000).otherwise(-number / 2000), number % 7).alias("vector"))
+
+
+@query(GRAPH + "SELECT node, ROUND((x0 + x1 + x2) / 3, 6) AS a, ROUND((y0 + y1 + y2) / 3, 6) AS b FROM final")
+def graph_propagate(spark, root):
+    train = td.splits(spark, root).where("split = 'train'")
+    out = graph.propagate(graph.build_graph(train), _start(train), 2)
+    return out.select("node", F.round(F.col("vector")[0], 6).alias("a"), F.round(F.col("vector")[1], 6).alias("b"))
+
+
+@query(GRAPH + """, v AS (SELECT node, (x0 + x1 + x2) / 3 AS a, (y0 + y1 + y2) / 3 AS b FROM final),
+s AS (SELECT substr(u.node, 3) AS user_id, substr(i.node, 3) AS parent_asin, u.a * i.a + u.b * i.b AS score FROM v u, v i WHERE u.node LIKE 'u:%' AND i.node LIKE 'i:%')
+SELECT s.user_id, s.parent_asin, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY s.user_id ORDER BY ROUND(score, 9) DESC, s.parent_asin) AS INTEGER) AS rank FROM s ANTI JOIN (SELECT * FROM splits WHERE split = 'train') h ON h.user_id = s.user_id AND h.parent_asin = s.parent_asin QUALIFY rank <= 10""")
+def graph_top_k(spark, root):
+    train = td.splits(spark, root).where("split = 'train'")
+    vectors = graph.propagate(graph.build_graph(train), _start(train), 2)
+    return graph.graph_top_k(vectors, train, train, 10).select("user_id", "parent_asin", F.round("score", 6).alias("score"), "rank")
