@@ -104,10 +104,10 @@ def category_tags(categories: Column) -> Column:
 def detail_tags(details_json: Column, keys: tuple[str, ...]) -> Column:
     """Distinct keys of the texts and lists of texts, of any depth up to two, under the named details; broken JSON gives none."""
     v = F.try_parse_json(details_json)
-    one = [F.array(F.when(F.schema_of_variant(F.try_variant_get(v, f"$['{k}']", "variant")) == "STRING", F.try_variant_get(v, f"$['{k}']", "string"))) for k in keys]
-    many = [F.coalesce(F.try_variant_get(v, f"$['{k}']", "array<string>"), none()) for k in keys]
-    nested = [F.coalesce(F.flatten(F.try_variant_get(v, f"$['{k}']", "array<array<string>>")), none()) for k in keys]
-    return norm_keys(F.concat(*one, *many, *nested))
+    flat = lambda values: F.flatten(F.transform(values, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))))
+    found = F.filter(F.array(*(F.try_variant_get(v, f"$['{k}']", "variant") for k in keys)), lambda x: x.isNotNull())
+    texts = F.filter(flat(flat(found)), lambda x: F.schema_of_variant(x) == "STRING")
+    return norm_keys(F.transform(texts, lambda x: F.try_variant_get(x, "$", "string")))
 
 
 def color_tags(details_json: Column) -> Column:
