@@ -104,12 +104,18 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.join(hit, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("all")).dropDuplicates(["doc_id", "text_hash"])
     segments = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(SEGMENT))).alias("from")
     texts = texts.select("*", segments).select("doc_id", F.struct("text_hash", "from").alias("copy"), F.slice("all", F.col("from") + 1, SEGMENT + int(high) - 1).alias("words"))
-    placed = texts.select("doc_id", "copy", F.posexplode(F.arrays_zip(F.transform("words", lambda w: F.xxhash64(w)).alias("word"), _shingles(F.col("words")).alias("gram"))).alias("at", "x"))
-    placed = placed.select("doc_id", "copy", "at", "x.word", "x.gram").join(known.withColumn("known", F.lit(True)), "gram", "left")
+    known = known.withColumn("known", F.lit(True))
+    each = F.posexplode(F.arrays_zip(F.transform("words", lambda w: F.xxhash64(w)).alias("word"), F.col("grams"))).alias("at", "x")
+    placed = texts.withColumn("grams", _shingles(F.col("words"))).select("doc_id", "copy", each).select("doc_id", "copy", "at", "x.word", F.col("x.grams").alias("gram"))
+    placed = placed.join(known, "gram", "left").repartition("doc_id", "copy")  # the words travel, not their votes
     before = W.partitionBy("doc_id", "copy").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    summed = placed.select("doc_id", "copy", "at", "gram", F.coalesce("known", F.lit(False)).alias("known"), *(F.sum(v).over(before).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
-    row = F.struct("at", "gram", "known", *(f"v{j}" for j in range(_LONGS)))
-    whole = cut(summed.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(row)).alias("p")).withColumn("hits", F.transform(F.filter("p", lambda x: x["known"]), lambda x: x["at"])))
+    summed = placed.select("doc_id", "copy", "at", "gram", "known", *(F.sum(v).over(before).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
+    gathered = summed.groupBy("doc_id", "copy").agg(
+        F.array_sort(F.collect_list(F.struct("at", *(f"v{j}" for j in range(_LONGS))))).alias("p"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("at", "gram")))), lambda x: x["gram"]).alias("grams"),
+        F.array_sort(F.collect_list(F.when(F.col("known"), F.col("at")))).alias("hits"),
+    )
+    whole = cut(gathered)
 
     # Of the windows with most similarity one begins at a known shingle, or it is the document's last one.
     places, hits = F.col("p"), F.col("hits")
@@ -140,8 +146,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     candidates = cut(near.select("doc_id", "copy", "n", "start", "item_id").distinct())
 
     # Exact check on the counts of both multisets.
-    pieces = candidates.join(whole.select("doc_id", "copy", "p"), ["doc_id", "copy"])
-    cutout = F.transform(F.slice("p", F.col("start") + 1, F.col("n") - SHINGLE + 1), lambda x: x["gram"])
+    pieces = candidates.join(whole.select("doc_id", "copy", "grams"), ["doc_id", "copy"])
+    cutout = F.slice("grams", F.col("start") + 1, F.col("n") - SHINGLE + 1)
     ours = pieces.select("doc_id", "item_id", "copy", "n", "start", F.explode(cutout).alias("gram")).groupBy("doc_id", "item_id", "copy", "n", "start", "gram").agg(F.count("*").alias("c"))
     theirs = items.select("item_id", "n", F.explode("grams").alias("gram")).groupBy("item_id", "n", "gram").agg(F.count("*").alias("d"))
     shared = ours.join(if_small(cut(theirs), 2_000_000), ["item_id", "n", "gram"]).groupBy("doc_id", "item_id", "copy", "n", "start").agg(F.sum(F.least("c", "d")).alias("both"))
