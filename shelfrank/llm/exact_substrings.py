@@ -24,8 +24,14 @@ GRAM = 64
 #: A perfect difference set: any two residues of PERIOD have a common step to members of COVER.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
+#: In buckets up to this size every two members are held against each other by their common lengths, in larger ones by classes.
+PAIRED = 128
+
 #: Larger buckets are not sorted in one task; their strings are counted by a shuffle.
-SORTED = 4096
+SORTED = 32_768
+
+#: Keys of one long are broadcast up to so many.
+BROADCAST_KEYS = 2_000_000
 
 _CHUNK = 1 << 18
 _IN = np.isin(np.arange(PERIOD), COVER)
@@ -124,29 +130,36 @@ def _classes(order: list[int], common: list[int], depth: int) -> np.ndarray:
     return out
 
 
-def bucket_reach(left: list[bytes], right: list[bytes], places: list[int], first: int, last: int, span: int) -> list[tuple[int, int] | None]:
-    """For each position the least and greatest l, first <= l <= last, so that the l bytes before it and span - l after its gram recur together."""
+def _meets(order: list[int], common: list[int]) -> np.ndarray:
+    """The common length of every two suffixes of a small bucket, from those of neighbours in order."""
+    m = len(order)
+    by_place = np.zeros((m, m), np.int64)
+    lengths = np.asarray(common)
+    for a in range(m - 1):
+        by_place[a, a + 1 :] = np.minimum.accumulate(lengths[a + 1 :])
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    both = by_place + by_place.T
+    return both[place[:, None], place]
+
+
+def bucket_reach(left: list[bytes], right: list[bytes], places: list[int], span: int) -> list[tuple[int, int] | None]:
+    """For each member of a bucket the least and greatest l, so that l bytes of its left side and span - l of its right side recur together."""
+    m = len(left)
+    if m == 2:
+        l, r = common_length(left[0], left[1]), common_length(right[0], right[1])
+        return [(span - r, l) if l + r >= span else None] * 2
     lo, lc = bucket_order(left, [-p for p in places])
     ro, rc = bucket_order(right, places)
-    m = len(left)
-    least, most = np.full(m, span + 1), np.full(m, -1)
-    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    if m <= 8:
-        at_l, at_r = [0] * m, [0] * m
-        for k in range(m):
-            at_l[lo[k]], at_r[ro[k]] = k, k
-        for i in range(m):
-            for j in range(i):
-                a, b = sorted((at_l[i], at_l[j]))
-                l = min(lc[a + 1 : b + 1])
-                a, b = sorted((at_r[i], at_r[j]))
-                r = min(rc[a + 1 : b + 1])
-                low, high = max(first, span - r), min(last, l)
-                if low <= high:
-                    for k in (i, j):
-                        least[k], most[k] = min(least[k], low), max(most[k], high)
+    if m <= PAIRED:
+        l, r = _meets(lo, lc), _meets(ro, rc)
+        fit = l + r >= span
+        np.fill_diagonal(fit, False)
+        least, most = np.where(fit, span - r, span + 1).min(1), np.where(fit, l, -1).max(1)
     else:
-        for l in range(first, last + 1):
+        least, most = np.full(m, span + 1), np.full(m, -1)
+        size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+        for l in range(span + 1):
             fit = np.flatnonzero((size_l >= l) & (size_r >= span - l))
             if len(fit) < 2:
                 continue
@@ -154,7 +167,7 @@ def bucket_reach(left: list[bytes], right: list[bytes], places: list[int], first
             _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
             hit = fit[count[inverse] > 1]
             least[hit], most[hit] = np.minimum(least[hit], l), np.maximum(most[hit], l)
-    return [(int(a), int(b)) if b >= 0 else None for a, b in zip(least, most)]
+    return [(a, b) if b >= 0 else None for a, b in zip(least.tolist(), most.tolist())]
 
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -171,74 +184,87 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "gram", "around"])
 
     found = cut(docs.mapInArrow(find, "doc_id long, at long, gram long, around long"))
-    shared = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    again = cut(found.join(shared.drop("n"), "gram"))
-    kinds = cut(again.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.col("low") < F.col("high")).alias("other")))
-    whole = again.select("gram", "around", "doc_id", "at").join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"])
+    shared = if_small(cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")), BROADCAST_KEYS)
+    kinds = cut(found.join(shared, "gram", "left_semi").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")))
+    many = if_small(cut(kinds.where("n > 1").select("gram", "around")), BROADCAST_KEYS)
+    whole = found.join(many, ["gram", "around"], "left_semi")
     whole = whole.select("doc_id", F.greatest(F.col("at") - span, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
 
     # One of each kind of surroundings, in buckets that also hold another kind, with its bytes.
-    wanted = kinds.where("other").select("first.doc_id", F.struct("gram", "n", "first.at").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+    several = if_small(cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")), BROADCAST_KEYS)
+    wanted = kinds.join(several, "gram", "left_semi").select("first.doc_id", F.struct("gram", "n", "first.at").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
     wanted = cut(wanted)
     ids = if_small(wanted.select("doc_id"))
     held = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
 
+    # A window of the wanted length reaches half of the span to one side at least, so that half is part of the bucket's key.
+    rest = span - half
+
     def look(batches):
-        names = ["gram", "side", "half", "doc_id", "at", "n", "left", "right"]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["bucket", "gram", "side", "doc_id", "at", "n", "left", "right"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for doc_id, text, places in zip(*(batch.column(c) for c in ("doc_id", "text", "wanted"))):
-                rows, raw = [], text.as_py().encode()
-                for x in places.as_py():
-                    at = x["at"]
+            for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+                rows, raw = [], text.encode()
+                for x in places:
+                    at, key = x["at"], x["gram"]
                     left, right = raw[max(0, at - span) : at][::-1], raw[at + gram : at + length]
-                    for side, own in ((0, left), (1, right)):
+                    for side, own, near_, far in ((0, left, left[half:], right[:rest]), (1, right, left[:rest], right[half:])):
                         if len(own) >= half:
-                            rows.append((x["gram"], side, hashlib.blake2b(own[:half], digest_size=8).digest(), doc_id.as_py(), at, x["n"], left, right))
+                            digest = hashlib.blake2b(own[:half], digest_size=8, key=(key & 0xFFFFFFFFFFFFFFFF).to_bytes(8), salt=bytes((side,))).digest()
+                            rows.append((int.from_bytes(digest, signed=True), key, side, doc_id, at, x["n"], near_, far))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    bucket = ["gram", "side", "half"]
-    near = cut(held.select("doc_id", "text", "wanted").mapInArrow(look, "gram long, side int, half binary, doc_id long, at long, n long, left binary, right binary"))
-    sizes = cut(near.groupBy(*bucket).agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select(*bucket, "size"))
-    near = near.join(if_small(sizes), bucket)
+    near = cut(held.select("doc_id", "text", "wanted").mapInArrow(look, "bucket long, gram long, side int, doc_id long, at long, n long, left binary, right binary"))
+    sizes = cut(near.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("bucket", "size"))
+    use = near.join(if_small(sizes.where(F.col("size") <= SORTED).select("bucket"), BROADCAST_KEYS), "bucket", "left_semi")
+    key = ["bucket", "gram", "side"]
 
     def sort(batches):
-        key, rows = None, []
+        now, rows = None, []
 
         def done():
-            side = key[1]
-            first, last = (half, span) if side == 0 else (0, span - half)
-            reach = bucket_reach([r[1] for r in rows], [r[2] for r in rows], [r[3] + gram for r in rows], first, last, span)
-            got = [(r[0], r[3] - x[1], r[3] + length - x[0]) for r, x in zip(rows, reach) if x]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "end"])
-
+            back = half if now[2] == 0 else 0  # what the bucket's own half adds to the left
+            after = gram + (half if now[2] else 0)
+            left, right, places = [r[2] for r in rows], [r[3] for r in rows], [r[1] + after for r in rows]
+            for r, x in zip(rows, bucket_reach(left, right, places, rest)):
+                if x:
+                    got.append((r[0], r[1] - back - x[1], r[1] - back - x[0] + length))
+
+        got: list[tuple] = []
         for batch in batches:
-            for gram_, side, half_, doc_id, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("gram", "side", "half", "doc_id", "at", "left", "right"))):
-                if (gram_, side, half_) != key:
+            for *this, doc_id, at, left, right in zip(*(batch.column(c).to_pylist() for c in (*key, "doc_id", "at", "left", "right"))):
+                if this != now:
                     if len(rows) > 1:
-                        yield from done()
-                    key, rows = (gram_, side, half_), []
-                rows.append((doc_id, left, right, at))
+                        done()
+                    now, rows = this, []
+                rows.append((doc_id, at, left, right))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "end"])
+                got = []
         if len(rows) > 1:
-            yield from done()
+            done()
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "end"])
 
-    small = near.where(F.col("size") <= SORTED).select(*bucket, "doc_id", "at", "left", "right").repartition(*bucket).sortWithinPartitions(*bucket)
+    small = use.select(*key, "doc_id", "at", "left", "right").repartition("bucket").sortWithinPartitions(*key)
     edges = small.mapInArrow(sort, "doc_id long, start long, end long")
 
     # Buckets too large to sort in a task: the strings of each window are counted.
-    steps = F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(half), F.lit(span))).otherwise(F.sequence(F.lit(0), F.lit(span - half)))).alias("l")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(rest))).alias("l")
     strings = (
-        near.where(F.col("size") > SORTED)
-        .select(*bucket, "doc_id", "at", "left", "right", steps)
-        .where((F.length("left") >= F.col("l")) & (F.length("right") >= span - F.col("l")))
-        .select(*bucket, "doc_id", "at", "l", F.sha2(F.concat(F.expr("substring(left, 1, l)"), F.expr(f"substring(right, 1, {span} - l)")), 256).alias("string"))
+        near.join(if_small(sizes.where(F.col("size") > SORTED).select("bucket"), BROADCAST_KEYS), "bucket", "left_semi")
+        .select(*key, "doc_id", "at", "left", "right", steps)
+        .where((F.length("left") >= F.col("l")) & (F.length("right") >= rest - F.col("l")))
+        .withColumns({"x": F.expr("substring(left, 1, l)"), "y": F.expr(f"substring(right, 1, {rest} - l)")})
+        .select(*key, "doc_id", "at", "l", F.xxhash64(*key, "l", "x", "y").alias("h1"), F.xxhash64("y", "x", "l", *key).alias("h2"))
     )
-    key = [*bucket, "l", "string"]
-    many = strings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    large = strings.join(many, key).select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") - F.col("l") + length).alias("end"))
-    return whole.unionByName(edges).unionByName(large)
+    string = ["h1", "h2"]  # 128 bits
+    counted = if_small(cut(strings.groupBy(*string).agg(F.count("*").alias("c")).where("c > 1").select(*string)), BROADCAST_KEYS)
+    begin = F.col("at") - F.col("l") - F.when(F.col("side") == 0, half).otherwise(0)
+    reach = strings.join(counted, string, "left_semi").groupBy("doc_id", *key, "at").agg(F.min(begin).alias("start"), F.max(begin + length).alias("end"))
+    return whole.unionByName(edges).unionByName(reach.select("doc_id", "start", "end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
