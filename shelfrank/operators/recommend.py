@@ -94,3 +94,11 @@ def manual_eval_rows(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fill_template(template: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Template rows (query_id, rank, ...) with their results, and those without any."""
     return template.join(rows, ["query_id", "rank"], "left"), template.join(rows, ["query_id", "rank"], "left_anti")
+
+
+def audit_run(requests: DataFrame, candidates: DataFrame, items: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """The first k candidates of each channel for requests (request_id, search_query, user_id), with item fields and the length of the user's history."""
+    history = train.select("user_id", "parent_asin").distinct().groupBy("user_id").agg(F.count("*").alias("history"))
+    asked = requests.select("request_id", "search_query", "user_id").join(history, "user_id", "left").fillna(0, ["history"])
+    shown = candidates.where(F.col("rank") <= k).join(asked, "request_id").join(items.select("parent_asin", "title", "brand", "price"), "parent_asin", "left")
+    return shown.select("request_id", "channel", "rank", "parent_asin", "title", "brand", "price", "score", "search_query", "user_id", "history")

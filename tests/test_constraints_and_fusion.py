@@ -134,3 +134,15 @@ def test_responses(spark):
     assert [tuple(r) for r in good.collect()] == [("Q1", 1, "a"), ("Q1", 2, "b")] and failed.count() == 1
     filled, lacking = recommend.fill_template(spark.createDataFrame([("Q1", 1), ("Q2", 1)], "query_id string, rank int"), good)
     assert filled.count() == 2 and [r.query_id for r in lacking.collect()] == ["Q2"]
+
+
+def test_prompts_and_audit_rows(spark):
+    from shelfrank.functions import prompts
+
+    df = spark.createDataFrame([("q", "strings", "u")], "request_id string, search_query string, user_id string")
+    a, b = df.select(prompts.translation_prompt(F.col("search_query")), prompts.intent_prompt(F.col("search_query"))).first()
+    assert a.endswith("strings") and "excluded_brands" in b and b.endswith("strings")
+    train = spark.createDataFrame([("u", "P1"), ("u", "P1"), ("u", "P2")], "user_id string, parent_asin string")
+    shown = spark.createDataFrame([("TUNER_A", "T", "Snark", 19.99)], "parent_asin string, title string, brand string, price double")
+    rows = recommend.audit_run(df, candidates(spark, {"dense": ["TUNER_A", "X"]}), shown, train, 1).collect()
+    assert [(r.channel, r.rank, r.title, r.history) for r in rows] == [("dense", 1, "T", 2)]
