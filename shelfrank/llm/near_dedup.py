@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ COORDINATES = 120
 #: The bands are chosen so that a pair at the threshold shares none with at most this probability.
 MISS = 1e-6
 
+#: Rounds with pivots chosen by hash, and pivots a bucket, before all pairs that are left in a bucket are looked at.
+PIVOT_ROUNDS, PIVOTS = 2, 4
+
+_NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
+
 #: Components need more rounds than this only if a chain of links is longer than 2 to this power.
 ROUNDS = 60
 
@@ -46,6 +52,16 @@ def band_rows(similarity: float, t: int = COORDINATES) -> int:
     return max(r for r in range(1, 9) if r == 1 or (1 - similarity**r) ** (t // r) <= MISS)
 
 
+def most_different(similarity: float, t: int = COORDINATES) -> int:
+    """So many of t coordinates differ in four of their bits, for a pair at the threshold, with at most the accepted probability of more."""
+    p = (1 - similarity) * 15 / 16
+    tail, d = 1.0, -1
+    while tail > MISS:
+        d += 1
+        tail -= math.comb(t, d) * p**d * (1 - p) ** (t - d)
+    return d
+
+
 def _normal(data: np.ndarray, starts: np.ndarray) -> bytes:
     """The words in ASCII lower case, each but the first after one space."""
     keep = ~SPACE[data]
@@ -58,27 +74,32 @@ def _normal(data: np.ndarray, starts: np.ndarray) -> bytes:
 
 
 def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
-    """doc_id, n_shingles, same (a digest of the normalised words; null without words), bands (a hash of each band)."""
+    """doc_id, n_shingles, same (a digest of the normalised words; null without words), bands (a hash of each band), nibbles (four bits of each coordinate)."""
     bands = COORDINATES // r
 
     def run(batches):
         for batch in batches:
-            sizes, same, out = [], [], []
+            sizes, same, out, bits = [], [], [], []
             for data in texts(batch.column("text")):
                 starts, ends = word_bounds(data)
                 if not len(starts):
-                    sizes.append(0), same.append(None), out.append(None)
+                    sizes.append(0), same.append(None), out.append(None), bits.append(None)
                     continue
                 normal = _normal(data, starts)
                 own = np.unique(shingle_hashes(word_hashes(LOWER[data], starts, ends), k))
-                rows = sketch(own)[: bands * r].reshape(bands, r)
+                whole = sketch(own)
+                rows = whole[: bands * r].reshape(bands, r)
                 key = np.arange(bands, dtype=np.uint64)
                 for j in range(r):
                     key = mix(key * np.uint64(0xFF51AFD7ED558CCD) + rows[:, j])
                 sizes.append(len(own)), same.append(hashlib.blake2b(normal, digest_size=16).digest()), out.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "bands"])
+                four = np.zeros(-(-COORDINATES // 16) * 16, np.uint64)
+                four[:COORDINATES] = mix(whole) >> np.uint64(60)
+                bits.append(np.bitwise_or.reduce(four.reshape(-1, 16) << _NIBBLES, axis=1).view(np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(out, lists), pa.array(bits, lists)], ["doc_id", "n_shingles", "same", "bands", "nibbles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<bigint>, nibbles array<bigint>")
 
 
 def _shingles(text: bytes, k: int) -> set:
@@ -134,38 +155,71 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     (null), and kept. An empty table gives an empty one; other columns are not touched. Texts are taken as a whole.
 
     Equal word sequences are one class; only class representatives are sketched into bands, so a class of any size costs one.
-    In every band's bucket each member is held against the bucket's smallest and largest id; only for buckets in which
-    several components are left after that, all pairs of members from different components are verified. So no pair of
-    different texts that shares a band goes unexamined, unless its members are connected already.
+    In every band's bucket each member is held against the bucket's smallest and largest id, then, where several components
+    are left in it, against pivots chosen by hash, and only in buckets that have several components even then every two
+    members of different components are. So no pair of different texts that shares a band goes unexamined, unless its
+    members are connected already. A pair is verified if its sizes and four bits of each coordinate allow the similarity.
     """
     ship(docs.sparkSession)
     r = band_rows(percent / 100)
     whole = cut(_sketched(docs, k, r))
     known = whole.where("same is not null and doc_id is not null")
-    classes = cut(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x")).select("same", "id", "x.*"))
+    classes = cut(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "nibbles"), "doc_id").alias("x")).select("same", "id", "x.*"))
+    sketches = classes.select("id", "nibbles")
     banded = classes.select(F.explode("bands").alias("band"), "id", "n_shingles")
     ends = banded.groupBy("band").agg(F.min(F.struct("id", "n_shingles")).alias("low"), F.max(F.struct("id", "n_shingles")).alias("high")).where("low.id < high.id")
     buckets = cut(banded.join(ends, "band"))
+    limit = most_different(percent / 100)
+
+    def near(a: str, b: str):
+        """Whether so few coordinates differ as a linked pair's may."""
+        different = F.lit(0)
+        for j in range(-(-COORDINATES // 16)):
+            x = F.col(a)[j].bitwiseXOR(F.col(b)[j])
+            for shift in (1, 2):
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            different = different + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        return different <= limit
+
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes alone rule other pairs out
-    pairs = lambda df, a, b, x, y: df.where(fits(F.col(x), F.col(y)) & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    star = cut(pairs(buckets, "id", "low.id", "n_shingles", "low.n_shingles").unionByName(pairs(buckets, "id", "high.id", "n_shingles", "high.n_shingles")).distinct())
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = texts_of.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = cut(verify(star, named, k, percent))
+    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
+        return both.where(near("na", "nb")).select("a", "b")
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    against = lambda p: buckets.where(fits(F.col("n_shingles"), F.col(f"{p}.n_shingles")) & (F.col("id") != F.col(f"{p}.id"))).select(*ordered(F.col("id"), F.col(f"{p}.id")))
+    tried = cut(allowed(against("low").unionByName(against("high")).distinct()))
+    links = cut(verify(tried, named, k, percent))
     found = components(links)
 
-    member = buckets.join(found, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    mixed = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    rest = cut(member.join(mixed, "band"))
-    other = rest.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2"))
-    across = rest.join(other, "band").where((F.col("component") < F.col("component2")) & fits(F.col("n_shingles"), F.col("n2")))
-    across = cut(across.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = cut(verify(across, named, k, percent))
+    def members() -> DataFrame:
+        """The members of buckets that have several components."""
+        of = buckets.select("band", "id", "n_shingles").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = of.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+        return cut(of.join(mixed, "band", "left_semi"))
+
+    for turn in range(PIVOT_ROUNDS):
+        rest = members()
+        chosen = [F.min_by(F.struct("id", "n_shingles", "component"), F.xxhash64("id", F.lit(turn * PIVOTS + j))) for j in range(PIVOTS)]
+        pivots = rest.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("band", F.explode("p").alias("p"))
+        met = rest.join(pivots, "band").where((F.col("component") != F.col("p.component")) & fits(F.col("n_shingles"), F.col("p.n_shingles")))
+        fresh = cut(allowed(met.select(*ordered(F.col("id"), F.col("p.id"))).distinct().join(tried, ["a", "b"], "left_anti")))
+        tried, more = tried.unionByName(fresh), cut(verify(fresh, named, k, percent))
+        links = links.unionByName(more)
+        found = components(links)
+
+    rest = members().join(sketches, "id")
+    other = rest.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2"), F.col("nibbles").alias("nibbles2"))
+    of_two = (F.col("component") < F.col("component2")) & fits(F.col("n_shingles"), F.col("n2")) & near("nibbles", "nibbles2")
+    across = rest.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & of_two).select(*ordered(F.col("id"), F.col("id2"))).distinct()
+    more = cut(verify(across.join(tried, ["a", "b"], "left_anti"), named, k, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
     of_class = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return whole.join(of_class, "same", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
