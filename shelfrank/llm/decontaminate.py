@@ -81,7 +81,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: for each document and item, the best window with similarity of 0.8 or more.
 
     Similarity is that of the multisets of five-word shingles: the sum of the lesser counts over the sum of the greater ones;
-    of equals the first window counts. Texts with fewer words than the item, and items of fewer than five words, have no
+    of equals the first counts that begins with a shingle of any item, or ends the text. Texts with fewer words than the item, and items of fewer than five words, have no
     pairs; null is an empty text. Rows that repeat an id are read as one document's texts and give one row for each item, as
     do repeated items. An empty table gives no rows. Whole texts are read, by whatever number of tasks.
     """
