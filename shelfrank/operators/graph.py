@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -11,15 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PLACES = 9
+
+#: Items of a group that is scored as a matrix.
+ITEM_BLOCK = 4096
+
 ADAM = (0.9, 0.999, 1e-8)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df from a written table, where the session names a shared folder; else as it is."""
+    """The rows of df from a table below spark.checkpoint.dir; where that is unset, as on one machine, below a folder of its own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return df
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shelfrank-")
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,9 +85,10 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
     n = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int"))
     items = vectors.where(F.col("node").startswith("i:")).select(F.substring("node", 3, 1 << 30).alias("parent_asin"), F.col("vector").alias("iv"))
-    items = items.withColumn("range", F.pmod(F.xxhash64("parent_asin"), F.lit(8)).cast("int"))
-    # each block of users meets each of the eight ranges of items in one group of bounded size
-    left = asked.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    ranges = max(1, -(-items.count() // ITEM_BLOCK))
+    items = items.withColumn("range", F.pmod(F.xxhash64("parent_asin"), F.lit(ranges)).cast("int"))
+    # each block of users meets each part of the items in one group, whose size both bounds hold
+    left = asked.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
     right = items.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def best(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
@@ -100,13 +107,22 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def number(df: DataFrame, key: str) -> DataFrame:
+    """df with ordinal, from 0 in the order of a unique key: numbered within ranges of the key, to which the sizes of earlier ranges are added."""
+    ranged = _cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1).join(F.broadcast(before), "_part")
+    return placed.withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int, draws: int = 8, rounds: int = 20) -> DataFrame:
     """pairs (user_id, parent_asin) with negative: a uniform item that the user doesn't have, the same on every run.
 
     Each pair draws several hashed ordinals at once; draws that hit the user's items go, the lowest of the rest counts, and
     pairs without one draw again. A user who has every item is an error.
     """
-    numbered = _cut(items.select("parent_asin").distinct().withColumn("ordinal", F.row_number().over(W.orderBy("parent_asin")) - 1))
+    numbered = _cut(number(items.select("parent_asin").distinct(), "parent_asin"))
     n = numbered.count()
     owned = pairs.select("user_id", "parent_asin").distinct()
     if not owned.groupBy("user_id").agg(F.count("*").alias("c")).where(F.col("c") >= n).isEmpty():
@@ -114,7 +130,7 @@ def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int,
     left, found = owned, None
     for r in range(rounds):
         ordinals = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")
-        drawn = left.select("user_id", "parent_asin", ordinals).withColumn("ordinal", F.pmod(F.xxhash64("user_id", "parent_asin", F.lit(epoch), F.lit(seed), F.col("j") + r * draws), F.lit(n)).cast("int"))
+        drawn = left.select("user_id", "parent_asin", ordinals).withColumn("ordinal", F.pmod(F.xxhash64("user_id", "parent_asin", F.lit(epoch), F.lit(seed), F.col("j") + r * draws), F.lit(n)).cast("long"))
         named = drawn.join(numbered.withColumnRenamed("parent_asin", "negative"), "ordinal")
         fresh = named.join(owned.select("user_id", F.col("parent_asin").alias("negative")), ["user_id", "negative"], "left_anti")
         got = _cut(fresh.groupBy("user_id", "parent_asin").agg(F.min_by("negative", "j").alias("negative")))
