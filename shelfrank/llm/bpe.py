@@ -12,13 +12,14 @@ import hashlib
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import ship
+from shelfrank.llm.common import keep, ship, take_turn
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -54,7 +55,7 @@ class Vocabulary:
         """Whether the two tokens stay apart when their bytes are encoded together."""
         known = self._fits.get(left << 32 | right)
         if known is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             known = self._fits[left << 32 | right] = self._merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
@@ -125,34 +126,37 @@ def read_ranks(name: str = RANKS) -> dict[bytes, int]:
 
 
 class _Pieces(dict):
-    """Encodings of pieces as (ids joined by a space, bytes decoded from the ids), made when first asked for."""
+    """Encodings of pieces as ids joined by a space, made when first asked for."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.before = vocabulary, {}
+        self.decoded = {str(i): t for i, t in vocabulary.bytes.items()}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
+    def __missing__(self, piece: str) -> str:
         if len(self) >= PIECES_KEPT:
             self.before = dict(self)
             self.clear()
-        if piece in self.before:
-            self[piece] = out = self.before[piece]
-            return out
-        ids = PrefixTable(self.vocabulary, piece.encode()).tokens()
-        self[piece] = out = " ".join(map(str, ids)), b"".join(map(self.vocabulary.bytes.__getitem__, ids))
-        return out
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = " ".join(map(str, PrefixTable(self.vocabulary, piece.encode()).tokens()))
+        self[piece] = ids
+        return ids
 
 
 @lru_cache(2)
-def codec(name: str = RANKS) -> tuple[_Pieces, object]:
+def codec(name: str) -> tuple[_Pieces, object]:
     """This process's encodings of pieces, and the pattern that cuts texts into pieces."""
     return _Pieces(Vocabulary(read_ranks(name))), regex.compile(public_tokenizers.PATTERN)
 
 
+keep("bpe", codec.cache_clear)
+
+
 def encode_text(text: str, name: str = RANKS) -> tuple[str, bytes]:
     """Ids joined by a space, and the bytes that these ids decode to."""
     pieces, pattern = codec(name)
-    found = [pieces[p] for p in pattern.findall(text)]
-    return " ".join([a for a, _ in found]), b"".join([b for _, b in found])
+    ids = " ".join([pieces[p] for p in pattern.findall(text)])
+    return ids, b"".join([pieces.decoded[i] for i in ids.split()])
 
 
 def encode(docs: DataFrame, text: str = "text", name: str = RANKS, with_ids: bool = False) -> DataFrame:
@@ -168,6 +172,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = RANKS, with_ids: boo
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
 
     def run(batches):
+        take_turn("bpe")
         for batch in batches:
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
             for value in batch.column(text):
@@ -176,7 +181,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = RANKS, with_ids: boo
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    all_ids.append([int(x) for x in ids.split()])
+                    all_ids.append(np.array(ids.split(), np.int32))
             columns = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             columns += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(columns, [*kept, *own[: 3 + with_ids]])

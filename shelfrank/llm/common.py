@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long.
+BATCH_ROWS = 1000
+
 #: Bytes that part words: space, and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -48,11 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df is counted, so cut() it before."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever they run."""
+    """Makes this package importable in Python workers, wherever they run, and Arrow batches fit for texts."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_shelfrank_shipped", False):
         return
@@ -65,6 +72,21 @@ def ship(spark: SparkSession) -> None:
     context._shelfrank_shipped = True
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, clear: Callable[[], None]) -> None:
+    """Says how to let go of what an operator keeps in a worker from task to task."""
+    _kept[name] = clear
+
+
+def take_turn(name: str) -> None:
+    """At the start of a task: lets go of what other operators keep in this worker, which serves one after another."""
+    for other, clear in _kept.items():
+        if other != name:
+            clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))

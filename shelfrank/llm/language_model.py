@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import cut, ship
+from shelfrank.llm.common import cut, keep, ship, take_turn
 
 PIECES = "piece_bpe_32k.model"
 
@@ -70,6 +70,9 @@ def matcher(name: str = PIECES):
     return out
 
 
+keep("language_model", matcher.cache_clear)
+
+
 def log_marginal(word: bytes, weights: list[float], name: str = PIECES) -> float:
     """The natural logarithm of the summed probability of all segmentations of a word, taken with a space in front."""
     text = " " + word.decode("latin-1")
@@ -114,6 +117,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     """word and c, its count in training documents, of every word of any document."""
 
     def run(batches):
+        take_turn("language_model")
         learnt, other = Counter(), set()
 
         def out():
@@ -139,6 +143,7 @@ def fit(words: DataFrame, ends: int, name: str = PIECES) -> tuple[np.ndarray, fl
     start = np.exp(first).tolist()
 
     def run(batches):
+        take_turn("language_model")
         total = [0.0] * len(pieces)
         for batch in batches:
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
@@ -177,6 +182,7 @@ def score(docs: DataFrame, name: str = PIECES) -> DataFrame:
     below = math.log10(total + ADDED * (distinct + 1))
 
     def run_words(batches):
+        take_turn("language_model")
         for batch in batches:
             values = pa.array([log_marginal(w, weights, name) / math.log(10) for w in batch.column("word").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), values], ["word", "c", "p"])
@@ -189,6 +195,7 @@ def score(docs: DataFrame, name: str = PIECES) -> DataFrame:
     def run_docs(batches):
         names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "base", "p"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        take_turn("language_model")
         known = sent.value
         for batch in batches:
             rows = []

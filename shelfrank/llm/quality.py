@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import ship, shingle_hashes, texts, word_bounds, word_hashes
+from shelfrank.llm.common import ship, shingle_hashes, take_turn, texts, word_bounds, word_hashes
 
 #: Fixed values of the base rule.
 MIN_WORDS = 50
@@ -88,6 +88,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     """doc_id, label and packed features of labelled rows."""
 
     def run(batches):
+        take_turn("quality")
         for batch in batches:
             packed = []
             for data in texts(batch.column("text")):
@@ -155,6 +156,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), own])
 
     def run(batches):
+        take_turn("quality")
         for batch in batches:
             rows = []
             for data in texts(batch.column("text")):
