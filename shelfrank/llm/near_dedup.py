@@ -8,9 +8,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import LOWER, SPACE, cut, mix, shingle_hashes, ship, texts, word_bounds, word_hashes
+from shelfrank.llm.common import LOWER, SPACE, cut, if_small, mix, shingle_hashes, ship, take_turn, texts, word_bounds, word_hashes
 
 #: Coordinates of a sketch.
 COORDINATES = 120
@@ -18,8 +19,8 @@ COORDINATES = 120
 #: The bands are chosen so that a pair at the threshold shares none with at most this probability.
 MISS = 1e-6
 
-#: Rounds with pivots chosen by hash, and pivots a bucket, before all pairs that are left in a bucket are looked at.
-PIVOT_ROUNDS, PIVOTS = 2, 4
+#: Rounds with pivots chosen by hash, pivots a bucket, and pivots that a member is held against in a round, before all pairs that are left are.
+PIVOT_ROUNDS, PIVOTS, MET = 2, 2, 2
 
 _NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
 
@@ -78,6 +79,7 @@ def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
     bands = COORDINATES // r
 
     def run(batches):
+        take_turn("near_dedup")
         for batch in batches:
             sizes, same, out, bits = [], [], [], []
             for data in texts(batch.column("text")):
@@ -109,10 +111,12 @@ def _shingles(text: bytes, k: int) -> set:
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are as similar as asked for: 100 * common >= percent * united."""
-    text = docs.select("doc_id", "text")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    text = docs.select("doc_id", "text").join(if_small(cut(ids)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(text.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def run(batches):
+        take_turn("near_dedup")
         last, known = None, set()
         for batch in batches:
             linked = []
@@ -155,9 +159,9 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     (null), and kept. An empty table gives an empty one; other columns are not touched. Texts are taken as a whole.
 
     Equal word sequences are one class; only class representatives are sketched into bands, so a class of any size costs one.
-    In every band's bucket each member is held against the bucket's smallest and largest id, then, where several components
-    are left in it, against pivots chosen by hash, and only in buckets that have several components even then every two
-    members of different components are. So no pair of different texts that shares a band goes unexamined, unless its
+    In every band's bucket the smallest and the largest id are pivots, then, where several components are left in it, ids
+    chosen by hash. Each member is held against those pivots with which it shares most bands. Only in buckets that have
+    several components even then, every two members of different components are held against each other. So no pair of different texts that shares a band goes unexamined, unless its
     members are connected already. A pair is verified if its sizes and four bits of each coordinate allow the similarity.
     """
     ship(docs.sparkSession)
@@ -188,9 +192,16 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
         both = pairs.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
         return both.where(near("na", "nb")).select("a", "b")
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    against = lambda p: buckets.where(fits(F.col("n_shingles"), F.col(f"{p}.n_shingles")) & (F.col("id") != F.col(f"{p}.id"))).select(*ordered(F.col("id"), F.col(f"{p}.id")))
-    tried = cut(allowed(against("low").unionByName(against("high")).distinct()))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def most_shared(met: DataFrame) -> DataFrame:
+        """Of (id, pivot), one row a shared bucket, the pairs (a, b) of each id with the pivots it shares most with."""
+        counted = met.groupBy("id", "pivot").agg(F.count("*").alias("shared"))
+        first = W.partitionBy("id").orderBy(F.desc("shared"), "pivot")
+        return counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MET).select(*ordered(F.col("id"), F.col("pivot"))).distinct()
+
+    against = lambda p: buckets.where(fits(F.col("n_shingles"), F.col(f"{p}.n_shingles")) & (F.col("id") != F.col(f"{p}.id"))).select("id", F.col(f"{p}.id").alias("pivot"))
+    tried = cut(allowed(most_shared(against("low").unionByName(against("high")))))
     links = cut(verify(tried, named, k, percent))
     found = components(links)
 
@@ -205,16 +216,21 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
         chosen = [F.min_by(F.struct("id", "n_shingles", "component"), F.xxhash64("id", F.lit(turn * PIVOTS + j))) for j in range(PIVOTS)]
         pivots = rest.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("band", F.explode("p").alias("p"))
         met = rest.join(pivots, "band").where((F.col("component") != F.col("p.component")) & fits(F.col("n_shingles"), F.col("p.n_shingles")))
-        fresh = cut(allowed(met.select(*ordered(F.col("id"), F.col("p.id"))).distinct().join(tried, ["a", "b"], "left_anti")))
+        fresh = cut(allowed(most_shared(met.select("id", F.col("p.id").alias("pivot"))).join(tried, ["a", "b"], "left_anti")))
         tried, more = tried.unionByName(fresh), cut(verify(fresh, named, k, percent))
         links = links.unionByName(more)
         found = components(links)
 
-    rest = members().join(sketches, "id")
-    other = rest.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2"), F.col("nibbles").alias("nibbles2"))
-    of_two = (F.col("component") < F.col("component2")) & fits(F.col("n_shingles"), F.col("n2")) & near("nibbles", "nibbles2")
+    # Each pair is made in the first bucket that it shares.
+    rest = members().join(classes.select("id", "nibbles", "bands"), "id")
+    other = rest.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "n_shingles", "component", "nibbles", "bands")))
+    earlier = F.lit(False)
+    for j in reversed(range(COORDINATES // r)):
+        same = F.col("bands")[j] == F.col("bands2")[j]
+        earlier = F.when(same, F.col("bands")[j] != F.col("l.band")).otherwise(earlier)
+    of_two = (F.col("component") < F.col("component2")) & fits(F.col("n_shingles"), F.col("n_shingles2")) & ~earlier & near("nibbles", "nibbles2")
     across = rest.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & of_two).select(*ordered(F.col("id"), F.col("id2"))).distinct()
-    more = cut(verify(across.join(tried, ["a", "b"], "left_anti"), named, k, percent))
+    more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti")), named, k, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
