@@ -29,8 +29,6 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 #: A path is used if it has at least a tenth of its host's votes; so there are ten at most.
 SHARE = 10
-#: The winning container holds so much of a page's good text.
-HOLDS = 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I | re.S)
@@ -117,27 +115,32 @@ def blocks(page: str) -> list[tuple[str, bool, int, str]]:
 
 
 def best_path(found: list[tuple[str, bool, int, str]]) -> str | None:
-    """The deepest container that holds almost all of a page's good text; None without such text. Text in links counts against its block."""
-    score: dict[str, int] = {}
+    """The deepest container that holds all of a page's good text; None without such text. A block that is mostly links is not good."""
+    best: list[str] | None = None
     for path, aside, linked, value in found:
-        worth = len(value) - 2 * linked
-        if aside or worth <= 0:
+        if aside or len(value) <= 2 * linked:
             continue
         steps = path.split("/")
-        for i in range(1, len(steps) + 1):
-            p = "/".join(steps[:i])
-            score[p] = score.get(p, 0) + worth
-    if not score:
-        return None
-    whole = score[""]
-    return max((p for p, s in score.items() if s >= HOLDS * whole), key=lambda p: (p.count("/"), p))
+        if best is None:
+            best = steps
+        elif steps[: len(best)] != best:
+            best = best[: next(i for i, x in enumerate(best) if steps[i : i + 1] != [x])]
+    return None if best is None else "/".join(best)
+
+
+def _below(path: str, container: str) -> bool:
+    return container == "" or path == container or path.startswith(f"{container}/")
 
 
 def read(found: list[tuple[str, bool, int, str]], winners: list[str]) -> str:
-    """The blocks below the first winning path that the page has, else below the page's own best path."""
-    for path in [*winners, best_path(found)]:
+    """The blocks below the first winning path that holds all of the page's good text, else below the page's own best path.
+
+    A page without good text is read by the first winning path that it has.
+    """
+    own = best_path(found)
+    for path in [*(w for w in winners if own is None or _below(own, w)), own]:
         if path is not None:
-            got = [v for p, aside, _, v in found if not aside and (p == path or p.startswith(f"{path}/") or path == "")]
+            got = [v for p, aside, _, v in found if not aside and _below(p, path)]
             if got:
                 return "\n".join(got)
     return ""

@@ -148,6 +148,22 @@ def test_votes_by_host(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_no_good_text_is_lost_to_a_deeper_container_or_to_the_host(spark):
+    long = "long text " * 60
+    whole = f"<body><article><h1>Head</h1><p>lead</p><div class=body>{long}</div><p>end</p></article></body>"
+    rows = [(i, f"http://h.org/{i}", whole) for i in range(9)]
+    rows += [(9, "http://h.org/9", f"<body><article>scrap</article><div class=other>{long}</div></body>"), (10, "http://h.org/10", f"<body><div class=x><p>{long}</p></div></body>")]
+    rows += [(11, "http://i.org/1", f"<body><div class=a>short intro</div><div class=b>{long}</div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got[0] == got[8] == f"Head\nlead\n{long.strip()}\nend" and got[9] == f"scrap\n{long.strip()}" and got[10] == long.strip() and got[11] == f"short intro\n{long.strip()}"
+
+
+def test_winner_of_the_host_is_used_where_it_holds_all_good_text():
+    found = html.blocks("<article><h2><a href=x>Linked head</a></h2><div class=body><p>text</p></div></article>")
+    assert html.read(found, []) == "text" and html.read(found, ["/div", "/article"]) == "Linked head\ntext"
+
+
 def test_pages_of_the_smallest_table(spark):
     from html import unescape
 
