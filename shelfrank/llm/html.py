@@ -24,6 +24,10 @@ ASIDE_WORDS = frozenset(
     "cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription social share sharing comment comments disqus respond reply replies related "
     "recommended form search login signup copyright legal disclaimer widget toolbar pagination pager contentinfo complementary alert".split()
 )
+#: Parts of a class, id or role that tell of the page's state: "no-sidebar" is no sidebar.
+STATES = frozenset("no non not without with has have is hide show".split())
+#: Elements that no class word makes aside.
+MAIN = frozenset("article main".split())
 #: A start tag of these ends an open element of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -35,10 +39,24 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^
 _WORD = re.compile(r"[a-z]+|\d+")
 
 
+def _named_aside(names: str) -> bool:
+    """Whether a whole name of a class, id or role, or its last part, is a word for what is not the article."""
+    for name in names.split():
+        parts_of = re.findall(r"[a-z]+", name)
+        if parts_of and parts_of[-1] in ASIDE_WORDS and STATES.isdisjoint(parts_of):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, bool, int, str]]:
-    """The text blocks of a page in order: path of the container, whether it is aside from the article, characters in links, text."""
-    out: list[tuple[str, bool, int, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, aside; only elements that part blocks
+    """The text blocks of a page in order: path of the container, whether it is aside from the article, characters in links, text.
+
+    Elements that their names make aside are so unless they hold more than half of the page's good text and are the article's place:
+    an article, main or h1 is in them, or no good text is in an article or main elsewhere.
+    """
+    out: list[tuple[str, bool, tuple[int, ...], int, str]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path, aside, elements around that names make aside; only elements that part blocks
+    named, places = 0, set()
     text: list[str] = []
     linked, in_link, at, unclosed = 0, False, 0, set()
 
@@ -47,7 +65,7 @@ def blocks(page: str) -> list[tuple[str, bool, int, str]]:
         if text:
             value = " ".join(unescape("".join(text)).split())
             if value:
-                out.append((stack[-1][1], stack[-1][2], min(linked, len(value)), value))
+                out.append((*stack[-1][1:], min(linked, len(value)), value))
             text.clear()
         linked = 0
 
@@ -100,18 +118,31 @@ def blocks(page: str) -> list[tuple[str, bool, int, str]]:
             close(CLOSES[tag])
         if tag in VOID or tag in ("html", "body"):
             continue
-        path, aside = stack[-1][1], stack[-1][2]
+        _, path, aside, around = stack[-1]
         marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
         if not aside:
-            words = {w for v in (marks.get("class"), marks.get("id"), marks.get("role")) if v for w in re.split(r"[^a-z]+", v)}
-            aside = tag in ASIDE or "hidden" in marks or not words.isdisjoint(ASIDE_WORDS)
+            aside = tag in ASIDE or "hidden" in marks
+            if marks and tag not in MAIN and _named_aside(" ".join(marks.get(k, "") for k in ("class", "id", "role"))):
+                around, named = (*around, named), named + 1
         if tag in CONTAINERS:
             names = sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").split())
             path = f"{path}/{tag}" + "".join(f".{c}" for c in names)
-        stack.append((tag, path, aside))
+        if tag in MAIN or tag == "h1":
+            places.update(around)
+        stack.append((tag, path, aside, around))
     text.append(page[at:])
     flush()
-    return out
+    whole, in_main, held, held_main = 0, 0, [0] * named, [0] * named
+    for path, aside, around, linked, value in out if named else ():
+        worth = len(value) - 2 * linked
+        if not aside and worth > 0:
+            main = worth if not MAIN.isdisjoint(step.split(".")[0] for step in path.split("/")) else 0
+            whole, in_main = whole + worth, in_main + main
+            for i in around:
+                held[i] += worth
+                held_main[i] += main
+    kept = {i for i in range(named) if 2 * held[i] > whole and (i in places or in_main == held_main[i])}
+    return [(path, aside or not kept.issuperset(around), linked, value) for path, aside, around, linked, value in out]
 
 
 def best_path(found: list[tuple[str, bool, int, str]]) -> str | None:

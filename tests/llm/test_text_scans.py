@@ -159,6 +159,25 @@ def test_no_good_text_is_lost_to_a_deeper_container_or_to_the_host(spark):
     assert got[0] == got[8] == f"Head\nlead\n{long.strip()}\nend" and got[9] == f"scrap\n{long.strip()}" and got[10] == long.strip() and got[11] == f"short intro\n{long.strip()}"
 
 
+@pytest.mark.parametrize(
+    "wrapper", ["main class='content no-sidebar'", "div class='layout with-sidebar'", "div id='page-header-wrap'", "article class='post comments-open'", "article class=comments", "div class=widget", "div class='has-left-sidebar'"]
+)
+def test_wrappers_keep_their_article(wrapper):
+    page = f"<body><div class=left-sidebar>Side</div><{wrapper}><h1>Head</h1><p>{'word ' * 50}</p><div class='cookie-notice'>We use</div></{wrapper.split()[0]}><div class='site-footer'>Foot</div></body>"
+    assert html.read(html.blocks(page), []) == f"Head\n{('word ' * 50).strip()}"
+
+
+def test_many_named_elements_in_each_other():
+    page = "<div class=widget>" * 2000 + "deep text" + "</div>" * 2000 + "<div class=sidebar>Side</div>"
+    assert html.read(html.blocks(page), []) == "deep text"
+
+
+def test_a_long_advert_beside_a_short_article_stays_aside():
+    advert = f"<div class=ad>{'buy ' * 50}</div>"
+    assert html.read(html.blocks(f"<body>{advert}<article><p>Short.</p></article></body>"), []) == "Short."
+    assert html.read(html.blocks(f"<body><div class=widget><h1>Head</h1>{'word ' * 50}</div><article>teaser</article></body>"), []).startswith("Head\nword")
+
+
 def test_winner_of_the_host_is_used_where_it_holds_all_good_text():
     found = html.blocks("<article><h2><a href=x>Linked head</a></h2><div class=body><p>text</p></div></article>")
     assert html.read(found, []) == "text" and html.read(found, ["/div", "/article"]) == "Linked head\ntext"
