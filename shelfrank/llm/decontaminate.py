@@ -2,7 +2,8 @@
 
 All expressions are Spark's own. A window of a document has as many words as the item it is held against. Its fingerprint
 has one bit for each of 60 weighted votes of its words. Fingerprints within RADIUS of an item's agree with it in at least one
-of RADIUS + 1 blocks of bits, so an equality join on blocks finds every one of them.
+of RADIUS + 1 blocks of bits, so an equality join on blocks finds every one of them. Texts with fewer words than an item are
+counted out as a whole, without fingerprints.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: for each document and item, the best window with similarity of 0.8 or more.
 
     Similarity is that of the multisets of five-word shingles: the sum of the lesser counts over the sum of the greater ones;
-    of equals the first counts that begins with a shingle of any item, or ends the text. Texts with fewer words than the item, and items of fewer than five words, have no
-    pairs; null is an empty text. Rows that repeat an id are read as one document's texts and give one row for each item, as
+    of equals the first counts that begins with a shingle of any item, or ends the text. A text with fewer words than the item is
+    held against it as a whole. Items and texts of fewer than five words have no pairs; null is an empty text. Rows that repeat an id are read as one document's texts and give one row for each item, as
     do repeated items. An empty table gives no rows. Whole texts are read, by whatever number of tasks.
     """
     spark = docs.sparkSession
@@ -150,7 +151,17 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cutout = F.slice("grams", F.col("start") + 1, F.col("n") - SHINGLE + 1)
     ours = pieces.select("doc_id", "item_id", "copy", "n", "start", F.explode(cutout).alias("gram")).groupBy("doc_id", "item_id", "copy", "n", "start", "gram").agg(F.count("*").alias("c"))
     theirs = items.select("item_id", "n", F.explode("grams").alias("gram")).groupBy("item_id", "n", "gram").agg(F.count("*").alias("d"))
-    shared = ours.join(if_small(cut(theirs), 2_000_000), ["item_id", "n", "gram"]).groupBy("doc_id", "item_id", "copy", "n", "start").agg(F.sum(F.least("c", "d")).alias("both"))
+    theirs = if_small(cut(theirs), 2_000_000)
+    shared = ours.join(theirs, ["item_id", "n", "gram"]).groupBy("doc_id", "item_id", "copy", "n", "start").agg(F.sum(F.least("c", "d")).alias("both"))
     checked = shared.withColumn("similarity", F.col("both") / (2 * (F.col("n") - SHINGLE + 1) - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
+    checked = checked.select("doc_id", "item_id", "copy", "n", "start", "similarity")
+
+    # Texts with fewer words than an item, as a whole: 8/9 of their shingles at least must be known. No fingerprints are needed, as they are short.
+    has, lacks = F.size("grams"), F.col("n") - SHINGLE + 1 > F.col("m")
+    short = whole.where((F.col("copy.from") == 0) & (F.size("p") < high) & (has > 0) & (9 * F.size("hits") >= 8 * has))
+    short = short.select("doc_id", "copy", has.alias("m"), F.explode("grams").alias("gram")).groupBy("doc_id", "copy", "m", "gram").agg(F.count("*").alias("c"))
+    short = short.join(theirs, "gram").where(lacks).groupBy("doc_id", "item_id", "copy", "n", "m").agg(F.sum(F.least("c", "d")).alias("both"))
+    short = short.withColumn("similarity", F.col("both") / (F.col("n") - SHINGLE + 1 + F.col("m") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
+    checked = checked.unionByName(short.select("doc_id", "item_id", "copy", (F.col("m") + SHINGLE - 1).alias("n"), F.lit(0).alias("start"), "similarity"))
     best = F.max(F.struct("similarity", (-F.col("start") - F.col("copy.from")).alias("back"), "n"))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), F.col("b.n").alias("n_words"))

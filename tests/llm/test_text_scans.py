@@ -96,6 +96,30 @@ def test_leaks_equal_brute_force(spark, monkeypatch, segment):
     assert all(start in expected[k][1] for k, (_, start) in got.items())
 
 
+@pytest.mark.parametrize("segment", [1 << 16, 7])
+def test_texts_shorter_than_the_item_equal_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    items = [(i, [rnd.choice(words) for _ in range(n)]) for i, n in enumerate((5, 6, 9, 14, 24, 40, 59))] + [(7, ["again"] * 20)]
+    docs = []
+    for _, item in items:
+        for cut_off in range(13):
+            docs += [item[cut_off:], item[: len(item) - cut_off], item[cut_off // 2 : len(item) - cut_off + cut_off // 2]]
+            docs.append([*item[cut_off:]])
+            if docs[-1]:
+                docs[-1][rnd.randrange(len(docs[-1]))] = "changed"
+    docs.append(items[0][1][:4])
+    expected = {}
+    for d, w in enumerate(docs):
+        for i, v in items:
+            if 5 <= len(w) < len(v) and similarity(w, v) >= 0.8:
+                expected[d, i] = (round(similarity(w, v), 9), 0, len(w))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    found = decontaminate.find(df, spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string")).collect()
+    assert len(expected) > 50 and {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in found if len(docs[r.doc_id]) < len(items[r.item_id][1])} == expected
+
+
 def test_no_items_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
