@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfrank.sources.shared import cut
+
 PLACES = 9
 
 #: Items of a group that is scored as a matrix.
@@ -19,18 +18,6 @@ ITEM_BLOCK = 4096
 ADAM = (0.9, 0.999, 1e-8)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows of df from a table below spark.checkpoint.dir; where that is unset, as on one machine, below a folder of its own."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shelfrank-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def user_node(c: Column | str) -> Column:
     return F.concat(F.lit("u:"), c)
 
@@ -59,13 +46,13 @@ def normalized(edges: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, nodes: DataFrame, layers: int = 3) -> DataFrame:
     """node, vector: the mean of the node vectors (node, vector) and of their `layers` smoothings over normalised edges."""
     dims = len(nodes.select("vector").first().vector)
-    walk = _cut(normalized(edges))
+    walk = cut(normalized(edges))
     wide = nodes.select("node", *(F.col("vector")[d].cast("double").alias(f"x{d}") for d in range(dims)))
     names = [f"x{d}" for d in range(dims)]
     total, layer = wide, wide
     for _ in range(layers):
         sums = walk.join(layer.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names))
-        layer = _cut(wide.select("node").join(sums, "node", "left").fillna(0.0, names))
+        layer = cut(wide.select("node").join(sums, "node", "left").fillna(0.0, names))
         added = layer.select("node", *(F.col(x).alias(f"_{x}") for x in names))
         total = total.join(added, "node").select("node", *((F.col(x) + F.col(f"_{x}")).alias(x) for x in names))
     return total.select("node", F.array(*(F.col(x) / (layers + 1) for x in names)).alias("vector"))
@@ -109,7 +96,7 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
 
 def number(df: DataFrame, key: str) -> DataFrame:
     """df with ordinal, from 0 in the order of a unique key: numbered within ranges of the key, to which the sizes of earlier ranges are added."""
-    ranged = _cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     placed = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1).join(F.broadcast(before), "_part")
@@ -122,7 +109,7 @@ def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int,
     Each pair draws several hashed ordinals at once; draws that hit the user's items go, the lowest of the rest counts, and
     pairs without one draw again. A user who has every item is an error.
     """
-    numbered = _cut(number(items.select("parent_asin").distinct(), "parent_asin"))
+    numbered = cut(number(items.select("parent_asin").distinct(), "parent_asin"))
     n = numbered.count()
     owned = pairs.select("user_id", "parent_asin").distinct()
     if not owned.groupBy("user_id").agg(F.count("*").alias("c")).where(F.col("c") >= n).isEmpty():
@@ -133,9 +120,9 @@ def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int,
         drawn = left.select("user_id", "parent_asin", ordinals).withColumn("ordinal", F.pmod(F.xxhash64("user_id", "parent_asin", F.lit(epoch), F.lit(seed), F.col("j") + r * draws), F.lit(n)).cast("long"))
         named = drawn.join(numbered.withColumnRenamed("parent_asin", "negative"), "ordinal")
         fresh = named.join(owned.select("user_id", F.col("parent_asin").alias("negative")), ["user_id", "negative"], "left_anti")
-        got = _cut(fresh.groupBy("user_id", "parent_asin").agg(F.min_by("negative", "j").alias("negative")))
+        got = cut(fresh.groupBy("user_id", "parent_asin").agg(F.min_by("negative", "j").alias("negative")))
         found = got if found is None else found.unionByName(got)
-        left = _cut(left.join(got, ["user_id", "parent_asin"], "left_anti"))
+        left = cut(left.join(got, ["user_id", "parent_asin"], "left_anti"))
         if left.isEmpty():
             return found
     raise RuntimeError("some pairs drew only items of their users")
@@ -147,10 +134,10 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     Propagation is linear and symmetric, so the gradient by the first vectors is the propagated gradient by the final ones.
     Regularisation acts on the first vectors of the sampled users and items. Steps are those of Adam.
     """
-    edges = _cut(build_graph(train))
+    edges = cut(build_graph(train))
     start = lambda d: ((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(d)), F.lit(2_000_003)) / 2_000_003.0) - 0.5) * 0.2
     names = [f"x{d}" for d in range(dims)]
-    nodes = _cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.array(*(start(d) for d in range(dims))).alias("vector")))
+    nodes = cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.array(*(start(d) for d in range(dims))).alias("vector")))
     zero = F.array(*[F.lit(0.0)] * dims)
     state = nodes.select("node", "vector", zero.alias("m"), zero.alias("v"))
     pairs = train.select("user_id", "parent_asin").distinct()
@@ -159,12 +146,12 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     losses = []
     zip_ = lambda a, b, f: F.zip_with(a, b, f)
     for epoch in range(epochs):
-        final = _cut(propagate(edges, state.select("node", "vector"), layers))
+        final = cut(propagate(edges, state.select("node", "vector"), layers))
         sampled = sample_negatives(pairs, items, seed, epoch).select(user_node("user_id").alias("u"), item_node("parent_asin").alias("p"), item_node("negative").alias("q"))
         look = lambda name: final.select(F.col("node").alias(name), F.col("vector").alias(f"{name}v"))
         met = sampled.join(look("u"), "u").join(look("p"), "p").join(look("q"), "q")
         dot = F.aggregate(zip_("uv", zip_("pv", "qv", lambda a, b: a - b), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        met = _cut(met.withColumn("x", dot))
+        met = cut(met.withColumn("x", dot))
         pull = F.lit(-1.0 / n) / (1 + F.exp("x"))  # of the loss by x
         parts = met.select(
             F.explode(
@@ -176,7 +163,7 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
             ).alias("z")
         )
         grads = parts.groupBy("z.node").agg(*(F.sum(F.col("z.g")[d]).alias(x) for d, x in enumerate(names)), F.count("*").alias("touched"))
-        full = _cut(nodes.select("node").join(grads, "node", "left").fillna(0.0, names).fillna(0, ["touched"]))
+        full = cut(nodes.select("node").join(grads, "node", "left").fillna(0.0, names).fillna(0, ["touched"]))
         back = propagate(edges, full.select("node", F.array(*names).alias("vector")), layers)
         step = state.join(back.select("node", F.col("vector").alias("g")), "node").join(full.select("node", "touched"), "node")
         step = step.withColumn("g", zip_("g", "vector", lambda g, w: g + F.lit(reg / n) * F.col("touched") * w))
@@ -185,8 +172,8 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
         move = zip_("m", "v", lambda m, v: lr * (m / (1 - b1 ** (epoch + 1))) / (F.sqrt(v / (1 - b2 ** (epoch + 1))) + eps))
         loss = met.agg(F.avg(F.log1p(F.exp(-F.col("x"))))).first()[0]
         losses.append(float(loss))
-        state = _cut(step.select("node", zip_("vector", move, lambda w, d: w - d).alias("vector"), "m", "v"))
-    return _cut(propagate(edges, state.select("node", "vector"), layers)), losses
+        state = cut(step.select("node", zip_("vector", move, lambda w, d: w - d).alias("vector"), "m", "v"))
+    return cut(propagate(edges, state.select("node", "vector"), layers)), losses
 
 
 def save_embeddings(vectors: DataFrame, history: DataFrame, edges: DataFrame, path: str) -> None:
