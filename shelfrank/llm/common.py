@@ -1,20 +1,19 @@
-"""What the corpus operators share: tables, lineage cuts, checked broadcasts, words of byte strings."""
+"""What the corpus operators share: tables, the package in workers, words of byte strings."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
-BROADCAST_ROWS = 200_000
+from shelfrank.sources.shared import BROADCAST_ROWS, cut, if_small, scratch, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "cut", "if_small", "scratch", "shared_dir"]
 
 #: Rows of an Arrow batch, where the session has Spark's own default: texts are long.
 BATCH_ROWS = 1000
@@ -34,27 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset, below a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shelfrank-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from a table written to the shared folder, so that a lost executor costs no more than its running tasks."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df is counted, so cut() it before."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever they run, and Arrow batches fit for texts."""
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
