@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from shelfrank.llm.common import LOWER, SPACE, cut, if_small, mix, shingle_hashes, ship, take_turn, texts, word_bounds, word_hashes
 
@@ -19,8 +20,8 @@ COORDINATES = 120
 #: The bands are chosen so that a pair at the threshold shares none with at most this probability.
 MISS = 1e-6
 
-#: Rounds with pivots chosen by hash, pivots a bucket, and pivots that a member is held against in a round, before all pairs that are left are.
-PIVOT_ROUNDS, PIVOTS, MET = 2, 2, 2
+#: Pivots that a class is held against.
+MET = 2
 
 _NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
 
@@ -74,6 +75,10 @@ def _normal(data: np.ndarray, starts: np.ndarray) -> bytes:
     return LOWER[data[keep]].tobytes()
 
 
+def _digest(normal: bytes) -> bytes:
+    return hashlib.blake2b(normal, digest_size=16).digest()
+
+
 def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
     """doc_id, n_shingles, same (a digest of the normalised words; null without words), bands (a hash of each band), nibbles (four bits of each coordinate)."""
     bands = COORDINATES // r
@@ -87,21 +92,34 @@ def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
                 if not len(starts):
                     sizes.append(0), same.append(None), out.append(None), bits.append(None)
                     continue
-                normal = _normal(data, starts)
                 own = np.unique(shingle_hashes(word_hashes(LOWER[data], starts, ends), k))
                 whole = sketch(own)
                 rows = whole[: bands * r].reshape(bands, r)
                 key = np.arange(bands, dtype=np.uint64)
                 for j in range(r):
                     key = mix(key * np.uint64(0xFF51AFD7ED558CCD) + rows[:, j])
-                sizes.append(len(own)), same.append(hashlib.blake2b(normal, digest_size=16).digest()), out.append(key.view(np.int64))
+                sizes.append(len(own)), same.append(_digest(_normal(data, starts))), out.append(key.view(np.int64))
                 four = np.zeros(-(-COORDINATES // 16) * 16, np.uint64)
                 four[:COORDINATES] = mix(whole) >> np.uint64(60)
                 bits.append(np.bitwise_or.reduce(four.reshape(-1, 16) << _NIBBLES, axis=1).view(np.int64))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(out, lists), pa.array(bits, lists)], ["doc_id", "n_shingles", "same", "bands", "nibbles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<bigint>, nibbles array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<bigint>, nibbles array<bigint>")
+
+
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of each class in ids: that text of the class's smallest doc_id which has the class's words."""
+    places = if_small(cut(classes.select("id", "doc_id").join(ids, "id", "left_semi")))
+    found = docs.where("doc_id is not null").join(places, "doc_id")
+
+    def run(batches):
+        take_turn("near_dedup")
+        for batch in batches:
+            own = pa.array([_digest(_normal(data, word_bounds(data)[0])) == i.as_py() for data, i in zip(texts(batch.column("text")), batch.column("id"))], pa.bool_())
+            yield batch.filter(own)
+
+    return found.select("id", "text").mapInArrow(run, "id binary, text string").dropDuplicates(["id"])
 
 
 def _shingles(text: bytes, k: int) -> set:
@@ -109,11 +127,11 @@ def _shingles(text: bytes, k: int) -> set:
     return set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)}
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are as similar as asked for: 100 * common >= percent * united."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = docs.select("doc_id", "text").join(if_small(cut(ids)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(text.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    text = cut(texts_of(ids, classes, docs))
+    both = pairs.join(text.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batches):
         take_turn("near_dedup")
@@ -128,7 +146,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 linked.append(100 * common >= percent * (len(x) + len(known) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,30 +167,49 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("links form longer chains than can be")
 
 
-def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs.
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, component) of different components, among them all that are as similar as asked for.
 
-    Words are runs of bytes other than white space, A-Z in lower case; a document's set has its distinct runs of k words, or
-    all its words as one run if they are fewer. Documents with 100 * common >= percent * united shingles are linked; a
-    component is named by its smallest doc_id, and kept is true of the document with this id. Texts that are null or without
-    words have the empty set and stand alone. Rows that repeat an id are alike; a null id is in no component but its own
-    (null), and kept. An empty table gives an empty one; other columns are not touched. Texts are taken as a whole.
-
-    Equal word sequences are one class; only class representatives are sketched into bands, so a class of any size costs one.
-    In every band's bucket the smallest and the largest id are pivots, then, where several components are left in it, ids
-    chosen by hash. Each member is held against those pivots with which it shares most bands. Only in buckets that have
-    several components even then, every two members of different components are held against each other. So no pair of different texts that shares a band goes unexamined, unless its
-    members are connected already. A pair is verified if its sizes and four bits of each coordinate allow the similarity.
+    The shingles of every member are ranked by the number of members that hold them, the rarest first; equal numbers by hash.
+    A similar pair has `need` shingles in common at least, so the first of these has need - 1 behind it in either ranking:
+    the pair meets at a shingle that stands early in both, and at which enough are left. What a member holds alone comes
+    first and meets nobody, so a member with many words of its own makes no pairs at all, whatever the size of its group.
     """
+
+    def run(batches):
+        take_turn("near_dedup")
+        for batch in batches:
+            for data, i in zip(texts(batch.column("text")), batch.column("id")):
+                own = np.unique(shingle_hashes(word_hashes(LOWER[data], *word_bounds(data)), k)).view(np.int64)
+                for j in range(0, len(own), 50_000):
+                    part = own[j : j + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), pa.binary()), pa.array(np.full(len(part), len(own))), pa.array(part)], ["id", "n", "gram"])
+
+    held = cut(texts_of(members.select("id"), classes, docs).mapInArrow(run, "id binary, n long, gram long"))
+    common = held.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
+    by_id = W.partitionBy("id")
+    place = F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("holders", "gram"))
+    early = held.join(common, "gram").withColumn("place", place).where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent)
+    early = cut(early.join(members, "id").select("gram", "id", "component", "n", "place"))
+    several = early.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
+    early = early.join(several, "gram", "left_semi")
+    other = early.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")))
+    left_over = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    pairs = early.join(other, "gram").where((F.col("component") < F.col("component2")) & left_over)
+    return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """What group() returns, and same, the digest of each row's words."""
     ship(docs.sparkSession)
     r = band_rows(percent / 100)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = cut(_sketched(docs, k, r))
     known = whole.where("same is not null and doc_id is not null")
-    classes = cut(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "nibbles"), "doc_id").alias("x")).select("same", "id", "x.*"))
-    sketches = classes.select("id", "nibbles")
+    classes = cut(known.groupBy(F.col("same").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n_shingles", "bands", "nibbles")).alias("x")).select("id", "doc_id", "x.*"))
     banded = classes.select(F.explode("bands").alias("band"), "id", "n_shingles")
-    ends = banded.groupBy("band").agg(F.min(F.struct("id", "n_shingles")).alias("low"), F.max(F.struct("id", "n_shingles")).alias("high")).where("low.id < high.id")
-    buckets = cut(banded.join(ends, "band"))
+    full = banded.groupBy("band").agg(F.count("*").alias("classes")).where("classes > 1")
+    buckets = cut(banded.join(full, "band"))
     limit = most_different(percent / 100)
 
     def near(a: str, b: str):
@@ -185,59 +222,74 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
             different = different + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
         return different <= limit
 
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes alone rule other pairs out
-    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
-        return both.where(near("na", "nb")).select("a", "b")
-
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def most_shared(met: DataFrame) -> DataFrame:
-        """Of (id, pivot), one row a shared bucket, the pairs (a, b) of each id with the pivots it shares most with."""
-        counted = met.groupBy("id", "pivot").agg(F.count("*").alias("shared"))
-        first = W.partitionBy("id").orderBy(F.desc("shared"), "pivot")
-        return counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MET).select(*ordered(F.col("id"), F.col("pivot"))).distinct()
-
-    against = lambda p: buckets.where(fits(F.col("n_shingles"), F.col(f"{p}.n_shingles")) & (F.col("id") != F.col(f"{p}.id"))).select("id", F.col(f"{p}.id").alias("pivot"))
-    tried = cut(allowed(most_shared(against("low").unionByName(against("high")))))
-    links = cut(verify(tried, named, k, percent))
+    central = buckets.groupBy("id").agg(F.sum("classes").alias("met"))
+    pivot = F.max_by(F.struct("id", "n_shingles"), F.struct("met", "id"))
+    pivots = buckets.join(central, "id").groupBy("band").agg(pivot.alias("p"))
+    fits = F.least("n_shingles", "p.n_shingles") * 100 >= F.greatest("n_shingles", "p.n_shingles") * percent  # sizes alone rule other pairs out
+    met = buckets.join(pivots, "band").where(fits & (F.col("id") != F.col("p.id"))).groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("shared"))
+    first = W.partitionBy("id").orderBy(F.desc("shared"), "pivot")
+    most = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MET)
+    sketches = classes.select("id", "nibbles")
+    tried = most.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+    tried = tried.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
+    tried = cut(tried.where(near("na", "nb")).select("a", "b"))
+    links = cut(verify(tried, classes, docs, k, percent))
     found = components(links)
 
-    def members() -> DataFrame:
-        """The members of buckets that have several components."""
-        of = buckets.select("band", "id", "n_shingles").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = of.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        return cut(of.join(mixed, "band", "left_semi"))
-
-    for turn in range(PIVOT_ROUNDS):
-        rest = members()
-        chosen = [F.min_by(F.struct("id", "n_shingles", "component"), F.xxhash64("id", F.lit(turn * PIVOTS + j))) for j in range(PIVOTS)]
-        pivots = rest.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("band", F.explode("p").alias("p"))
-        met = rest.join(pivots, "band").where((F.col("component") != F.col("p.component")) & fits(F.col("n_shingles"), F.col("p.n_shingles")))
-        fresh = cut(allowed(most_shared(met.select("id", F.col("p.id").alias("pivot"))).join(tried, ["a", "b"], "left_anti")))
-        tried, more = tried.unionByName(fresh), cut(verify(fresh, named, k, percent))
-        links = links.unionByName(more)
-        found = components(links)
-
-    # Each pair is made in the first bucket that it shares.
-    rest = members().join(classes.select("id", "nibbles", "bands"), "id")
-    other = rest.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "n_shingles", "component", "nibbles", "bands")))
-    earlier = F.lit(False)
-    for j in reversed(range(COORDINATES // r)):
-        same = F.col("bands")[j] == F.col("bands2")[j]
-        earlier = F.when(same, F.col("bands")[j] != F.col("l.band")).otherwise(earlier)
-    of_two = (F.col("component") < F.col("component2")) & fits(F.col("n_shingles"), F.col("n_shingles2")) & ~earlier & near("nibbles", "nibbles2")
-    across = rest.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & of_two).select(*ordered(F.col("id"), F.col("id2"))).distinct()
-    more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti")), named, k, percent))
+    of = buckets.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = of.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    members = cut(of.join(mixed, "band", "left_semi").select("id", "component").distinct())
+    more = cut(verify(cut(across(members, classes, docs, k, percent).join(tried, ["a", "b"], "left_anti")), classes, docs, k, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    of_class = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    of_class = classes.select("id", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.join(names, "component").select(F.col("id").alias("same"), "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return whole.join(of_class, "same", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return whole.join(of_class, "same", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "same")
+
+
+def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs.
+
+    Words are runs of bytes other than white space, A-Z in lower case; a document's set has its distinct runs of k words, or
+    all its words as one run if they are fewer. Documents with 100 * common >= percent * united shingles are linked; a
+    component is named by its smallest doc_id, and kept is true of the document with this id. Texts that are null or without
+    words have the empty set and stand alone. Rows that repeat an id with other words are linked by their own words, and each
+    is kept if its id names its component; a null id is in no component but its own (null), and kept. An empty table gives an
+    empty one; other columns are not touched. Texts are taken as a whole.
+
+    Equal word sequences are one class, so a class of any size costs one. A class that shares bands with most others is the
+    pivot of each of its buckets, and every class is held against those pivots with which it shares most bands. Where a bucket
+    has several components after that, its classes are held against each other by their rarest shingles, see across(). So no
+    pair of different texts that shares a band goes unexamined, unless its members are connected already. A pair is read
+    only if its sizes, and for pivots four bits of each coordinate, allow the similarity.
+    """
+    return _grouped(docs, k, percent).drop("same")
+
+
+def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of docs that group() keeps, with all their columns; of rows with equal ids and equal words any one, and every row without id."""
+    kept = _grouped(docs, k, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("of"), "same").agg(F.count("*").alias("rows"))
+    kept = cut(kept.groupBy("of").agg(F.collect_set("same").alias("words"), F.sum("rows").alias("rows"), F.count_if(F.col("same").isNull()).alias("wordless")))
+    here = F.col("doc_id").cast("long") == F.col("of")
+    total = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = if_small(cut(total.select("id")))  # ids of several rows are looked at word by word
+    single = docs.join(kept, here, "left_semi").join(repeated, F.col("doc_id").cast("long") == F.col("id"), "left_anti")
+    own, schema = docs.columns, StructType([*docs.schema.fields, StructField("_same", BinaryType())])
+
+    def run(batches):
+        take_turn("near_dedup")
+        for batch in batches:
+            same = [_digest(_normal(data, starts)) if len(starts := word_bounds(data)[0]) else None for data in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary())], [*own, "_same"])
+
+    several = docs.join(repeated, F.col("doc_id").cast("long") == F.col("id"), "left_semi").mapInArrow(run, schema)
+    stays = F.when(F.col("_same").isNull(), F.col("wordless") > 0).otherwise(F.array_contains("words", F.col("_same")))
+    several = several.join(kept, here & stays, "left_semi").dropDuplicates(["doc_id", "_same"])
+    return single.unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = r"""

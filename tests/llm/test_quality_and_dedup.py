@@ -115,3 +115,40 @@ def test_sketches_agree_with_the_similarity():
             agree.append((near_dedup.sketch(a) == near_dedup.sketch(b)).mean())
         assert abs(np.mean(agree) - 0.5) < 0.05
     assert near_dedup.band_rows(0.85) == 5 and near_dedup.band_rows(0.8) == 4
+
+
+def test_repeated_ids_with_other_texts(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long), (5, "one two three four five six"), (3, long + " end"), (7, "one two three four five six"), (5, long), (None, long), (None, None), (8, None), (8, ""), (8, "x")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id int, text string, same int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.group(df, 5, 80).collect()), key=str)
+    assert got == sorted([(5, 36, 3, False), (5, 36, 3, False), (5, 2, 5, True), (3, 37, 3, True), (7, 2, 5, False), (None, 36, None, True), (None, 0, None, True), (8, 0, 8, True), (8, 0, 8, True), (8, 1, 8, True)], key=str)
+    left = near_dedup.survivors(df, 5, 80)
+    assert left.columns == df.columns
+    kept = [(r.doc_id, r.text or "") for r in left.collect()]
+    assert sorted(kept, key=str) == sorted([(5, "one two three four five six"), (3, long + " end"), (None, long), (None, ""), (8, ""), (8, "x")], key=str)
+    assert near_dedup.survivors(df.limit(0), 5, 80).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rarest_shingles_meet_every_similar_pair(spark, percent):
+    from shelfrank.llm.common import cut
+
+    rnd = random.Random(percent)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for _ in range(90):
+        words = [w for w in base if rnd.random() > 0.02]
+        for _ in range(rnd.randrange(0, 9)):
+            words[rnd.randrange(len(words))] = rnd.choice(["x", "y", f"u{rnd.random()}"])
+        texts[len(texts)] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = cut(near_dedup._sketched(df, 3, 5).selectExpr("same as id", "doc_id"))
+    name = {bytes(r.id): r.doc_id for r in classes.collect()}
+    members = classes.selectExpr("id", "id as component")
+    pairs = near_dedup.across(members, classes, df, 3, percent)
+    made = {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in pairs.collect()}
+    linked = {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in near_dedup.verify(pairs, classes, df, 3, percent).collect()}
+    sets = {d: shingles(t, 3) for d, t in texts.items()}
+    expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert expected and linked == expected <= made
