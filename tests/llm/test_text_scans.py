@@ -168,7 +168,8 @@ def test_votes_by_host(spark):
     rows += [(9, "http://h.org/9", shell.format("a much longer introduction than usual " * 30, "brief")), (10, None, "<p>alone</p>"), (11, "http://x.org", None), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
-    assert got[0][0] == ("long text " * 30).strip() and got[9] == ("brief", 5) and got[10] == ("alone", 5) and got[11] == ("", 0)
+    intro = ("a much longer introduction than usual " * 30).strip()
+    assert got[0][0] == "short intro\n" + ("long text " * 30).strip() and got[9][0] == f"{intro}\nbrief" and got[10] == ("alone", 5) and got[11] == ("", 0)
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
