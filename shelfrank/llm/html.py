@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,15 +30,21 @@ ASIDE_WORDS = frozenset(
 STATES = frozenset("no non not without with has have is hide show".split())
 #: Elements that no class word makes aside.
 MAIN = frozenset("article main".split())
-#: A start tag of these ends an open element of those.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: A start tag of these ends an open element of those, if none of these last is open in between.
+CELLS = frozenset(("table",))
+LISTS = BLOCKS - frozenset("div p address li dt dd".split())
+CLOSES = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, LISTS), "dd": ({"dt", "dd"}, LISTS), "tr": ({"tr"}, CELLS), "td": ({"td", "th"}, CELLS | {"tr"}), "th": ({"td", "th"}, CELLS | {"tr"})}
 
 #: A path is used if it has at least a tenth of its host's votes; so there are ten at most.
 SHARE = 10
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I | re.S)
-_WORD = re.compile(r"[a-z]+|\d+")
+#: A tag, with quoted values and without regard to quotes. Neither goes back over what it has passed.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+(?>"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_TAG_START = re.compile(r"/?[a-zA-Z]")
+_RAW_END = {tag: re.compile(rf"</{tag}(?:\s[^>]*+)?/?>", re.I) for tag in RAW}
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I | re.S)
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
 
 
 def _named_aside(names: str) -> bool:
@@ -48,53 +56,146 @@ def _named_aside(names: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, int, str]]:
-    """The text blocks of a page in order: path of the container, whether it is aside from the article, characters in links, text.
+def _plain(text: str) -> str:
+    """Character references decoded, and each run of white space as one space. A number too long for any character is U+FFFD."""
+    if "&" in text:
+        text = unescape(_LONG_REFERENCE.sub("\ufffd", text))
+    return " ".join(text.split())
+
+
+class Blocks(list):
+    """The text blocks of a page in order: number of the container's path, whether it is aside from the article, characters in links, text.
+
+    Paths are nodes of a tree, so that a deep page takes no more room than its tags; a parent has a smaller number than its children.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.parent, self.step, self.known = [-1], [""], {}
+
+    def below(self, parent: int, step: str) -> int:
+        """The path one step below another."""
+        new = self.known.setdefault((parent, step), len(self.parent))
+        if new == len(self.parent):
+            self.parent.append(parent)
+            self.step.append(step)
+        return new
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path >= 0:
+            steps.append(self.step[path])
+            path = self.parent[path]
+        return "/".join(reversed(steps))
+
+    def find(self, name: str) -> int | None:
+        """The path of a name; None if the page has no such path."""
+        path: int | None = 0
+        for step in name.split("/")[1:]:
+            path = self.known.get((path, step))
+            if path is None:
+                break
+        return path
+
+    def inside(self, path: int) -> list[bool]:
+        """Which paths are a path or lie below it."""
+        out = [False] * len(self.parent)
+        for i in range(path, len(out)):
+            out[i] = i == path or self.parent[i] >= 0 and out[self.parent[i]]
+        return out
+
+    def holder(self, paths: list[int]) -> int:
+        """The deepest path that holds all of these."""
+        held = [0] * len(self.parent)
+        for i in paths:
+            held[i] += 1
+        for i in range(len(held) - 1, 0, -1):
+            if held[i] == len(paths):
+                return i  # whatever holds all lies above it
+            held[self.parent[i]] += held[i]
+        return 0
+
+
+def blocks(page: str) -> Blocks:
+    """The text blocks of a page, in time that grows with its length whatever its tags.
 
     Elements that their names make aside are so unless they hold more than half of the page's good text and are the article's place:
-    an article, main or h1 is in them, or no good text is in an article or main elsewhere.
+    an article, main or h1 is in them, or no good text is in an article or main elsewhere. Where a quoted value would hide the end of
+    every later tag, quotes mean nothing from that tag on.
     """
-    out: list[tuple[str, bool, tuple[int, ...], int, str]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path, aside, elements around that names make aside; only elements that part blocks
-    named, places = 0, set()
+    out = Blocks()
+    in_main: list[bool] = []
+    # tag, path, aside, in article or main, number among the elements that names make aside; only elements that part blocks
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]
+    opened: Counter = Counter()
+    named: list[list[int]] = []  # blocks before its begin and its end, places of an article before its begin and its end
+    places = 0
     text: list[str] = []
-    linked, in_link, at, unclosed = 0, False, 0, set()
+    linked, in_link, at, seek, quotes, unclosed = 0, False, 0, 0, True, set()
+    end_of_tags = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if text:
-            value = " ".join(unescape("".join(text)).split())
-            if value:
-                out.append((*stack[-1][1:], min(linked, len(value)), value))
+            if value := _plain("".join(text)):
+                _, path, aside, main, _ = stack[-1]
+                out.append((path, aside, min(linked, len(value)), value))
+                in_main.append(main)
             text.clear()
         linked = 0
 
-    def close(tags: frozenset | set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in CONTAINERS and stack[i][0] not in tags and len(tags) > 1:
-                return
-
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
+    def pop() -> str:
+        tag, _, _, _, number = stack.pop()
+        opened[tag] -= 1
+        if number >= 0:
+            named[number][1], named[number][3] = len(out), places
+        return tag
+
+    def close(tags: set, stops: frozenset) -> None:
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in tags:
+                    while len(stack) > i:
+                        pop()
+                    return
+                if stack[i][0] in stops:
+                    return
+
+    def said(end: int) -> None:
+        nonlocal linked
+        if end > at:
+            text.append(page[at:end])
             if in_link:
-                linked += len(piece.strip())
-        at = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+                linked += len(page[at:end].strip())
+
+    while (start := page.find("<", seek)) >= 0:
+        if page.startswith("<!--", start):
+            said(start)
+            end = page.find("-->", start + 2)
+            at = seek = len(page) if end < 0 else end + 3
             continue
-        tag = tag.lower()
+        if start > end_of_tags:
+            break
+        if page.startswith(("<!", "<?"), start):
+            said(start)
+            at = seek = page.find(">", start) + 1
+            continue
+        if not _TAG_START.match(page, start + 1):
+            seek = start + 1
+            continue
+        said(start)
+        m = quotes and _TAG.match(page, start)
+        if not m:
+            quotes, m = False, _PLAIN_TAG.match(page, start)
+        at = seek = m.end()
+        end, tag, rest = m[1], m[2].lower(), m[3]
         if tag in RAW:
             text.append(" ")
             if not end and not rest.endswith("/") and tag not in unclosed:
-                if closing := re.compile(rf"</{tag}(?:\s[^>]*)?/?>", re.I).search(page, at):
-                    at = closing.end()
+                if closing := _RAW_END[tag].search(page, at, end_of_tags + 1):
+                    at = seek = closing.end()
                 elif tag in ("script", "style"):
-                    at = len(page)
+                    at = seek = len(page)
                 else:
                     unclosed.add(tag)
             continue
@@ -107,72 +208,77 @@ def blocks(page: str) -> list[tuple[str, bool, int, str]]:
         flush()
         in_link = False
         if end:
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                while pop() != tag:
+                    pass
             continue
         if stack[-1][0] == "p":
-            stack.pop()
+            pop()
         if tag in CLOSES:
-            close(CLOSES[tag])
+            close(*CLOSES[tag])
         if tag in VOID or tag in ("html", "body"):
             continue
-        _, path, aside, around = stack[-1]
+        _, path, aside, main, _ = stack[-1]
+        number, main = -1, main or tag in MAIN
         marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
+        places += tag in MAIN or tag == "h1"
         if not aside:
             aside = tag in ASIDE or "hidden" in marks
             if marks and tag not in MAIN and _named_aside(" ".join(marks.get(k, "") for k in ("class", "id", "role"))):
-                around, named = (*around, named), named + 1
+                number = len(named)
+                named.append([len(out), -1, places - (tag == "h1"), -1])
         if tag in CONTAINERS:
             names = sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").split())
-            path = f"{path}/{tag}" + "".join(f".{c}" for c in names)
-        if tag in MAIN or tag == "h1":
-            places.update(around)
-        stack.append((tag, path, aside, around))
-    text.append(page[at:])
+            path = out.below(path, tag + "".join(f".{c}" for c in names).replace("/", ""))
+        opened[tag] += 1
+        stack.append((tag, path, aside, main, number))
+    said(len(page))
     flush()
-    whole, in_main, held, held_main = 0, 0, [0] * named, [0] * named
-    for path, aside, around, linked, value in out if named else ():
-        worth = len(value) - 2 * linked
-        if not aside and worth > 0:
-            main = worth if not MAIN.isdisjoint(step.split(".")[0] for step in path.split("/")) else 0
-            whole, in_main = whole + worth, in_main + main
-            for i in around:
-                held[i] += worth
-                held_main[i] += main
-    kept = {i for i in range(named) if 2 * held[i] > whole and (i in places or in_main == held_main[i])}
-    return [(path, aside or not kept.issuperset(around), linked, value) for path, aside, around, linked, value in out]
-
-
-def best_path(found: list[tuple[str, bool, int, str]]) -> str | None:
-    """The deepest container that holds all of a page's good text; None without such text. A block that is mostly links is not good."""
-    best: list[str] | None = None
-    for path, aside, linked, value in found:
-        if aside or len(value) <= 2 * linked:
-            continue
-        steps = path.split("/")
-        if best is None:
-            best = steps
-        elif steps[: len(best)] != best:
-            best = best[: next(i for i, x in enumerate(best) if steps[i : i + 1] != [x])]
-    return None if best is None else "/".join(best)
+    while len(stack) > 1:
+        pop()
+    if named:
+        worth, of_main = [0], [0]
+        for (_, aside, links, value), main in zip(out, in_main):
+            good = max(0, len(value) - 2 * links) * (not aside)
+            worth.append(worth[-1] + good)
+            of_main.append(of_main[-1] + good * main)
+        change = [0] * (len(out) + 1)
+        for a, z, before, after in named:
+            if not (2 * (worth[z] - worth[a]) > worth[-1] and (after > before or of_main[-1] == of_main[z] - of_main[a])):
+                change[a] += 1
+                change[z] -= 1
+        out[:] = [(path, aside or around > 0, links, value) for (path, aside, links, value), around in zip(out, accumulate(change))]
+    return out
+
+
+def _good(found: Blocks) -> list[int]:
+    """Paths of a page's good text: not aside, and not mostly links. If there is none, of what an article or main has that isn't aside."""
+    good = [path for path, aside, linked, value in found if not aside and len(value) > 2 * linked]
+    if good:
+        return good
+    main = [False] * len(found.parent)
+    for i in range(1, len(main)):
+        main[i] = main[found.parent[i]] or found.step[i].split(".")[0] in MAIN
+    return [path for path, aside, _, _ in found if not aside and main[path]]
 
 
-def _below(path: str, container: str) -> bool:
-    return container == "" or path == container or path.startswith(f"{container}/")
+def best_path(found: Blocks) -> str | None:
+    """The deepest container path that holds all of a page's good text; None without such text."""
+    good = _good(found)
+    return found.name(found.holder(good)) if good else None
 
 
-def read(found: list[tuple[str, bool, int, str]], winners: list[str]) -> str:
+def read(found: Blocks, winners: list[str]) -> str:
     """The blocks below the first winning path that holds all of the page's good text, else below the page's own best path.
 
     A page without good text is read by the first winning path that it has.
     """
     own = best_path(found)
-    for path in [*(w for w in winners if own is None or _below(own, w)), own]:
+    for name in [*(w for w in winners if own is None or f"{own}/".startswith(f"{w}/")), own]:
+        path = None if name is None else found.find(name)
         if path is not None:
-            got = [v for p, aside, _, v in found if not aside and _below(p, path)]
-            if got:
+            inside = found.inside(path)
+            if got := [value for i, aside, _, value in found if not aside and inside[i]]:
                 return "\n".join(got)
     return ""
 
