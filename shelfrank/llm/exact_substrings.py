@@ -76,11 +76,19 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def cover_ranks(suffixes: list[bytes], places: list[int], members: list[int]) -> dict[tuple[int, int], int]:
+    """The rank, among all sampled suffixes of a bucket, of what begins at each step below PERIOD that leads a member into the cover."""
+    sampled = {(k, d): suffixes[k][d:] for k in members for d in range(PERIOD) if _IN[(places[k] + d) % PERIOD]}
+    rank = {s: r for r, s in enumerate(sorted(set(sampled.values())))}
+    return {key: rank[s] for key, s in sampled.items()}
+
+
 def bucket_order(suffixes: list[bytes], places: list[int]) -> tuple[list[int], list[int]]:
     """Indices of suffixes in lexicographic order, and the common length of each with the one before it.
 
-    The first PERIOD bytes are sorted as they are. Suffixes that agree in them are told apart by ranks of their own suffixes
-    at places of the cover: from two places there is a step, of less than PERIOD bytes, that leads both to ranked ones.
+    The first PERIOD bytes are sorted as they are. The suffixes that agree in them with another have the cover's places ranked,
+    once for the bucket, and are sorted by these ranks alone: from any two places there is a step, of less than PERIOD bytes,
+    that leads both to ranked ones.
     """
     order = sorted(range(len(suffixes)), key=lambda i: suffixes[i][:PERIOD])
     ties, i = [], 0
@@ -91,18 +99,14 @@ def bucket_order(suffixes: list[bytes], places: list[int]) -> tuple[list[int], l
         if j - i > 1 and len(suffixes[order[i]]) >= PERIOD:
             ties.append((i, j))
         i = j
-    for i, j in ties:
-        group = order[i:j]
-        steps = [d for d in range(PERIOD)]
-        sampled = {(k, d): suffixes[k][d:] for k in group for d in steps if _IN[(places[k] + d) % PERIOD]}
-        rank = {s: r for r, s in enumerate(sorted(set(sampled.values())))}
-        ranks = {key: rank[s] for key, s in sampled.items()}
+    ranks = cover_ranks(suffixes, places, [k for i, j in ties for k in order[i:j]])
 
-        def compare(x: int, y: int) -> int:
-            d = _STEP[places[x] % PERIOD][places[y] % PERIOD]
-            return ranks[x, d] - ranks[y, d]  # noqa: B023  both are used in this round only
+    def compare(x: int, y: int) -> int:
+        d = _STEP[places[x] % PERIOD][places[y] % PERIOD]
+        return ranks[x, d] - ranks[y, d]
 
-        order[i:j] = sorted(group, key=cmp_to_key(compare))
+    for i, j in ties:
+        order[i:j] = sorted(order[i:j], key=cmp_to_key(compare))
     common = [0] * len(order)
     for i in range(1, len(order)):
         common[i] = common_length(suffixes[order[i - 1]], suffixes[order[i]])
@@ -171,52 +175,51 @@ def bucket_reach(left: list[bytes], right: list[bytes], places: list[int], span:
 
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id and (start, end) of stretches of repeated strings; they overlap, and may end behind the text."""
+    """x, y (a row's key) and (start, end) of stretches of repeated strings; they overlap, and may end behind the text."""
     span, half = length - gram, (length - gram) // 2
 
     def find(batches):
         for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
+            for x, y, data in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), texts(batch.column("text"))):
                 at, key, around = anchors(data, length, gram)
                 for i in range(0, len(at), 50_000):
                     n = len(at[i : i + 50_000])
-                    columns = [pa.array(np.full(n, doc_id, np.int64)), pa.array(at[i : i + n]), pa.array(key[i : i + n].view(np.int64)), pa.array(around[i : i + n].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "gram", "around"])
+                    columns = [np.full(n, x, np.int64), np.full(n, y, np.int64), at[i : i + n], key[i : i + n].view(np.int64), around[i : i + n].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "at", "gram", "around"])
 
-    found = cut(docs.mapInArrow(find, "doc_id long, at long, gram long, around long"))
+    found = cut(docs.select("x", "y", "text").mapInArrow(find, "x long, y long, at long, gram long, around long"))
     shared = if_small(cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")), BROADCAST_KEYS)
-    kinds = cut(found.join(shared, "gram", "left_semi").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")))
+    kinds = cut(found.join(shared, "gram", "left_semi").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "at")).alias("first")))
     many = if_small(cut(kinds.where("n > 1").select("gram", "around")), BROADCAST_KEYS)
     whole = found.join(many, ["gram", "around"], "left_semi")
-    whole = whole.select("doc_id", F.greatest(F.col("at") - span, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
+    whole = whole.select("x", "y", F.greatest(F.col("at") - span, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
 
     # One of each kind of surroundings, in buckets that also hold another kind, with its bytes.
     several = if_small(cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")), BROADCAST_KEYS)
-    wanted = kinds.join(several, "gram", "left_semi").select("first.doc_id", F.struct("gram", "n", "first.at").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+    wanted = kinds.join(several, "gram", "left_semi").select("first.x", "first.y", F.struct("gram", "n", "first.at").alias("place")).groupBy("x", "y").agg(F.collect_list("place").alias("wanted"))
     wanted = cut(wanted)
-    ids = if_small(wanted.select("doc_id"))
-    held = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+    held = docs.select("x", "y", "text").join(if_small(wanted.select("x", "y")), ["x", "y"], "left_semi").dropDuplicates(["x", "y"]).join(wanted, ["x", "y"])
 
     # A window of the wanted length reaches half of the span to one side at least, so that half is part of the bucket's key.
     rest = span - half
 
     def look(batches):
-        names = ["bucket", "gram", "side", "doc_id", "at", "n", "left", "right"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["bucket", "gram", "side", "x", "y", "at", "n", "left", "right"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+            for x, y, text, places in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "text", "wanted"))):
                 rows, raw = [], text.encode()
-                for x in places:
-                    at, key = x["at"], x["gram"]
+                for place in places:
+                    at, key = place["at"], place["gram"]
                     left, right = raw[max(0, at - span) : at][::-1], raw[at + gram : at + length]
                     for side, own, near_, far in ((0, left, left[half:], right[:rest]), (1, right, left[:rest], right[half:])):
                         if len(own) >= half:
                             digest = hashlib.blake2b(own[:half], digest_size=8, key=(key & 0xFFFFFFFFFFFFFFFF).to_bytes(8), salt=bytes((side,))).digest()
-                            rows.append((int.from_bytes(digest, signed=True), key, side, doc_id, at, x["n"], near_, far))
+                            rows.append((int.from_bytes(digest, signed=True), key, side, x, y, at, place["n"], near_, far))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    near = cut(held.select("doc_id", "text", "wanted").mapInArrow(look, "bucket long, gram long, side int, doc_id long, at long, n long, left binary, right binary"))
+    near = cut(held.select("x", "y", "text", "wanted").mapInArrow(look, "bucket long, gram long, side int, x long, y long, at long, n long, left binary, right binary"))
     sizes = cut(near.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("bucket", "size"))
     use = near.join(if_small(sizes.where(F.col("size") <= SORTED).select("bucket"), BROADCAST_KEYS), "bucket", "left_semi")
     key = ["bucket", "gram", "side"]
@@ -227,67 +230,68 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         def done():
             back = half if now[2] == 0 else 0  # what the bucket's own half adds to the left
             after = gram + (half if now[2] else 0)
-            left, right, places = [r[2] for r in rows], [r[3] for r in rows], [r[1] + after for r in rows]
-            for r, x in zip(rows, bucket_reach(left, right, places, rest)):
-                if x:
-                    got.append((r[0], r[1] - back - x[1], r[1] - back - x[0] + length))
+            left, right, places = [r[3] for r in rows], [r[4] for r in rows], [r[2] + after for r in rows]
+            for r, reach in zip(rows, bucket_reach(left, right, places, rest)):
+                if reach:
+                    got.append((r[0], r[1], r[2] - back - reach[1], r[2] - back - reach[0] + length))
 
         got: list[tuple] = []
         for batch in batches:
-            for *this, doc_id, at, left, right in zip(*(batch.column(c).to_pylist() for c in (*key, "doc_id", "at", "left", "right"))):
+            for *this, x, y, at, left, right in zip(*(batch.column(c).to_pylist() for c in (*key, "x", "y", "at", "left", "right"))):
                 if this != now:
                     if len(rows) > 1:
                         done()
                     now, rows = this, []
-                rows.append((doc_id, at, left, right))
+                rows.append((x, y, at, left, right))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["x", "y", "start", "end"])
                 got = []
         if len(rows) > 1:
             done()
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["x", "y", "start", "end"])
 
-    small = use.select(*key, "doc_id", "at", "left", "right").repartition("bucket").sortWithinPartitions(*key)
-    edges = small.mapInArrow(sort, "doc_id long, start long, end long")
+    small = use.select(*key, "x", "y", "at", "left", "right").repartition("bucket").sortWithinPartitions(*key)
+    edges = small.mapInArrow(sort, "x long, y long, start long, end long")
 
     # Buckets too large to sort in a task: the strings of each window are counted.
     steps = F.explode(F.sequence(F.lit(0), F.lit(rest))).alias("l")
     strings = (
         near.join(if_small(sizes.where(F.col("size") > SORTED).select("bucket"), BROADCAST_KEYS), "bucket", "left_semi")
-        .select(*key, "doc_id", "at", "left", "right", steps)
+        .select(*key, "x", "y", "at", "left", "right", steps)
         .where((F.length("left") >= F.col("l")) & (F.length("right") >= rest - F.col("l")))
-        .withColumns({"x": F.expr("substring(left, 1, l)"), "y": F.expr(f"substring(right, 1, {rest} - l)")})
-        .select(*key, "doc_id", "at", "l", F.xxhash64(*key, "l", "x", "y").alias("h1"), F.xxhash64("y", "x", "l", *key).alias("h2"))
+        .withColumns({"before": F.expr("substring(left, 1, l)"), "after": F.expr(f"substring(right, 1, {rest} - l)")})
+        .select(*key, "x", "y", "at", "l", F.xxhash64(*key, "l", "before", "after").alias("h1"), F.xxhash64("after", "before", "l", *key).alias("h2"))
     )
     string = ["h1", "h2"]  # 128 bits
     counted = if_small(cut(strings.groupBy(*string).agg(F.count("*").alias("c")).where("c > 1").select(*string)), BROADCAST_KEYS)
     begin = F.col("at") - F.col("l") - F.when(F.col("side") == 0, half).otherwise(0)
-    reach = strings.join(counted, string, "left_semi").groupBy("doc_id", *key, "at").agg(F.min(begin).alias("start"), F.max(begin + length).alias("end"))
-    return whole.unionByName(edges).unionByName(reach.select("doc_id", "start", "end"))
+    reach = strings.join(counted, string, "left_semi").groupBy("x", "y", *key, "at").agg(F.min(begin).alias("start"), F.max(begin + length).alias("end"))
+    return whole.unionByName(edges).unionByName(reach.select("x", "y", "start", "end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
-    A byte goes if a string of `length` bytes over it also begins anywhere else, in the same document or another; strings do
-    not cross documents and are judged on the input. Null is the empty text. doc_id names a document: rows that repeat it are
-    copies of one text, each of which makes the other a repeat. A null id is given the place of no other id (-1 is taken as an
-    id of its own). An empty table gives an empty one. Texts are taken as a whole, in chunks of bounded memory, but for the
-    removal itself, which holds one text.
+    A byte goes if a string of `length` bytes over it also begins anywhere else, in the same row or another; strings do not
+    cross rows and are judged on the input. Null is the empty text. Every row is a document of its own, whatever its id: rows
+    without id, rows that repeat an id with another text, and rows that repeat both, of which each makes the other a repeat.
+    An empty table gives an empty one. Texts are taken as a whole, in chunks of bounded memory, but for the removal itself,
+    which holds one text.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = cut(_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
-    ids = if_small(gone.select("doc_id"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumns({"x": F.xxhash64("doc_id", "text"), "y": F.xxhash64(F.lit(1), "text", "doc_id")})  # rows that agree in both get equal results
+    gone = cut(_spans(docs, length, gram).groupBy("x", "y").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
+    ids = if_small(gone.select("x", "y"))
 
     def keep(batches):
         for batch in batches:
             out = []
             for text, spans in zip(batch.column("text"), batch.column("gone")):
-                raw = (text.as_py()).encode()
+                raw = text.as_py().encode()
                 merged: list[list[int]] = []
-                for s, e in sorted((x["start"], min(x["end"], len(raw))) for x in spans.as_py() or ()):
+                for s, e in sorted((p["start"], min(p["end"], len(raw))) for p in spans.as_py() or ()):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
@@ -302,6 +306,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    changed = docs.join(ids, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "gone").mapInArrow(keep, schema)
-    same = docs.join(ids, "doc_id", "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)).mapInArrow(keep, schema)
-    return changed.unionByName(same).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")))
+    changed = docs.join(ids, ["x", "y"], "left_semi").join(gone, ["x", "y"]).select("doc_id", "text", "gone").mapInArrow(keep, schema)
+    same = docs.join(ids, ["x", "y"], "left_anti").select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).mapInArrow(keep, schema)
+    return changed.unionByName(same)

@@ -68,6 +68,16 @@ def test_repeated_rows_and_empty_table(spark):
     assert ran(spark, [(None, "a b c")])[0][0] is None
 
 
+def test_null_and_repeated_ids(spark):
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, other = text(300), text(250)
+    rows = [(1, text(90) + shared), (None, shared + text(50)), (None, text(300)), (7, text(40) + other), (7, text(20) + other + text(60)), (8, text(400)), (None, None), (None, None)]
+    rows += [(9, rows[5][1][:150] + text(100)), (None, rows[2][1])]
+    assert ran(spark, rows) == brute(rows, 200)
+    assert sum(r[2] for r in brute(rows, 200)) >= 2 * 300 + 2 * 250 + 2 * 300
+
+
 def test_bucket_order_is_lexicographic_with_true_common_lengths():
     rnd = random.Random(4)
     words = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 5))) for _ in range(40)]
