@@ -18,9 +18,13 @@ from shelfrank.llm.common import cut, if_small
 SHINGLE = 5
 SIMILARITY = 0.8
 
-#: Greatest Hamming distance that is looked for; the 60 bits fall into RADIUS + 1 blocks.
-RADIUS = 14
-_BLOCK_BITS = 60 // (RADIUS + 1)
+#: Bits of a fingerprint, and the greatest Hamming distance that is looked for. At a similarity of 0.8 a ninth of the shingles, and
+#: of the words at most, differs, so that a bit differs with a probability of acos(8 / 9) / pi = 0.15; 24 of 60 are passed in 1 of 10^6 cases.
+BITS = 60
+RADIUS = 24
+
+#: Tables of shingles of items are broadcast up to so many rows.
+KNOWN = 500_000
 
 #: Votes are counted in lanes of 20 bits, three to a long, so in 20 longs.
 _LANES = 1 | 1 << 20 | 1 << 40
@@ -67,67 +71,63 @@ def _fingerprint(sums: list[Column], n: Column) -> Column:
 
 
 def _blocks(fingerprint: Column) -> Column:
-    """(number, bits) of each block as one integer."""
-    mask = (1 << _BLOCK_BITS) - 1
-    return F.array(*(F.shiftrightunsigned(fingerprint, _BLOCK_BITS * b).bitwiseAND(F.lit(mask)).cast("int") + (b << _BLOCK_BITS) for b in range(RADIUS + 1)))
+    """(number, bits) of each of RADIUS + 1 blocks as one integer; they share the bits as evenly as can be."""
+    edges = [BITS * b // (RADIUS + 1) for b in range(RADIUS + 2)]
+    return F.array(*(F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).cast("int") + (b << 6) for b, (a, z) in enumerate(zip(edges, edges[1:]))))
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), words and gram hashes of each item that has a shingle."""
-    made = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    return cut(made.where(F.col("n") >= SHINGLE).withColumn("grams", _shingles(F.col("words"))))
+def _key(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start, n_words: for each document and item, the best window with similarity of 0.8 or more.
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (the text's key), n (words), words and gram hashes of each different text that has a shingle."""
+    made = benchmark.select(_key(F.col("text")).alias("item"), words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    return cut(made.where(F.col("n") >= SHINGLE).dropDuplicates(["item"]).withColumn("grams", _shingles(F.col("words"))))
 
-    Similarity is that of the multisets of five-word shingles: the sum of the lesser counts over the sum of the greater ones;
-    of equals the first counts that begins with a shingle of any item, or ends the text. A text with fewer words than the item is
-    held against it as a whole. Items and texts of fewer than five words have no pairs; null is an empty text. Rows that repeat an id are read as one document's texts and give one row for each item, as
-    do repeated items. An empty table gives no rows. Whole texts are read, by whatever number of tasks.
-    """
-    spark = docs.sparkSession
-    items = _items(benchmark)
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """key (of a text), item, similarity, start, n_words: of windows that are similar enough, some of each text and item; None without items."""
     low, high = items.agg(F.min("n"), F.max("n")).first()
-    result = "doc_id bigint, item_id bigint, similarity double, start int, n_words int"
     if low is None:
-        return spark.createDataFrame([], result)
+        return None
     if high > LONGEST_ITEM:
         raise ValueError(f"an item has {high} words; at most {LONGEST_ITEM} can be counted")
-    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # distinct lengths, not items
     # A similar window shares 8/9 of its shingles with its item, so of every fourth position of a text it holds one of them.
     step = 4 if low - SHINGLE + 1 >= 4 else 1
-    known = if_small(cut(items.select(F.explode("grams").alias("gram")).distinct()), 2_000_000)
-    anchors = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.explode(_shingles(F.col("words"), step)).alias("gram"))
-    hit = if_small(cut(anchors.join(known, "gram", "left_semi").select("doc_id").distinct()))
-
-    # Words of the documents that share anything, with running sums of votes, and which positions hold a known shingle.
-    texts = docs.join(hit, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("all")).dropDuplicates(["doc_id", "text_hash"])
-    segments = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(SEGMENT))).alias("from")
-    texts = texts.select("*", segments).select("doc_id", F.struct("text_hash", "from").alias("copy"), F.slice("all", F.col("from") + 1, SEGMENT + int(high) - 1).alias("words"))
-    known = known.withColumn("known", F.lit(True))
+    known = cut(items.select("n", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_set("n").alias("lengths")))
+    known = if_small(known, KNOWN)
+    keyed = docs.select(_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
+    anchors = keyed.select("key", F.explode(_shingles(F.col("words"), step)).alias("gram"))
+    hit = if_small(cut(anchors.join(known, "gram", "left_semi").select("key").distinct()))
+
+    # Words of the texts that share anything, with running sums of votes, and the positions that hold a shingle of an item, with the items' lengths.
+    texts = keyed.join(hit, "key", "left_semi").dropDuplicates(["key"])
+    segments = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(SEGMENT))).alias("from")
+    texts = texts.select("*", segments).select(F.struct("key", "from").alias("copy"), F.slice("words", F.col("from") + 1, SEGMENT + int(high) - 1).alias("words"))
     each = F.posexplode(F.arrays_zip(F.transform("words", lambda w: F.xxhash64(w)).alias("word"), F.col("grams"))).alias("at", "x")
-    placed = texts.withColumn("grams", _shingles(F.col("words"))).select("doc_id", "copy", each).select("doc_id", "copy", "at", "x.word", F.col("x.grams").alias("gram"))
-    placed = placed.join(known, "gram", "left").repartition("doc_id", "copy")  # the words travel, not their votes
-    before = W.partitionBy("doc_id", "copy").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    summed = placed.select("doc_id", "copy", "at", "gram", "known", *(F.sum(v).over(before).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
-    gathered = summed.groupBy("doc_id", "copy").agg(
+    placed = texts.withColumn("grams", _shingles(F.col("words"))).select("copy", each).select("copy", "at", "x.word", F.col("x.grams").alias("gram"))
+    placed = placed.join(known, "gram", "left").repartition("copy")  # the words travel, not their votes
+    before = W.partitionBy("copy").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.select("copy", "at", "gram", "lengths", *(F.sum(v).over(before).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
+    gathered = summed.groupBy("copy").agg(
         F.array_sort(F.collect_list(F.struct("at", *(f"v{j}" for j in range(_LONGS))))).alias("p"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("at", "gram")))), lambda x: x["gram"]).alias("grams"),
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.col("at")))).alias("hits"),
+        F.array_sort(F.collect_list(F.when(F.col("lengths").isNotNull(), F.struct("at", "lengths")))).alias("hits"),
     )
     whole = cut(gathered)
 
-    # Of the windows with most similarity one begins at a known shingle, or it is the document's last one.
+    # Of the windows with most similarity to an item one begins at a shingle of an item of that length, or it is the text's last one.
     places, hits = F.col("p"), F.col("hits")
 
-    def windows_of(n: Column) -> Column:
+    def windows_of(n: Column, own: Column) -> Column:
         last, shingles = F.size(places) - n, n - SHINGLE + 1
         begins = F.filter(
-            F.transform(hits, lambda h, i: F.when((F.get(hits, i + _need(n) - 1) - h < shingles) & (h <= last), h)),
+            F.transform(own, lambda h, i: F.when((F.get(own, i + _need(n) - 1) - h < shingles) & (h <= last), h)),
             lambda s: s.isNotNull(),
         )
-        in_last = F.size(F.filter(hits, lambda h: (h >= last) & (h - last < shingles)))
+        in_last = F.size(F.filter(own, lambda h: (h >= last) & (h - last < shingles)))
         begins = F.array_union(begins, F.when((last >= 0) & (in_last >= _need(n)), F.array(last)).otherwise(F.array().cast("array<int>")))
         return F.transform(begins, lambda s: F.struct(n.alias("n"), s.alias("start"), printed_at(s, n).alias("print")))
 
@@ -135,33 +135,65 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         end, front = F.get(places, start + n - 1), F.get(places, start - 1)  # before the first word there is nothing
         return _fingerprint([end[f"v{j}"] - F.coalesce(front[f"v{j}"], F.lit(0).cast("long")) for j in range(_LONGS)], n)
 
-    windows = F.flatten(F.transform(F.array(*map(F.lit, sizes)), windows_of))
-    printed = whole.select("doc_id", "copy", F.inline(windows))
+    def of_length(n: Column) -> Column:
+        own = F.transform(F.filter(hits, lambda h: F.array_contains(h["lengths"], n)), lambda h: h["at"])
+        return F.flatten(F.transform(F.array(own), lambda o: windows_of(n, o)))  # the array of one makes own once
 
-    own = items.select("item_id", "n", F.explode("words").alias("w")).select("item_id", "n", F.xxhash64("w").alias("word"))
-    own = own.groupBy("item_id", "n").agg(*(F.sum(v).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
-    index = own.select("item_id", "n", _fingerprint([F.col(f"v{j}") for j in range(_LONGS)], F.col("n")).alias("item_print"))
+    lengths = F.array_distinct(F.flatten(F.transform(hits, lambda h: h["lengths"])))
+    printed = whole.select("copy", F.inline(F.flatten(F.transform(lengths, of_length))))
+
+    own = items.select("item", "n", F.explode("words").alias("w")).select("item", "n", F.xxhash64("w").alias("word"))
+    own = own.groupBy("item", "n").agg(*(F.sum(v).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
+    index = own.select("item", "n", _fingerprint([F.col(f"v{j}") for j in range(_LONGS)], F.col("n")).alias("item_print"))
     index = if_small(cut(index.select("*", F.explode(_blocks(F.col("item_print"))).alias("block"))))
-    near = printed.select("*", F.explode(_blocks(F.col("print"))).alias("block")).join(index, ["n", "block"])
+    near = cut(printed).select("*", F.explode(_blocks(F.col("print"))).alias("block")).join(index, ["n", "block"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    candidates = cut(near.select("doc_id", "copy", "n", "start", "item_id").distinct())
+    candidates = cut(near.select("copy", "n", "start", "item").distinct())
 
     # Exact check on the counts of both multisets.
-    pieces = candidates.join(whole.select("doc_id", "copy", "grams"), ["doc_id", "copy"])
+    pieces = candidates.join(whole.select("copy", "grams"), "copy")
     cutout = F.slice("grams", F.col("start") + 1, F.col("n") - SHINGLE + 1)
-    ours = pieces.select("doc_id", "item_id", "copy", "n", "start", F.explode(cutout).alias("gram")).groupBy("doc_id", "item_id", "copy", "n", "start", "gram").agg(F.count("*").alias("c"))
-    theirs = items.select("item_id", "n", F.explode("grams").alias("gram")).groupBy("item_id", "n", "gram").agg(F.count("*").alias("d"))
-    theirs = if_small(cut(theirs), 2_000_000)
-    shared = ours.join(theirs, ["item_id", "n", "gram"]).groupBy("doc_id", "item_id", "copy", "n", "start").agg(F.sum(F.least("c", "d")).alias("both"))
+    ours = pieces.select("item", "copy", "n", "start", F.explode(cutout).alias("gram")).groupBy("item", "copy", "n", "start", "gram").agg(F.count("*").alias("c"))
+    theirs = items.select("item", "n", F.explode("grams").alias("gram")).groupBy("item", "n", "gram").agg(F.count("*").alias("d"))
+    theirs = if_small(cut(theirs), KNOWN)
+    shared = ours.join(theirs, ["item", "n", "gram"]).groupBy("item", "copy", "n", "start").agg(F.sum(F.least("c", "d")).alias("both"))
     checked = shared.withColumn("similarity", F.col("both") / (2 * (F.col("n") - SHINGLE + 1) - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
-    checked = checked.select("doc_id", "item_id", "copy", "n", "start", "similarity")
+    checked = checked.select("item", "copy", "n", "start", "similarity")
 
     # Texts with fewer words than an item, as a whole: 8/9 of their shingles at least must be known. No fingerprints are needed, as they are short.
     has, lacks = F.size("grams"), F.col("n") - SHINGLE + 1 > F.col("m")
     short = whole.where((F.col("copy.from") == 0) & (F.size("p") < high) & (has > 0) & (9 * F.size("hits") >= 8 * has))
-    short = short.select("doc_id", "copy", has.alias("m"), F.explode("grams").alias("gram")).groupBy("doc_id", "copy", "m", "gram").agg(F.count("*").alias("c"))
-    short = short.join(theirs, "gram").where(lacks).groupBy("doc_id", "item_id", "copy", "n", "m").agg(F.sum(F.least("c", "d")).alias("both"))
+    short = short.select("copy", has.alias("m"), F.explode("grams").alias("gram")).groupBy("copy", "m", "gram").agg(F.count("*").alias("c"))
+    short = short.join(theirs, "gram").where(lacks).groupBy("item", "copy", "n", "m").agg(F.sum(F.least("c", "d")).alias("both"))
     short = short.withColumn("similarity", F.col("both") / (F.col("n") - SHINGLE + 1 + F.col("m") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
-    checked = checked.unionByName(short.select("doc_id", "item_id", "copy", (F.col("m") + SHINGLE - 1).alias("n"), F.lit(0).alias("start"), "similarity"))
-    best = F.max(F.struct("similarity", (-F.col("start") - F.col("copy.from")).alias("back"), "n"))
-    return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), F.col("b.n").alias("n_words"))
+    checked = checked.unionByName(short.select("item", "copy", (F.col("m") + SHINGLE - 1).alias("n"), F.lit(0).alias("start"), "similarity"))
+    return checked.select(F.col("copy.key").alias("key"), "item", "similarity", (F.col("start") + F.col("copy.from")).alias("start"), F.col("n").alias("n_words"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start, n_words: for each document and item, the best window with similarity of 0.8 or more.
+
+    Similarity is that of the multisets of five-word shingles: the sum of the lesser counts over the sum of the greater ones;
+    of equals the first counts that begins with a shingle of an item of that length, or ends the text. A text with fewer words
+    than the item is held against it as a whole. Windows are found by the distance of fingerprints, at 0.8 all but about one in
+    a million. Items and texts of fewer than five words have no pairs; null is an empty text. Rows that repeat an id are read as one document's
+    texts and give one row for each item, as do repeated items; rows without id are read as one document that has none, and
+    items likewise. Equal texts are read once. An empty table gives no rows. Whole texts are read, by whatever number of tasks.
+    """
+    found = _found(docs, _items(benchmark))
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, start int, n_words int")
+    found = if_small(cut(found))
+    owners = if_small(cut(benchmark.select("item_id", _key(F.col("text")).alias("item")).distinct()))
+    named = docs.select("doc_id", _key(F.col("text")).alias("key")).join(found, "key").join(owners, "item")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words"))
+    return named.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.n_words")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text holds no item as find() tells it, whether they have an id or not."""
+    found = _found(docs, _items(benchmark))
+    if found is None:
+        return docs
+    marked = docs.withColumn("_key", _key(F.col("text")))
+    return marked.join(if_small(cut(found.select(F.col("key").alias("_key")).distinct())), "_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

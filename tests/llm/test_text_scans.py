@@ -44,6 +44,43 @@ def test_url_model_on_held_out_hosts(spark):
     assert [r.verdict for r in rows] == ["block"] * 4 + ["allow"] * 4
 
 
+def test_url_model_on_hosts_that_no_row_has(spark):
+    rows = urls.labelled(spark).collect()
+    hosts = {r.url.split("/")[2] for r in rows}
+    unseen = ["cheap-pills", "spam-farm", "free-bets", "casino-win", "money-prize", "loan-cash"]
+    clean = ["nationalgallery", "meadow", "lighthouse", "oldbridge", "waterfall", "firestation", "sunflower", "bookbinder"]
+    assert not any(name in host for host in hosts for name in unseen + clean)
+    pages = spark.createDataFrame([(i, f"https://{n}.site.org/en/{i}") for i, n in enumerate(unseen + clean)], "page_id long, url string")
+    verdicts = [r.verdict for r in urls.judge(pages, urls.fit(urls.labelled(spark)), rules=()).orderBy("page_id").collect()]
+    assert verdicts[: len(unseen)].count("block") >= 5 and verdicts[len(unseen) :].count("allow") >= 7
+
+
+def test_url_rules_equal_their_sql_and_scores_their_definition(spark):
+    import math
+
+    import duckdb
+    from pyspark.ml.feature import HashingTF
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = urls.fit(urls.labelled(spark))
+    got = {r.page_id: r for r in urls.judge(pages, model).collect()}
+    theirs = duckdb.sql(r"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM '/root/testdata/sf0.01/pages.parquet')
+        SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+          WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p""").fetchall()
+    assert len(theirs) == len(got) and [(got[r[0]].host, got[r[0]].path, got[r[0]].rule) for r in theirs] == [r[1:] for r in theirs]
+    tf = HashingTF(numFeatures=urls.BINS)
+    verdict = {r.text: r.verdict for r in urls.RULES}
+    for r in list(got.values())[:40]:
+        z = model.intercept
+        for name, part in (("h:", f"^{r.host}$"), ("p:", f"^{r.path}$")):
+            for n in (3, 4):
+                z += sum(model.coefficients[tf.indexOf(name + part[i : i + n])] for i in range(max(1, len(part) - n + 1)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    assert all(r.verdict == (verdict[r.rule] if r.rule else "block" if r.score >= 0.5 else "allow") for r in got.values())
+
+
 # Decontamination
 
 
@@ -128,6 +165,57 @@ def test_no_items_and_no_documents(spark):
     assert [tuple(r) for r in decontaminate.find(both, items).collect()] == [(1, 1, 1.0, 0, 6)]
 
 
+def test_null_and_repeated_ids(spark):
+    item, other = "a b c d e f g h i", "q r s t u v w x y z"
+    docs = [(None, f"before {item} after"), (None, None), (None, "clean words only here now"), (7, item), (7, f"more {other}"), (8, item), (9, "clean as well, nothing here")]
+    df = spark.createDataFrame([(*d, 1.0, 2) for d in docs], "doc_id int, text string, similarity double, item_id int")
+    items = spark.createDataFrame([(1, item, 0), (None, other, 0), (1, "unlike any text that is here"), (2, item, 0), (None, None, 0)][:2] + [(2, item, 0), (None, None, 0)], "item_id long, text string, doc_id int")
+    got = sorted(((r.doc_id, r.item_id, r.similarity, r.start) for r in decontaminate.find(df, items).collect()), key=str)
+    assert got == sorted([(None, 1, 1.0, 1), (None, 2, 1.0, 1), (7, 1, 1.0, 0), (7, 2, 1.0, 0), (7, None, 1.0, 1), (8, 1, 1.0, 0), (8, 2, 1.0, 0)], key=str)
+    left = decontaminate.clean(df, items)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([docs[1], docs[2], docs[6]], key=str)
+
+
+@pytest.mark.parametrize("size", [100, 300, 1000])
+def test_windows_at_the_threshold_are_found(spark, size):
+    rnd = random.Random(size)
+    item = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+    shingles_kept = -(-8 * (size - 4) // 9)
+    run = size - 4 - shingles_kept - 4  # words in one run whose replacement leaves just 0.8
+    docs = []
+    for i in range(300):
+        at = rnd.randrange(5, size - run - 5)
+        body = [*item[:at], *(f"x{rnd.randrange(10**12)}" for _ in range(run)), *item[at + run :]]
+        docs.append((i, " ".join(["before", *body, "after"])))
+        cut = rnd.randrange(run + 4)  # the same by cutting both ends
+        body = [*(f"x{rnd.randrange(10**12)}" for _ in range(cut)), *item[cut : size - (run + 4 - cut)], *(f"x{rnd.randrange(10**12)}" for _ in range(run + 4 - cut))]
+        docs.append((1000 + i, " ".join(body)))
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(found) == len(docs) and min(r.similarity for r in found) < 0.82
+
+
+def test_leaks_of_a_table_equal_brute_force(spark):
+    root = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in table(spark, root, "documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in table(spark, root, "benchmark").select("item_id", "text").collect()]
+    by_shingle = {}
+    for i, t in items:
+        for g in shingles([x for x in re.split(r"[\W_]+", t.lower()) if x]):
+            by_shingle.setdefault(g, set()).add(i)
+    wanted, text = {}, dict(items)
+    for d, t in docs:
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        near = {i for g in shingles(w) for i in by_shingle.get(g, ())}
+        wanted |= {k: x for k, (x, _) in leaks([(d, t)], [(i, text[i]) for i in near]).items()}
+        for i in near:
+            v = [x for x in re.split(r"[\W_]+", text[i].lower()) if x]
+            if 5 <= len(w) < len(v) and similarity(w, v) >= 0.8:
+                wanted[d, i] = round(similarity(w, v), 9)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find(table(spark, root, "documents"), table(spark, root, "benchmark")).collect()}
+    assert wanted and got == wanted
+
+
 def test_blocks_find_every_print_within_the_radius(spark):
     rnd = random.Random(8)
     rows = []
@@ -208,6 +296,38 @@ def test_winner_of_the_host_is_used_where_it_holds_all_good_text():
     assert html.read(found, []) == "text" and html.read(found, ["/div", "/article"]) == "Linked head\ntext"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>The title</h1><div class=body>{}</div><p>Last paragraph.</p></article>", "The title\n{}\nLast paragraph."),
+        ("<main><section>{}</section><section>Short one.</section></main>", "{}\nShort one."),
+        ("<body><article class='share'><p>{}</p></article></body>", "{}"),
+        ("<body><div class='story-promotion-review'><p>{}</p></div><p>After.</p></body>", "{}\nAfter."),
+        ("<body><nav><a href=y>Menu</a></nav><article><a href=x>Only this link is here</a></article></body>", "Only this link is here"),
+        ("<div><p>{}</p><ul><li><nav><ul><li><a href=x>Menu</a><li>of the site</ul></nav><li>Item</ul></div>", "{}\nItem"),
+        ("<p>{} &#99999999999; &#x110000; &#65;</p>", "{} \ufffd \ufffd A"),
+    ],
+)
+def test_probed_pages_come_out_whole(page, text):
+    long = ("long text " * 60).strip()
+    assert html.read(html.blocks(page.replace("{}", long)), []) == text.replace("{}", long)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a '" * 250_000, "<a '\"" * 200_000, '<a ="' * 170_000 + ">", "<!" * 500_000, "<a " * 350_000, "<div>x" * 170_000, "<div class=widget>x" * 55_000, "<li><div>" * 110_000,
+        "<script>" + "</script x" * 100_000, "<div>" * 90_000 + "</p>" * 100_000, "&#" + "9" * 1_000_000, "<div " + "class = " * 100_000 + ">x", "<p a='" + '<p b=">x' * 100_000,
+    ],
+)
+def test_a_page_of_a_megabyte_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    assert isinstance(html.read(html.blocks(page), ["/x"]), str)
+    assert time.process_time() - began < 12
+
+
 def test_pages_of_the_smallest_table(spark):
     from html import unescape
 
