@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import norm_text, tokenize
 from shelfrank.operators.lexical import top_k
+from shelfrank.operators.ranking import best_of_row
+from shelfrank.sources.shared import cut, if_small, send_package
 
-#: Queries are sent to all tasks in blocks of so many.
-QUERY_BLOCK = 512
+#: Queries and vectors of a block, and how many blocks of queries are sent to all tasks at most.
+QUERY_BLOCK, VECTOR_BLOCK, SENT_BLOCKS = 512, 4096, 64
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -21,46 +23,49 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows (key, vector) in blocks of at most `size`: the keys, and the vectors as bytes of doubles."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, size):
+                part = batch.slice(first, size)
+                matrix = np.array(part.column("vector").to_pylist(), np.float64)
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(key))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([matrix.tobytes()], pa.binary())], list(names))
+
+    return rows.where(F.col("vector").isNotNull()).select(key, "vector").mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank of queries (query_id, vector) against vectors (id, vector).
 
-    Queries are a table that is read in blocks; each block is sent to all tasks, which hold it as a matrix, multiply it with
-    Arrow batches of vectors, and pass on their own k best rows a query. Those few meet in one more ranking.
+    Both are tables of blocks. Each block of queries meets each block of vectors as two matrices, and a task passes on the k
+    best rows of every query in it; these few meet in one more ranking. Query ids must be unique; null vectors find nothing
+    and are not found.
     """
     if k <= 0:
         raise ValueError("k must be greater than zero")
-    found = None
-    block, last = [], None
-    while True:
-        rest = queries if last is None else queries.where(F.col("query_id") > last)
-        block = rest.orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if not block:
-            break
-        last = block[-1].query_id
-        part = _block_search(vectors, [r.query_id for r in block], np.array([r.vector for r in block], np.float64), queries.schema["query_id"].dataType.simpleString(), k)
-        found = part if found is None else found.unionByName(part)
-        if len(block) < QUERY_BLOCK:
-            break
-    if found is None:
-        kind = vectors.schema["id"].dataType.simpleString()
-        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double, rank int")
-    return top_k(found, ["query_id"], "id", k)
+    send_package(vectors.sparkSession)
+    kind, asked = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    whole = queries.select("query_id", "vector").repartition(max(1, -(-queries.count() // QUERY_BLOCK)))
+    blocks = if_small(cut(_packed(whole, "query_id", QUERY_BLOCK, ("asked", "q"))), SENT_BLOCKS)
+    met = _packed(vectors, "id", VECTOR_BLOCK, ("ids", "v")).join(blocks, how="cross")  # of blocks; the queries are a stated set
 
-
-def _block_search(vectors: DataFrame, ids: list, matrix: np.ndarray, kind: str, k: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            scores = matrix @ np.array(batch["vector"].tolist(), np.float64).T
-            rows = pd.DataFrame({"query_id": np.repeat(np.array(ids, object), len(batch)), "id": np.tile(batch["id"].to_numpy(), len(ids)), "score": scores.ravel()})
-            best = rows if best is None else pd.concat((best, rows))
-            best = best.assign(r=best["score"].round(9)).sort_values(["query_id", "r", "id"], ascending=[True, False, True]).drop(columns="r").groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return vectors.select("id", "vector").mapInPandas(run, f"query_id {kind}, id {vectors.schema['id'].dataType.simpleString()}, score double")
+            asked_type, id_type = (batch.schema.field(c).type.value_type for c in ("asked", "ids"))
+            for row in batch.to_pylist():
+                ids = np.array(row["ids"], object if kind == "string" else None)
+                q, v = (np.frombuffer(row[c]).reshape(len(row[n]), -1) for c, n in (("q", "asked"), ("v", "ids")))
+                out = [(query, ids[j], scores[j]) for query, scores in zip(row["asked"], q @ v.T) for j in best_of_row(scores, ids, k)]
+                if out:
+                    columns = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], asked_type), pa.array(columns[1], id_type), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
+
+    found = met.mapInArrow(run, f"query_id {asked}, id {kind}, score double")
+    return top_k(found, ["query_id"], "id", k)
 
 
 def hashed_encoder(dims: int = 64) -> Callable[[DataFrame, str, str], DataFrame]:

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfrank.sources.shared import cut
+from shelfrank.operators.ranking import best_of_row
+from shelfrank.sources.shared import cut, if_small, send_package
 
 PLACES = 9
 
-#: Items of a group that is scored as a matrix.
-ITEM_BLOCK = 4096
+#: Items and users of a group that is scored as a matrix.
+ITEM_BLOCK, USER_BLOCK = 16_384, 4096
+
+#: A layer is sent to all tasks if it has at most so many numbers.
+SENT_VALUES = 4_000_000
 
 ADAM = (0.9, 0.999, 1e-8)
 
@@ -44,21 +48,26 @@ def normalized(edges: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, layers: int = 3) -> DataFrame:
-    """node, vector: the mean of the node vectors (node, vector) and of their `layers` smoothings over normalised edges."""
+    """node, vector: the mean of the node vectors (node, vector) and of their `layers` smoothings over normalised edges.
+
+    A layer that is small enough is sent to the edges, whose weighted vectors are then summed before they are shuffled. What
+    no edge reaches has no row in a layer, and the layers meet once, in one sum at the end.
+    """
     dims = len(nodes.select("vector").first().vector)
     walk = cut(normalized(edges))
-    wide = nodes.select("node", *(F.col("vector")[d].cast("double").alias(f"x{d}") for d in range(dims)))
     names = [f"x{d}" for d in range(dims)]
-    total, layer = wide, wide
+    layer = wide = cut(nodes.select("node", *(F.col("vector")[d].cast("double").alias(x) for d, x in enumerate(names))))
+    total = wide
     for _ in range(layers):
-        sums = walk.join(layer.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names))
-        layer = cut(wide.select("node").join(sums, "node", "left").fillna(0.0, names))
-        added = layer.select("node", *(F.col(x).alias(f"_{x}") for x in names))
-        total = total.join(added, "node").select("node", *((F.col(x) + F.col(f"_{x}")).alias(x) for x in names))
+        near = if_small(layer.withColumnRenamed("node", "src"), SENT_VALUES // max(dims, 1))
+        sums = walk.join(near, "src").groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names))
+        layer = cut(sums)
+        total = total.unionByName(layer)
+    total = total.groupBy("node").agg(*(F.sum(x).alias(x) for x in names)).join(wide.select("node"), "node", "left_semi") if layers else total
     return total.select("node", F.array(*(F.col(x) / (layers + 1) for x in names)).alias("vector"))
 
 
-def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
+def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = USER_BLOCK) -> DataFrame:
     """user_id, parent_asin, score, rank: each known user's k best items by dot product, without those seen; ties by id.
 
     Users are dealt into blocks that tasks hold as matrices against ranges of items; each task passes on its own k best after
@@ -66,9 +75,11 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
     """
     if k < 0 or block <= 0:
         raise ValueError("k must not be negative, block must be positive")
+    send_package(vectors.sparkSession)
+    vectors = cut(vectors)
     own = users.select("user_id").distinct().join(vectors.select(F.substring("node", 3, 1 << 30).alias("user_id"), F.col("vector").alias("uv"), F.substring("node", 1, 2).alias("kind")).where("kind = 'u:'").drop("kind"), "user_id")
     history = seen.groupBy("user_id").agg(F.collect_set("parent_asin").alias("seen"))
-    asked = own.join(history, "user_id", "left").select("user_id", "uv", F.coalesce("seen", F.array().cast("array<string>")).alias("seen"))
+    asked = cut(own.join(history, "user_id", "left").select("user_id", "uv", F.coalesce("seen", F.array().cast("array<string>")).alias("seen")))
     n = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int"))
     items = vectors.where(F.col("node").startswith("i:")).select(F.substring("node", 3, 1 << 30).alias("parent_asin"), F.col("vector").alias("iv"))
@@ -82,11 +93,14 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
         out = []
         if len(u) and len(i) and k:
             ids = i["parent_asin"].to_numpy()
-            scores = np.array(u["uv"].tolist()) @ np.array(i["iv"].tolist()).T
-            for user, row, mask in zip(u["user_id"], scores, u["seen"]):
-                row = np.where(np.isin(ids, list(mask)), -np.inf, row)
-                order = np.lexsort((ids, -np.round(row, PLACES)))[:k]
-                out += [(user, ids[j], float(row[j])) for j in order if np.isfinite(row[j])]
+            place = {x: j for j, x in enumerate(ids)}
+            wide = np.array(i["iv"].tolist()).T
+            for first in range(0, len(u), 256):  # so many rows of scores at once
+                part = u.iloc[first : first + 256]
+                scores = np.array(part["uv"].tolist()) @ wide
+                for user, row, mask in zip(part["user_id"], scores, part["seen"]):
+                    row[[place[x] for x in mask if x in place]] = -np.inf
+                    out += [(user, ids[j], float(row[j])) for j in best_of_row(row, ids, k)]
         return pd.DataFrame(out, columns=["user_id", "parent_asin", "score"])
 
     found = left.groupBy("block", "range").cogroup(right.groupBy("block", "range")).applyInPandas(best, "user_id string, parent_asin string, score double")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import tokenize
+from shelfrank.sources.shared import cut, if_small
 
 #: Published defaults of the Okapi formula: saturation, length weight, and the floor of negative idf values as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,7 +20,7 @@ PLACES = 9
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, idf)."""
+    """postings(term, doc_id, tf, dl), docs(doc_id, dl), terms(term, df, idf)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -35,28 +36,32 @@ def check_ids(docs: DataFrame, key: str = "doc_id") -> None:
 
 
 def build_lexical_index(docs: DataFrame) -> LexicalIndex:
-    """An index of docs (doc_id, text)."""
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n"))
-    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.join(F.broadcast(n), how="cross").withColumn("raw", raw)  # one row
-    mean = weighed.agg(F.avg("raw").alias("mean"))
-    terms = weighed.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """An index of docs (doc_id, text), whose ids must be present and unique. Texts are cut into tokens once; the tables are written below the shared folder."""
+    check_ids(docs)
+    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    postings = cut(tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
+    lengths = docs.select("doc_id").join(postings.select("doc_id", "dl").distinct(), "doc_id", "left").fillna(0, ["dl"])  # of no tokens, no postings
+    lengths = cut(lengths)
+    df = cut(postings.groupBy("term").agg(F.count("*").alias("df")))
+    n = lengths.count()
+    raw = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = df.agg(F.avg(raw)).first()[0]  # one number
+    terms = df.select("term", "df", F.when(raw < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(raw).alias("idf"))
     return LexicalIndex(postings, lengths, terms)
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank of queries (query_id, query): the k best documents that share a token; repeated tokens count."""
+    """query_id, doc_id, score, rank of queries (query_id, query): the k best documents that share a token; repeated tokens count.
+
+    The terms of the queries, of which there are few beside the corpus, are sent to the postings where their table is small.
+    """
     if k <= 0:
         raise ValueError("k must be greater than zero")
     wanted = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    average = index.docs.agg(F.avg("dl").alias("avgdl"))
-    weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = wanted.join(index.terms, "term").join(index.postings, "term").join(index.docs, "doc_id").join(F.broadcast(average), how="cross")  # one row
-    scores = met.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    asked = if_small(cut(index.terms.join(wanted, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))))
+    average = index.docs.agg(F.avg("dl")).first()[0]  # one number
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+    scores = index.postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return top_k(scores, ["query_id"], "doc_id", k)
 
 

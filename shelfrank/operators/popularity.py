@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfrank.sources.shared import cut, if_small
+
+#: Most popular items that users' histories are held against at first.
+LISTED = 4096
+
 
 def item_counts(train: DataFrame) -> DataFrame:
     return train.groupBy("parent_asin").agg(F.count("*").alias("n"))
@@ -15,28 +20,42 @@ def user_history(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", "parent_asin").distinct()
 
 
-def ranked_items(train: DataFrame, most: int) -> DataFrame:
-    """The `most` most frequent items with their rank; ids break ties. Sorted as a top list, so only these reach one task."""
-    top = item_counts(train).orderBy(F.desc("n"), "parent_asin").limit(most)
+def ranked_items(counts: DataFrame, most: int) -> DataFrame:
+    """The `most` most frequent of counted items (parent_asin, n) with their rank; ids break ties. Sorted as a top list, so only these reach one task."""
+    top = counts.orderBy(F.desc("n"), "parent_asin").limit(most)
     return top.select("parent_asin", F.col("n").alias("score"), F.row_number().over(W.orderBy(F.desc("n"), "parent_asin")).alias("rank"))
 
 
-def popularity_top_k(train: DataFrame, users: DataFrame, k: int = 10, exclude: DataFrame | None = None) -> DataFrame:
+def popularity_top_k(train: DataFrame, users: DataFrame, k: int = 10, exclude: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
     """user_id, parent_asin, rank, score: each user's k most popular items without those of their history and of `exclude`.
 
-    A user with h excluded items needs no item beyond rank k + h, so each user meets ranks 1 to k + h by equality.
+    A user who has t of the first `listed` items finds k others among the first k + t, so what is looked up is which ranks
+    of one short list a user has; the list is sent to all tasks. Only users who have nearly all of it look again at a longer one.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     seen = user_history(train)
     if exclude is not None:
-        seen = seen.unionByName(exclude.select("user_id", "parent_asin")).distinct()
-    owned = users.select("user_id").distinct().join(seen.groupBy("user_id").agg(F.count("*").alias("h")), "user_id", "left").fillna(0, ["h"])
-    most = owned.agg(F.max("h")).first()[0] or 0
-    wanted = owned.where(F.lit(k) > 0).select("user_id", F.explode(F.sequence(F.lit(1), (F.col("h") + k).cast("int"))).alias("rank"))
-    offered = wanted.join(ranked_items(train, int(most) + max(k, 1)), "rank").join(seen, ["user_id", "parent_asin"], "left_anti")
-    placed = offered.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("rank")))
-    return placed.where(F.col("place") <= k).select("user_id", "parent_asin", F.col("place").alias("rank"), "score")
+        seen = seen.unionByName(exclude.select("user_id", "parent_asin"))
+    counts, seen, left = cut(item_counts(train)), cut(seen.distinct()), cut(users.select("user_id").distinct())
+    items, out, listed = counts.count(), None, max(listed, k + 1)
+    while True:
+        top = if_small(cut(ranked_items(counts, listed)))
+        taken = seen.join(top, "parent_asin").groupBy("user_id").agg(F.collect_list("rank").alias("taken"))
+        ranks = F.coalesce("taken", F.array().cast("array<int>"))
+        open_ranks = F.array_except(F.sequence(F.lit(1), F.size(ranks) + F.lit(max(k, 1))), ranks)
+        offered = left.join(taken, "user_id", "left").select("user_id", F.size(ranks).alias("n"), F.slice(open_ranks, 1, k).alias("open"))
+        complete = (F.col("n") + k <= listed) | F.lit(listed >= items)
+        if listed < items:
+            offered = cut(offered)
+        found = offered.where(complete).select("user_id", F.posexplode("open").alias("at", "rank")).join(top, "rank").select("user_id", "parent_asin", (F.col("at") + 1).alias("rank"), "score")
+        out = found if out is None else out.unionByName(found)
+        if listed >= items:
+            return out
+        left = cut(offered.where(~complete).select("user_id"))
+        if left.isEmpty():
+            return out
+        listed *= 16
 
 
 def ranking_metrics(targets: DataFrame, recommended: DataFrame, k: int) -> DataFrame:
@@ -57,6 +76,7 @@ def ranking_metrics(targets: DataFrame, recommended: DataFrame, k: int) -> DataF
 def evaluate_popularity(splits: DataFrame, split: str, k: int = 10) -> DataFrame:
     """Metrics on a split; its users' items of earlier splits are excluded."""
     earlier = {"valid": ["train"], "test": ["train", "valid"]}[split]
+    splits = cut(splits.select("user_id", "parent_asin", "split"))  # read four times
     train, targets = splits.where("split = 'train'"), splits.where(F.col("split") == split)
     found = popularity_top_k(train, targets, k, splits.where(F.col("split").isin(earlier)))
     return ranking_metrics(targets, found, k).select(F.lit("popularity").alias("model"), F.lit(split).alias("split"), F.lit(k).alias("k"), "*")

@@ -12,6 +12,7 @@ from shelfrank.operators import audit, constraints, dense, evidence, fusion, gra
 from shelfrank.plans.oracle_parts import BM25, EVIDENCE, FUSION, GRAPH, TOKENS
 from shelfrank.sources import files
 from shelfrank.sources import testdata as td
+from shelfrank.sources.shared import cut
 from shelfrank.sources.testdata import with_sql
 from shelfrank.streaming.evidence_index import chunk_reviews
 
@@ -296,18 +297,16 @@ def token_length_stats(spark, root):
 
 
 def _queries(spark, root):
-    words = F.split("text", " ")
-    return td.read_table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 8), " ").alias("query"))
+    return td.read_table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(BM25 + "SELECT term, df, ROUND(idf, 6) AS idf FROM terms")
 def lexical_terms(spark, root):
     index = lexical.build_lexical_index(td.read_table(spark, root, "documents", ["doc_id", "text"]))
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(BM25 + """, q AS (SELECT item_id AS query_id, regexp_extract_all(replace(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM benchmark), qt AS (SELECT query_id, unnest(w) AS term FROM q),
+@query(BM25 + """, q AS (SELECT item_id AS query_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM benchmark), qt AS (SELECT query_id, unnest(w) AS term FROM q),
 s AS (SELECT query_id, p.doc_id, SUM(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT AVG(dl) FROM dl)))) AS score FROM qt JOIN postings p ON p.term = qt.term JOIN terms ON terms.term = p.term JOIN dl ON dl.doc_id = p.doc_id GROUP BY 1, 2)
 SELECT query_id, doc_id, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""".replace("\\\\", "\\"))
 def bm25_search(spark, root):
@@ -359,15 +358,17 @@ def _candidates(spark, root):
     """Thirty candidates a channel: a customer's parts by quantity, price and date, and the most frequent parts."""
     orders = td.read_table(spark, root, "orders", ["o_orderkey", "o_custkey"])
     lines = td.read_table(spark, root, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = cut(lines.select("o_custkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))  # the channels and the popular parts read it
     own = lines.groupBy(F.col("o_custkey").cast("string").alias("request_id"), F.col("l_partkey").cast("string").alias("parent_asin")).agg(F.max("l_quantity").alias("dense"), F.max("l_extendedprice").alias("bm25"), F.max(F.unix_timestamp("l_shipdate")).cast("double").alias("lightgcn"))
+    own = cut(own.repartition("request_id"))
     out = None
     for name in ("dense", "bm25", "lightgcn"):
         part = lexical.top_k(own.select("request_id", "parent_asin", F.col(name).alias("score")), ["request_id"], "parent_asin", 30).withColumn("channel", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    ranked = popularity.ranked_items(lines.select(F.col("l_partkey").cast("string").alias("parent_asin")), 30)
+    ranked = popularity.ranked_items(popularity.item_counts(lines.select(F.col("l_partkey").cast("string").alias("parent_asin"))), 30)
     everyone = td.read_table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("rank"))
-    popular = everyone.join(ranked.withColumn("score", F.col("score").cast("double")), "rank").withColumn("channel", F.lit("popularity"))
-    return out.unionByName(popular)
+    top = F.broadcast(ranked.withColumn("score", F.col("score").cast("double")))  # thirty rows
+    return out.unionByName(everyone.join(top, "rank").withColumn("channel", F.lit("popularity")))
 
 
 def _items(spark, root):
@@ -510,8 +511,14 @@ def pairwise_wins(spark, root):
 # The graph model.
 
 
-def _start(train):
-    nodes = graph.build_graph(train).select(F.col("src").alias("node")).distinct()
+def _propagated(train):
+    """Edges of the training rows, and their nodes' vectors after two layers."""
+    edges = cut(graph.build_graph(train))
+    return graph.propagate(edges, _start(edges), 2)
+
+
+def _start(edges):
+    nodes = edges.select(F.col("src").alias("node")).distinct()
     number = F.substring("node", 3, 20).cast("double")
     return nodes.select("node", F.array(F.when(F.col("node").startswith("u:"), number / 1000).otherwise(-number / 2000), number % 7).alias("vector"))
 
@@ -519,7 +526,7 @@ def _start(train):
 @query(GRAPH + "SELECT node, ROUND((x0 + x1 + x2) / 3, 6) AS a, ROUND((y0 + y1 + y2) / 3, 6) AS b FROM final")
 def graph_propagate(spark, root):
     train = td.splits(spark, root).where("split = 'train'")
-    out = graph.propagate(graph.build_graph(train), _start(train), 2)
+    out = _propagated(train)
     return out.select("node", F.round(F.col("vector")[0], 6).alias("a"), F.round(F.col("vector")[1], 6).alias("b"))
 
 
@@ -527,6 +534,5 @@ def graph_propagate(spark, root):
 s AS (SELECT substr(u.node, 3) AS user_id, substr(i.node, 3) AS parent_asin, u.a * i.a + u.b * i.b AS score FROM v u, v i WHERE u.node LIKE 'u:%' AND i.node LIKE 'i:%')
 SELECT s.user_id, s.parent_asin, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY s.user_id ORDER BY ROUND(score, 9) DESC, s.parent_asin) AS INTEGER) AS rank FROM s ANTI JOIN (SELECT * FROM splits WHERE split = 'train') h ON h.user_id = s.user_id AND h.parent_asin = s.parent_asin QUALIFY rank <= 10""")
 def graph_top_k(spark, root):
-    train = td.splits(spark, root).where("split = 'train'")
-    vectors = graph.propagate(graph.build_graph(train), _start(train), 2)
-    return graph.graph_top_k(vectors, train, train, 10).select("user_id", "parent_asin", F.round("score", 6).alias("score"), "rank")
+    train = cut(td.splits(spark, root).where("split = 'train'").select("user_id", "parent_asin"))
+    return graph.graph_top_k(_propagated(train), train, train, 10).select("user_id", "parent_asin", F.round("score", 6).alias("score"), "rank")

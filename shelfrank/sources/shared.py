@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +65,17 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df is counted, so cut() it before."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def send_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfrank_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-shelfrank-"), "shelfrank_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._shelfrank_sent = True
