@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.sources.shared import BROADCAST_ROWS, cut, if_small, scratch, shared_dir
+from shelfrank.sources.shared import BROADCAST_ROWS, cut, if_small, scratch, send_package, shared_dir
 
 __all__ = ["BROADCAST_ROWS", "cut", "if_small", "scratch", "shared_dir"]
 
@@ -34,20 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever they run, and Arrow batches fit for texts."""
+    """Makes this package importable in Python workers; where the session has Spark's default of 10000 rows, Arrow batches get 1000 from here on, for texts are long."""
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_shelfrank_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="spark-shelfrank-"), "shelfrank_package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._shelfrank_shipped = True
+    send_package(spark)
 
 
 _kept: dict[str, Callable[[], None]] = {}
