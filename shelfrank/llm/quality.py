@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,23 +100,38 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarray:
-    """Weights of a logistic regression with a squared penalty, by accelerated gradient steps."""
-    w = np.zeros(x.shape[1])
-    ahead, t = w.copy(), 1.0
-    rate = 1 / (0.25 * (x**2).sum(1).max() + penalty)
+    """Weights of a logistic regression with a squared penalty, by accelerated gradient steps. All in the precision of x, so x is never copied."""
+    w = np.zeros(x.shape[1], x.dtype)
+    ahead, t = w, 1.0
+    rate = x.dtype.type(1 / (0.25 * float(np.einsum("ij,ij->i", x, x).max()) + penalty))
+    y = y.astype(x.dtype)
     for _ in range(steps):
-        slope = x.T @ (1 / (1 + np.exp(-(x @ ahead))) - y) / len(y) + penalty * ahead
+        slope = (1 / (1 + np.exp(-(x @ ahead))) - y) @ x / x.dtype.type(len(y)) + x.dtype.type(penalty) * ahead
         new = ahead - rate * slope
-        nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / nxt * (new - w), new, nxt
+        nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, w, t = new + x.dtype.type((t - 1) / nxt) * (new - w), new, nxt
     return w
 
 
+def _fitted(x: np.ndarray, y: np.ndarray) -> Model | None:
+    """A model of feature rows and labels; None if one of the halves lacks a label."""
+    half = np.arange(len(y)) % 2 == 0
+    if any(set(part.tolist()) != {0.0, 1.0} for part in (y[half], y[~half])):
+        return None
+    penalty = 1e-4
+    held = np.empty(len(y))
+    held[half] = x[half] @ _logistic(x[~half], y[~half], penalty)
+    held[~half] = x[~half] @ _logistic(x[half], y[half], penalty)
+    line = _logistic(np.stack((held, np.ones(len(y))), 1), y, 1e-3)
+    return Model(_logistic(x, y, penalty), float(line[0]), float(line[1]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model | None:
     """A model from at most `rows` labelled documents; None if they don't show both labels.
 
     Labels without id or quality are passed over; of several labels of a document the lowest counts. The log-odds are
-    calibrated on scores that each half of the sample gets from a model of the other half.
+    calibrated on scores that each half of the sample gets from a model of the other half. One task fits the sample, whose
+    size `rows` bounds, and only the model reaches the driver.
     """
     ship(docs.sparkSession)
     chosen = (
@@ -125,21 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow()  # at most `rows` ids
-    if found.num_rows == 0:
-        return None
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    y = found["label"].to_numpy()[order].astype(float)
-    x = np.stack([np.frombuffer(v, np.float32) for v in found["x"].to_pylist()])[order].astype(np.float64)
-    half = np.arange(len(y)) % 2 == 0
-    if min(y.min(), y[half].min(initial=1), y[~half].min(initial=1)) == 1 or y.max() == 0 or y[half].max(initial=0) == 0 or y[~half].max(initial=0) == 0:
-        return None
-    penalty = 1e-4
-    held = np.empty(len(y))
-    held[half] = x[half] @ _logistic(x[~half], y[~half], penalty)
-    held[~half] = x[~half] @ _logistic(x[half], y[half], penalty)
-    line = _logistic(np.stack((held, np.ones(len(y))), 1), y, 1e-3)
-    return Model(_logistic(x, y, penalty), float(line[0]), float(line[1]))
+    featured = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most `rows` ids
+
+    def run(batches):
+        found = []
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, 2 * BINS + 1)
+            found.append((batch.column("doc_id").to_numpy(), batch.column("label").to_numpy(), x))
+        if found:
+            ids, y, x = (np.concatenate(parts) for parts in zip(*found))
+            found.clear()
+            # rows that repeat an id are told apart by their features
+            order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), ids))
+            if model := _fitted(x[order], y[order].astype(float)):
+                columns = [pa.array([model.weights.astype(np.float64).tobytes()]), pa.array([model.slope]), pa.array([model.offset])]
+                yield pa.RecordBatch.from_arrays(columns, ["weights", "slope", "offset"])
+
+    made = featured.repartition(1).mapInArrow(run, "weights binary, slope double, offset double").first()
+    return Model(np.frombuffer(made.weights), made.slope, made.offset) if made else None
 
 
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
