@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfrank.llm import bpe, decontaminate, near_dedup, quality, secrets
-from shelfrank.llm.common import cut, if_small, table
+from shelfrank.llm.common import cut, scratch, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,17 +16,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents linked by 0.8 of their five-word shingles, the one with the smallest id; a row without id stays."""
-    groups = near_dedup.group(docs, k=5, percent=80)
-    kept = if_small(cut(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))))
-    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return near_dedup.survivors(docs, k=5, percent=80).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(if_small(cut(found.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again before the next."""
+    """All stages over documents; each stage's rows are written and read again before the next, and what it wrote on the way is removed."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
+    for _, stage in STAGES:
+        path = shared_dir(spark)
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), path)
     return docs
