@@ -42,16 +42,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the intermediate tables that were written within. What is read later must be written elsewhere by then."""
+def recorded() -> Iterator[list[str]]:
+    """The list of folders that are named within, which grows meanwhile."""
     own: list[str] = []
     _written.append(own)
     try:
-        yield
+        yield own
     finally:
         _written[:] = [paths for paths in _written if paths is not own]
-        for path in own:
-            delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the intermediate tables that were written within. What is read later must be written elsewhere by then."""
+    with recorded() as own:
+        try:
+            yield
+        finally:
+            for path in own:
+                delete(spark, path)
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
