@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the labelled lines of a product document, in order.
@@ -54,12 +54,33 @@ def float_text(c: Column) -> Column:
 
 
 def product_document(title: Column, brand: Column, main_category: Column, categories: Column, features: Column, details: Column, description: Column) -> Column:
-    """Seven labelled lines; lists are joined by ' | ', details are shown as key: value sorted by key; absent values are left out of their line."""
+    """Seven labelled lines; lists are joined by ' | ' without blank entries, details are shown as key: value sorted by key; absent values are left out of their line."""
     parsed = F.from_json(details, "map<string,variant>")
-    shown = F.array_join(F.transform(F.array_sort(F.map_keys(parsed)), lambda k: F.concat(k, F.lit(": "), F.to_json(parsed[k]))), " | ")
+    shown = F.array_join(F.transform(F.array_sort(F.map_keys(parsed)), lambda k: F.concat(k, F.lit(": "), _spaced(F.to_json(parsed[k])))), " | ")
     broken = details.isNotNull() & F.try_parse_json(details).isNull()
-    values = (title, brand, main_category, F.array_join(categories, " | "), F.array_join(features, " | "), F.when(broken, details).otherwise(shown), description)
-    return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), F.coalesce(v, F.lit(""))) for label, v in zip(DOCUMENT_LINES, values)))
+    joined = lambda c: F.array_join(norm_list(c), " | ")
+    values = (title, brand, main_category, joined(categories), joined(features), F.when(broken, details).otherwise(shown), description)
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), F.coalesce(norm_text(v), F.lit(""))) for label, v in zip(DOCUMENT_LINES, values)))
+
+
+def _spaced(json: Column) -> Column:
+    """Compact JSON with a space behind each comma and colon that isn't in a text."""
+    tokens = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*+"|[^",:]+|[,:])'), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
+
+
+def finite(c: Column) -> Column:
+    """A number that is neither infinite nor NaN, else null."""
+    return F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf"))), c)
+
+
+def product_payload(items: DataFrame, document: Column) -> DataFrame:
+    """Items as they are stored beside their vectors: with their document, floats that aren't finite as null, dates and times as text."""
+    columns = []
+    for field in items.schema.fields:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        columns.append((finite(c) if kind in ("float", "double") else c.cast("string") if kind in ("date", "timestamp", "timestamp_ntz") else c).alias(field.name))
+    return items.select(*(c for c, f in zip(columns, items.schema.fields) if f.name != "document"), document.alias("document"))
 
 
 def review_text(title: Column, rating: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions.text import norm_text
 from shelfrank.operators.dense import cosine
+from shelfrank.sources.shared import cut
 
 #: Chunks asked for at first and at most, reviews shown, and the rating that counts as low.
 FIRST_CHUNKS, MOST_CHUNKS, REVIEWS, LOW_RATING = 10, 20, 5, 3.0
@@ -65,6 +66,36 @@ def gather(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     return add_low_rating(select_evidence(expand_if_sparse(ranked)), evidence_search(pairs, chunks, MOST_CHUNKS, LOW_RATING))
 
 
+def check_scope(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
+    """request_id and foreign: how many chunks of a request are of no product that it asks for; a row for each request that has any."""
+    return evidence.join(pairs.select(*PAIR).distinct(), PAIR, "left_anti").groupBy("request_id").agg(F.count("*").alias("foreign"))
+
+
+def check_sizes(first: int, most: int, reviews: int) -> None:
+    """Raises where the numbers of chunks and reviews make no sense."""
+    if first <= 0 or reviews <= 0:
+        raise ValueError("the first chunks and the reviews must be more than zero")
+    if most < first:
+        raise ValueError("there must be at least as many chunks at most as at first")
+
+
+def explain_batch(pairs: DataFrame, chunks: DataFrame, payloads: DataFrame | None = None, first: int = FIRST_CHUNKS, most: int = MOST_CHUNKS, reviews: int = REVIEWS) -> DataFrame:
+    """The explanation of each pair (request_id, parent_asin, title, vector) from its evidence: what a model wrote (payloads) where that is sound, else the fixed one.
+
+    Of repeated pairs the one with the greatest title counts. A blank product is an error. A request with a chunk of another
+    product falls back to the fixed texts without evidence.
+    """
+    check_sizes(first, most, reviews)
+    if not pairs.where(F.trim("parent_asin").isNull() | (F.trim("parent_asin") == "")).isEmpty():
+        raise ValueError("parent_asin must not be blank")
+    once = cut(pairs.groupBy(*PAIR).agg(F.max_by(F.struct("title", "vector"), F.coalesce("title", F.lit(""))).alias("x")).select(*PAIR, "x.*"))
+    ranked = evidence_search(once, chunks, most)
+    found = cut(add_low_rating(select_evidence(expand_if_sparse(ranked, first, reviews), reviews), evidence_search(once, chunks, most, LOW_RATING), reviews))
+    found = found.join(check_scope(found, once), "request_id", "left_anti")
+    named = once.select(*PAIR, "title")
+    return template_explanations(named, found) if payloads is None else validate_explanations(payloads, named, found)
+
+
 def template_explanations(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     """The fixed explanation of each pair (request_id, parent_asin, title) from its evidence."""
     first = F.min(F.when(F.col("rating") <= LOW_RATING, F.struct("review_place", "rank", "review_id")))["review_id"]

@@ -31,11 +31,17 @@ class Fused:
 def merge(candidates: DataFrame) -> DataFrame:
     """One row for each (request, item) of candidates (request_id, channel, rank, parent_asin, score): sources in order, ranks and scores by source.
 
-    Of repeats within a channel the last listed counts; a rank that isn't positive is replaced by the place in the list.
+    A channel's list is in the order of its optional column `place`, from 1; without that column in the order of rank, then
+    item. Of repeats within a channel the last listed counts; a rank that is null or not positive is replaced by the place in
+    the list.
     """
-    known = candidates.where(F.col("channel").isin(*CHANNELS) & (F.trim("parent_asin") != ""))
+    known = candidates.where(F.col("channel").isin(*CHANNELS))
+    if "place" not in candidates.columns:
+        listed = W.partitionBy("request_id", "channel").orderBy(F.asc_nulls_last("rank"), "parent_asin")
+        known = known.withColumn("place", F.row_number().over(listed))
+    known = known.withColumn("parent_asin", F.trim("parent_asin")).where(F.col("parent_asin") != "").withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.col("place")))
     order = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel")).cast("int")
-    last = known.groupBy("request_id", "parent_asin", "channel", order.alias("o")).agg(F.max(F.struct("rank", "score")).alias("x"))
+    last = known.groupBy("request_id", "parent_asin", "channel", order.alias("o")).agg(F.max_by(F.struct("rank", "score"), "place").alias("x"))
     entry = F.struct("o", "channel", F.col("x.rank").alias("rank"), F.col("x.score").alias("score"))
     grouped = last.groupBy("request_id", "parent_asin").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     pick = lambda name: F.transform("e", lambda x: x[name])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfrank.operators.graph import graph_top_k
 from shelfrank.sources.shared import cut, if_small
 
 #: Most popular items that users' histories are held against at first.
@@ -82,6 +83,15 @@ def evaluate_popularity(splits: DataFrame, split: str, k: int = 10) -> DataFrame
     return ranking_metrics(targets, found, k).select(F.lit("popularity").alias("model"), F.lit(split).alias("split"), F.lit(k).alias("k"), "*")
 
 
+def evaluate_graph(vectors: DataFrame, splits: DataFrame, split: str, k: int = 10) -> DataFrame:
+    """Metrics of the graph model's node vectors on a split, as in evaluate_popularity()."""
+    earlier = {"valid": ["train"], "test": ["train", "valid"]}[split]
+    splits = cut(splits.select("user_id", "parent_asin", "split"))
+    targets = splits.where(F.col("split") == split)
+    found = graph_top_k(vectors, targets, splits.where(F.col("split").isin(earlier)), k)
+    return ranking_metrics(targets, found, k).select(F.lit("lightgcn").alias("model"), F.lit(split).alias("split"), F.lit(k).alias("k"), "*")
+
+
 def merge_metrics(metrics: DataFrame, ks: list[int]) -> DataFrame:
     """One row for each (model, split): the metrics at each k side by side."""
     keys = metrics.groupBy("model", "split").pivot("k", ks).agg(F.first("recall").alias("recall"), F.first("ndcg").alias("ndcg"), F.first("hit_rate").alias("hit_rate"))

@@ -10,6 +10,8 @@ from shelfrank.functions.text import norm_key, norm_text
 
 #: Upper bounds of the buckets of interactions per user.
 BUCKETS = ((1, 5, "1-5"), (6, 10, "6-10"), (11, 20, "11-20"), (21, 50, "21-50"), (51, 100, "51-100"), (101, 200, "101-200"), (201, None, "201+"))
+#: Exact, substitute, complement, irrelevant.
+LABELS = ("E", "S", "C", "I")
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
 
@@ -91,6 +93,38 @@ def label_overlap(resolved: DataFrame, locale: str = "us") -> DataFrame:
     ).withColumn("query_coverage", F.round(F.col("matched_queries") / F.col("queries"), 6))
 
 
+def label_overlap_report(resolved: DataFrame) -> DataFrame:
+    """By locale and split: rows, queries and products, all and matched, rows of each label that matched, and coverage."""
+    rows = resolved.withColumn("hit", F.col("parent_asin").isNotNull())
+    labels = [F.count_if(F.col("hit") & (F.col("label") == x)).alias(f"matched_{x}") for x in LABELS]
+    matched = lambda c: F.count_distinct(F.when(F.col("hit"), F.col(c)))
+    return rows.groupBy("product_locale", "split").agg(
+        F.count("*").alias("rows"), F.count_distinct("query_id").alias("queries"), F.count_distinct("product_id").alias("products"),
+        F.count_if(F.col("hit")).alias("matched_rows"), matched("query_id").alias("matched_queries"), matched("product_id").alias("matched_products"), matched("parent_asin").alias("matched_items"), *labels,
+    ).withColumn("query_coverage", F.round(F.col("matched_queries") / F.col("queries"), 6))
+
+
+def matched_items(resolved: DataFrame, items: DataFrame, locale: str = "us") -> DataFrame:
+    """By split of a locale, and of all its splits together (`union`): distinct matched items, and their share of the catalog."""
+    hits = resolved.where((F.col("product_locale") == locale) & F.col("parent_asin").isNotNull()).select("split", "parent_asin")
+    each = hits.unionByName(hits.withColumn("split", F.lit("union"))).groupBy("split").agg(F.count_distinct("parent_asin").alias("items"))
+    total = items.agg(F.count_distinct("parent_asin").alias("catalog"))
+    return each.join(F.broadcast(total), how="cross").select("split", "items", F.round(F.col("items") / F.col("catalog"), 6).alias("share"))  # one row
+
+
+def quality_totals(reviews: DataFrame) -> DataFrame:
+    """reviews, users, items, and the most reviews that an item has, as one row."""
+    per_item = reviews.groupBy("parent_asin").agg(F.count("*").alias("n"))
+    most = per_item.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most_per_item"), F.count("*").alias("items"))
+    return reviews.agg(F.count("*").alias("reviews"), F.count_distinct("user_id").alias("users")).join(most, how="cross")  # one row each
+
+
+def brand_summary(items: DataFrame) -> DataFrame:
+    """items, how many name a brand and how many don't, and distinct brands, as one row."""
+    key = norm_key(F.col("brand"))
+    return items.agg(F.count("*").alias("items"), F.count(key).alias("named"), F.count_if(key.isNull()).alias("missing"), F.count_distinct(key).alias("brands"))
+
+
 def candidate_count_summary(matched: DataFrame, key: str = "query_id") -> DataFrame:
     """Candidates per key: n, how many have 1, 2, 5, 10 or more, least, upper median, greatest; zeros without rows."""
     counts = matched.groupBy(key).agg(F.count("*").alias("c"))

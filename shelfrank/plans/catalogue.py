@@ -536,3 +536,6 @@ SELECT s.user_id, s.parent_asin, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVE
 def graph_top_k(spark, root):
     train = cut(td.splits(spark, root).where("split = 'train'").select("user_id", "parent_asin"))
     return graph.graph_top_k(_propagated(train), train, train, 10).select("user_id", "parent_asin", F.round("score", 6).alias("score"), "rank")
+
+
+from shelfrank.plans import requests  # noqa: E402, F401  registers its queries here

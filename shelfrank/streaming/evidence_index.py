@@ -10,15 +10,31 @@ from pyspark.sql import functions as F
 from shelfrank.functions.text import norm_text, point_id, review_text, word_windows
 from shelfrank.operators.dense import embed
 
-#: Fixed value: the namespace of chunk ids.
-NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+#: The namespace of chunk ids, and the fields of a chunk (its time is named ts in all tables here).
+NAMESPACE = "d905ef4d-b156-43e9-a02c-00e439a1f17d"
 PAYLOAD = ("parent_asin", "review_id", "chunk_id", "rating", "title", "text", "chunk_text", "helpful_vote", "verified_purchase", "ts")
+#: Fixed value: where texts are split, the first that parts a text.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
+
+
+def usable_reviews(reviews: DataFrame) -> DataFrame:
+    """Reviews with both ids and anything to show, with `_shown`, their rendered text."""
+    ids = norm_text(F.col("review_id")).isNotNull() & norm_text(F.col("parent_asin")).isNotNull()
+    shown = reviews.where(ids).withColumn("_shown", review_text(F.col("title"), F.col("rating"), F.col("text")))
+    return shown.where(norm_text(F.col("_shown")).isNotNull())
+
+
+def chunk_stats(reviews: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
+    """reviews, skipped (without ids or text), split (more than one chunk) and chunks, as one row."""
+    parts = usable_reviews(reviews).select(F.size(word_windows(F.col("_shown"), size, overlap)).alias("n"))
+    used = parts.agg(F.count("*").alias("used"), F.count_if(F.col("n") > 1).alias("split"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    total = reviews.agg(F.count("*").alias("reviews"))
+    return total.join(used, how="cross").select("reviews", (F.col("reviews") - F.col("used")).alias("skipped"), "split", "chunks")  # one row each
 
 
 def chunk_reviews(reviews: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
-    """The ten payload fields of each chunk of reviews that have their ids and a text."""
-    usable = reviews.where(F.col("review_id").isNotNull() & F.col("parent_asin").isNotNull() & norm_text(F.col("text")).isNotNull())
-    parts = usable.select("*", F.posexplode(word_windows(review_text(F.col("title"), F.col("rating"), F.col("text")), size, overlap)).alias("_i", "_chunk"))
+    """The ten payload fields of each chunk of usable reviews."""
+    parts = usable_reviews(reviews).select("*", F.posexplode(word_windows(F.col("_shown"), size, overlap)).alias("_i", "_chunk"))
     made = parts.withColumn("chunk_id", F.concat("review_id", F.lit("#chunk_"), F.col("_i"))).withColumn("chunk_text", F.concat(F.lit("passage: "), F.col("_chunk")))
     return made.select(*PAYLOAD)
 
@@ -27,12 +43,11 @@ def split_text(df: DataFrame, text: str, size: int, overlap: int, length: Callab
     """df with chunks (array): split at the first separator that parts the text, pieces joined up to `size` as measured by `length`."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    separators = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
     def pieces(value: str, level: int = 0) -> list[str]:
-        if length(value) <= size or level == len(separators):
+        if length(value) <= size or level == len(SEPARATORS):
             return [value]
-        separator = separators[level]
+        separator = SEPARATORS[level]
         parts = list(value) if not separator else [p + separator for p in value.split(separator)[:-1]] + [value.split(separator)[-1]]
         return [x for p in parts if p for x in (pieces(p, level + 1) if length(p) > size else [p])]
 
