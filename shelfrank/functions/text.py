@@ -53,10 +53,14 @@ def float_text(c: Column) -> Column:
     return c.cast("double").cast("string")
 
 
-def product_document(title: Column, brand: Column, main_category: Column, categories: Column, features: Column, details: Column, description: Column) -> Column:
-    """Seven labelled lines; lists are joined by ' | ' without blank entries, details are shown as key: value sorted by key; absent values are left out of their line."""
+def product_document(title: Column, brand: Column, main_category: Column, categories: Column, features: Column, details: Column, description: Column, spaced: bool = False) -> Column:
+    """Seven labelled lines; lists are joined by ' | ' without blank entries, details are shown as key: value sorted by key; absent values are left out of their line.
+
+    Values of details are JSON, compact or, if spaced, with a space behind each comma and colon outside of texts.
+    """
+    shown_as = _spaced if spaced else lambda json: json
     parsed = F.from_json(details, "map<string,variant>")
-    shown = F.array_join(F.transform(F.array_sort(F.map_keys(parsed)), lambda k: F.concat(k, F.lit(": "), _spaced(F.to_json(parsed[k])))), " | ")
+    shown = F.array_join(F.transform(F.array_sort(F.map_keys(parsed)), lambda k: F.concat(k, F.lit(": "), shown_as(F.to_json(parsed[k])))), " | ")
     broken = details.isNotNull() & F.try_parse_json(details).isNull()
     joined = lambda c: F.array_join(norm_list(c), " | ")
     values = (title, brand, main_category, joined(categories), joined(features), F.when(broken, details).otherwise(shown), description)

@@ -263,7 +263,7 @@ def product_payloads(spark, root):
 def nested_documents(spark, root):
     """Blank entries of lists go, scalars are trimmed, nested details have a space behind commas and colons."""
     details = F.concat(F.lit('{"Size": "'), "color", F.lit(":"), "category", F.lit('", "Color": {"b": [1,2], "a": "x, y: z"}}'))
-    document = t.product_document(F.concat(F.lit(" "), "title"), F.col("brand"), F.lit("  "), F.array("category", F.lit(" "), F.concat("color", F.lit(" "))), F.array(F.lit("")), details, F.lit(" d "))
+    document = t.product_document(F.concat(F.lit(" "), "title"), F.col("brand"), F.lit("  "), F.array("category", F.lit(" "), F.concat("color", F.lit(" "))), F.array(F.lit("")), details, F.lit(" d "), spaced=True)
     return td.items(spark, root).select("parent_asin", document.alias("document"))
 
 
