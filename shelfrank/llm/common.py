@@ -7,9 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.sources.shared import BROADCAST_ROWS, cut, if_small, scratch, send_package, shared_dir
+from shelfrank.sources.shared import BROADCAST_ROWS, cut, delete, if_small, recorded, scratch, send_package, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "if_small", "scratch", "shared_dir"]
+__all__ = ["BROADCAST_ROWS", "cut", "delete", "if_small", "recorded", "scratch", "shared_dir"]
 
 #: Rows of an Arrow batch, where the session has Spark's own default: texts are long.
 BATCH_ROWS = 1000
