@@ -23,6 +23,12 @@ MISS = 1e-6
 #: Pivots that a class is held against.
 MET = 2
 
+#: Tables of ids alone are broadcast up to so many rows.
+IDS = 1_000_000
+
+#: In buckets of up to so many classes every two are held against each other, in larger ones by their rarest shingles.
+PAIRED = 12
+
 _NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
 
 #: Components need more rounds than this only if a chain of links is longer than 2 to this power.
@@ -230,16 +236,27 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = W.partitionBy("id").orderBy(F.desc("shared"), "pivot")
     most = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MET)
     sketches = classes.select("id", "nibbles")
-    tried = most.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-    tried = tried.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
-    tried = cut(tried.where(near("na", "nb")).select("a", "b"))
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches allow the similarity, as (a, b), once each."""
+        both = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        both = both.join(sketches.withColumnsRenamed({"id": "a", "nibbles": "na"}), "a").join(sketches.withColumnsRenamed({"id": "b", "nibbles": "nb"}), "b")
+        return both.where(near("na", "nb")).select("a", "b")
+
+    tried = cut(allowed(most.select(F.col("id").alias("x"), F.col("pivot").alias("y"))))
     links = cut(verify(tried, classes, docs, k, percent))
     found = components(links)
 
-    of = buckets.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = of.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    members = cut(of.join(mixed, "band", "left_semi").select("id", "component").distinct())
-    more = cut(verify(cut(across(members, classes, docs, k, percent).join(tried, ["a", "b"], "left_anti")), classes, docs, k, percent))
+    of = cut(of.join(mixed, "band", "left_semi"))
+    few = of.where(F.col("classes") <= PAIRED)
+    other = few.select("band", F.col("id").alias("y"), F.col("component").alias("component2"), F.col("n_shingles").alias("m"))
+    sizes = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent
+    paired = few.join(other, "band").where((F.col("component") < F.col("component2")) & sizes).select(F.col("id").alias("x"), "y")
+    members = cut(of.where(F.col("classes") > PAIRED).select("id", "component").distinct())
+    fresh = allowed(paired).unionByName(across(members, classes, docs, k, percent)).distinct()
+    more = cut(verify(cut(fresh.join(tried, ["a", "b"], "left_anti")), classes, docs, k, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -263,21 +280,23 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Equal word sequences are one class, so a class of any size costs one. A class that shares bands with most others is the
     pivot of each of its buckets, and every class is held against those pivots with which it shares most bands. Where a bucket
-    has several components after that, its classes are held against each other by their rarest shingles, see across(). So no
-    pair of different texts that shares a band goes unexamined, unless its members are connected already. A pair is read
-    only if its sizes, and for pivots four bits of each coordinate, allow the similarity.
+    has several components after that, its classes are held against each other: every two of them in a small bucket, by their
+    rarest shingles in a larger one, see across(). So no pair of different texts that shares a band goes unexamined, unless its
+    members are connected already. A pair is read only if its sizes, and four bits of each coordinate or its rarest shingles,
+    allow the similarity.
     """
     return _grouped(docs, k, percent).drop("same")
 
 
 def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows of docs that group() keeps, with all their columns; of rows with equal ids and equal words any one, and every row without id."""
-    kept = _grouped(docs, k, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("of"), "same").agg(F.count("*").alias("rows"))
-    kept = cut(kept.groupBy("of").agg(F.collect_set("same").alias("words"), F.sum("rows").alias("rows"), F.count_if(F.col("same").isNull()).alias("wordless")))
-    here = F.col("doc_id").cast("long") == F.col("of")
-    total = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
-    repeated = if_small(cut(total.select("id")))  # ids of several rows are looked at word by word
-    single = docs.join(kept, here, "left_semi").join(repeated, F.col("doc_id").cast("long") == F.col("id"), "left_anti")
+    groups = cut(_grouped(docs, k, percent).where("doc_id is not null").select(F.col("doc_id").alias("_of"), F.col("same").alias("_words"), "kept"))
+    several = if_small(cut(groups.groupBy("_of").agg(F.count("*").alias("n")).where("n > 1").select("_of")), IDS)
+    gone = if_small(cut(groups.where("not kept").select("_of").distinct()), IDS)  # fewer than those that stay
+    here = F.col("doc_id").cast("long") == F.col("_of")
+    single = docs.join(gone, here, "left_anti").join(several, here, "left_anti")  # a null id is equal to none, so its row stays
+
+    # Ids of several rows are looked at word by word.
     own, schema = docs.columns, StructType([*docs.schema.fields, StructField("_same", BinaryType())])
 
     def run(batches):
@@ -286,10 +305,10 @@ def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
             same = [_digest(_normal(data, starts)) if len(starts := word_bounds(data)[0]) else None for data in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary())], [*own, "_same"])
 
-    several = docs.join(repeated, F.col("doc_id").cast("long") == F.col("id"), "left_semi").mapInArrow(run, schema)
-    stays = F.when(F.col("_same").isNull(), F.col("wordless") > 0).otherwise(F.array_contains("words", F.col("_same")))
-    several = several.join(kept, here & stays, "left_semi").dropDuplicates(["doc_id", "_same"])
-    return single.unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
+    worded = docs.join(several, here, "left_semi").mapInArrow(run, schema)
+    stays = groups.join(several, "_of", "left_semi").where("kept").select("_of", "_words").distinct()
+    left = worded.join(stays, here & F.col("_same").eqNullSafe(F.col("_words")), "left_semi").dropDuplicates(["doc_id", "_same"])
+    return single.unionByName(left.select(*own))
 
 
 ORACLE = r"""

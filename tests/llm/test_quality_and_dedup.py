@@ -142,6 +142,7 @@ def test_rarest_shingles_meet_every_similar_pair(spark, percent):
         for _ in range(rnd.randrange(0, 9)):
             words[rnd.randrange(len(words))] = rnd.choice(["x", "y", f"u{rnd.random()}"])
         texts[len(texts)] = " ".join(words)
+    texts = dict(enumerate(dict.fromkeys(texts.values())))  # classes have different words
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     classes = cut(near_dedup._sketched(df, 3, 5).selectExpr("same as id", "doc_id"))
     name = {bytes(r.id): r.doc_id for r in classes.collect()}
