@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.llm import bpe, decontaminate, near_dedup, quality, secrets
-from shelfrank.llm.common import cut, scratch, shared_dir, table
+from shelfrank.llm.common import cut, delete, recorded, scratch, shared_dir, table
+
+
+_left: dict[tuple[int, str], list[str]] = {}
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes the intermediate tables of the stage before it, called on the same tables from the same thread.
+
+    What a stage returns is written as Parquet before the next stage is called, so nothing reads those tables any more.
+    """
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run_of = (threading.get_ident(), sf_dir)
+        for path in _left.pop(run_of, []):
+            delete(spark, path)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _left[run_of] = paths
+        return out
+
+    return run_stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +61,11 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secret_scans", secret_scans),
-    ("byte_bpe", byte_bpe),
+    ("quality_rules", _stage(quality_rules)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("decontamination", _stage(decontamination)),
+    ("secret_scans", _stage(secret_scans)),
+    ("byte_bpe", _stage(byte_bpe)),
 ]
 
 #: The stages use a fitted classifier, sketches and a tokenizer, which SQL can't express; the tests hold them against brute force.
