@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from shelfrank.sources.shared import BROADCAST_ROWS, cut, delete, if_small, recorded, scratch, send_package, shared_dir
 
@@ -37,6 +39,24 @@ def ship(spark: SparkSession) -> None:
     send_package(spark)
 
 
+def placed(rows: DataFrame, order: list[Column], size: str | None = None) -> DataFrame:
+    """rows (narrow) with `_no`, from 0 in the given order, and `_start`, the sum of `size` over all rows before, from totals of each partition.
+
+    Rows are dealt into ranges of the order; a range's rows are numbered within it, and the totals of earlier ranges, a row
+    each, are added. Rows that the order leaves equal are told apart by their place in the table that is written first, so
+    that no key keeps them in one range.
+    """
+    last = F.col("_mid").asc()
+    ranged = cut(cut(rows).withColumn("_mid", F.monotonically_increasing_id()).repartitionByRange(*order, last).withColumn("_part", F.spark_partition_id()))
+    sizes = F.lit(0) if size is None else F.col(size)
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(sizes).alias("_s"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    before = totals.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_n", "_s")))
+    within = W.partitionBy("_part").orderBy(*order, last)
+    counted = ranged.withColumn("_at", F.row_number().over(within) - 1).withColumn("_sum", F.sum(sizes).over(within.rowsBetween(W.unboundedPreceding, 0)) - sizes)
+    return counted.join(F.broadcast(before), "_part").withColumns({"_no": F.col("_at") + F.col("_n0"), "_start": F.col("_sum") + F.col("_s0")}).drop("_part", "_mid", "_at", "_sum", "_n0", "_s0")
+
+
 _kept: dict[str, Callable[[], None]] = {}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfrank.llm import bpe, chat, decontaminate, exact_substrings, html, language_model, near_dedup, quality, secrets, urls
+from shelfrank.llm import alignment, bpe, chat, decontaminate, exact_substrings, html, language_model, near_dedup, quality, resampling, secrets, sharding, urls
 from shelfrank.llm.common import shared_dir, table
 
 
@@ -51,6 +51,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_secret_scans,
         op10_chat_formatting,
+        op11_sharding,
+        op12_cross_tokenizer,
+        op13_target_resampling,
     )
 }
 ORACLES: dict[str, str] = {"op5_minhash_dedup": near_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
