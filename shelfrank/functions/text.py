@@ -98,8 +98,18 @@ def word_windows(c: Column, size: int = 384, overlap: int = 64) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, size), " "))
+
+    # as the element of a list, the words are cut once and not once a window
+    return F.coalesce(F.get(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), windows), F.lit(0)), F.array().cast("array<string>"))
+
+
+def word_count(c: Column) -> Column:
+    """How many words a text has."""
+    return F.regexp_count(c, F.lit(r"\S+"))
 
 
 def review_id(parent_asin: Column, asin: Column, user_id: Column, timestamp: Column, title: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfrank.functions import text as t
-from shelfrank.operators import constraints, dense, evidence, fusion, lexical, popularity, profile, recommend
+from shelfrank.operators import chunking, constraints, dense, evidence, fusion, lexical, popularity, profile, recommend
 from shelfrank.plans import catalogue as c
 from shelfrank.plans.catalogue import query
 from shelfrank.plans.oracle_parts import BM25, EVIDENCE, FUSION, GRAPH
@@ -274,6 +274,28 @@ def chunk_counters(spark, root):
     return evidence_index.chunk_stats(td.reviews(spark, root).withColumns({"review_id": F.when(i % 6 == 0, " ").otherwise(F.col("asin"))}))
 
 
+_BLANK = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
+p AS (SELECT doc_id, i, CASE WHEN i = 1 THEN length(w[i]) ELSE length(w[i]) + 1 END AS l FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d) WHERE i > 1 OR w[i] <> ''),
+o AS (SELECT *, SUM(l) OVER (PARTITION BY doc_id ORDER BY i) - l AS pos, l >= 384 AS huge, SUM(CASE WHEN l >= 384 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+s AS MATERIALIZED (SELECT doc_id, run, i, pos, l FROM o WHERE NOT huge),
+ends AS (SELECT doc_id, run, MAX(pos + l) AS stop FROM s GROUP BY 1, 2),
+e AS (SELECT doc_id, run, pos FROM s UNION ALL SELECT doc_id, run, stop FROM ends),
+fits AS MATERIALIZED (SELECT s.doc_id, s.run, s.pos, e.pos AS stop FROM s ASOF JOIN e ON s.doc_id = e.doc_id AND s.run = e.run AND s.pos + 384 >= e.pos),
+back AS MATERIALIZED (SELECT s.doc_id, s.run, s.pos AS stop, e.pos AS next FROM s ASOF JOIN e ON s.doc_id = e.doc_id AND s.run = e.run AND least(s.pos, greatest(s.pos - 64, s.pos + s.l - 384)) <= e.pos),
+steps AS MATERIALIZED (SELECT f.doc_id * 1000000000 + f.pos AS id, f.doc_id, f.pos, f.stop, f.doc_id * 1000000000 + b.next AS next FROM fits f LEFT JOIN back b ON f.doc_id = b.doc_id AND f.run = b.run AND f.stop = b.stop),
+walk(id) AS (SELECT MIN(doc_id * 1000000000 + pos) FROM s GROUP BY doc_id, run UNION ALL SELECT next FROM walk JOIN steps USING (id) WHERE next IS NOT NULL),
+c AS (SELECT doc_id, pos, stop, TRUE AS strip FROM walk JOIN steps USING (id) UNION ALL SELECT doc_id, pos, pos + l, FALSE FROM o WHERE huge)
+SELECT doc_id, pos, CAST(md5(chunk) AS VARCHAR) AS chunk FROM (SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, chunk FROM (SELECT c.doc_id, pos, CASE WHEN strip THEN trim(substr(text, CAST(pos AS BIGINT) + 1, CAST(stop - pos AS BIGINT)), {_BLANK}) ELSE substr(text, CAST(pos AS BIGINT) + 1, CAST(stop - pos AS BIGINT)) END AS chunk FROM c JOIN d ON d.doc_id = c.doc_id) WHERE chunk <> '')""")
+def recursive_chunks(spark, root):
+    """Whole documents, cut at blanks into chunks of 384 characters that overlap by up to 64."""
+    splitter = chunking.Splitter(384, 64, chunking.characters, (" ",))
+    cut_up = chunking.split_text(td.read_table(spark, root, "documents", ["doc_id", "text"]), "text", splitter)
+    return cut_up.select("doc_id", F.posexplode("chunks").alias("pos", "chunk")).withColumn("chunk", F.md5("chunk"))
+
+
 @query(with_sql("reviews") + "SELECT COUNT(*) AS reviews, COUNT(DISTINCT user_id) AS users, (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM reviews GROUP BY parent_asin)) AS most_per_item, COUNT(DISTINCT parent_asin) AS items FROM reviews")
 def quality_totals(spark, root):
     return profile.quality_totals(td.reviews(spark, root))
