@@ -15,6 +15,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -35,8 +36,8 @@ RUN_LINKS, RUN_DOCS = 2_000_000, 20_000
 #: Compressed bytes of the runs' pairs in a part, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 16 << 20, 128
 
-#: Chunks whose alignments a worker keeps, and the longest that it keeps.
-CHUNKS_KEPT, CHUNK_CHARS = 150_000, 100
+#: Chunks whose alignments a worker keeps at most, besides those of the texts at hand; links of a group that are written out at most.
+CHUNKS_KEPT, SMALL = 250_000, 1024
 
 #: A chunk begins with spaces and goes on to the next space that follows anything but white space.
 CHUNK = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
@@ -72,56 +73,117 @@ class Pair:
         self.space = self.b.piece_to_id(SPACE_MARK)
         self.n_b = len(shown)
 
-    def encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of both for each chunk; a chunk begins with the space that the second one adds by itself."""
         ours = self.a.encode_batch_fast(chunks, add_special_tokens=False)
         theirs = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for c, x, y in zip(chunks, ours, theirs):
-            yield x.ids, y if len(c) > 1 else [self.space]
-
-
-def align(a: list[int], b: list[int], pair: Pair, data: bytes) -> tuple | None:
-    """Groups as text, numbers of A and B tokens, groups and links, the linked pairs (A id * number of B ids + B id) and how often each; None where the tokens' bytes aren't the data."""
-    a_bytes, b_bytes = [pair.a_bytes[i] for i in a], [pair.b_bytes[i] for i in b]
-    if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-        return None
-    shown, links, pairs = [], 0, Counter()
-    i = j = at_a = at_b = from_a = from_b = 0
-    while i < len(a):
-        at_a += len(a_bytes[i])
-        i += 1
-        while j < len(b) and at_b < at_a:
-            at_b += len(b_bytes[j])
-            j += 1
-        if at_a == at_b:  # both end here; no token is empty
-            left, right = a[from_a:i], b[from_b:j]
-            shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += len(left) * len(right)
-            if len(left) == len(right) == 1:
-                pairs[left[0] * pair.n_b + right[0]] += 1
-            else:  # by distinct tokens: a long group has many links but few tokens
-                right_counts = Counter(right).items()
-                for x, n in Counter(left).items():
-                    for y, m in right_counts:
-                        pairs[x * pair.n_b + y] += n * m
-            from_a, from_b = i, j
-    return ";".join(shown), len(a), len(b), len(shown), links, tuple(pairs), tuple(pairs.values())
+        return [x.ids for x in ours], [y if len(c) > 1 else [self.space] for c, y in zip(chunks, theirs)]
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring values, so many at a time."""
+    edges = np.concatenate(([0], np.cumsum(counts)))
+    whole = np.concatenate(([0], np.cumsum(values)))[edges]
+    return whole[1:] - whole[:-1]
+
+
+@dataclass
+class Aligned:
+    """What is known of chunks, in their order: groups as text, (n_a, n_b, n_groups, n_links), how many pairs each has, and all pairs with their links."""
+
+    shown: list[str]
+    counts: np.ndarray
+    held: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+class Tables:
+    """Token bytes, their lengths, and ids as text with what can follow them."""
+
+    def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
+        self.a_bytes, self.b_bytes, self.n_b = a_bytes, b_bytes, len(b_bytes)
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_bytes, b_bytes))
+        self.texts = [f"{i}{end}" for n, ends in ((len(a_bytes), ",|"), (self.n_b, ",;\n")) for end in ends for i in range(n)]
+
+
+def align(a: list[list[int]], b: list[list[int]], data: list[bytes], tables: Tables) -> Aligned:
+    """Groups and links of many chunks at once; a chunk whose tokens' bytes aren't its data has a negative n_a and nothing else."""
+    right = [b"".join([tables.a_bytes[i] for i in x]) == d == b"".join([tables.b_bytes[i] for i in y]) for x, y, d in zip(a, b, data)]
+    if not all(right):
+        kept = align(*([v for v, good in zip(x, right) if good] for x in (a, b, data)), tables)
+        at = np.flatnonzero(right)
+        shown, counts, held = [""] * len(a), np.zeros((len(a), 4), np.int64), np.zeros(len(a), np.int64)
+        counts[:, 0], counts[at], held[at] = -1, kept.counts, kept.held
+        for i, x in zip(at.tolist(), kept.shown):
+            shown[i] = x
+        return Aligned(shown, counts, held, kept.pairs, kept.times)
+    sizes_a, sizes_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, sizes_a), (b, sizes_b)))
+    ends_a, ends_b = np.cumsum(tables.a_size[ids_a]), np.cumsum(tables.b_size[ids_b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    in_a, in_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
+    to_a, to_b = np.cumsum(in_a), np.cumsum(in_b)
+    chunk_of = np.searchsorted(np.cumsum(np.fromiter(map(len, data), np.int64, len(data))), common)
+    groups = np.bincount(chunk_of, minlength=len(a))
+    # all tokens in the order in which groups show them, each with the sign that follows it
+    last_a, last_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), np.int64)
+    last_a[:-1] = group_a[1:] != group_a[:-1]
+    last_b[:-1] = group_b[1:] != group_b[:-1]
+    last_b[to_b[np.cumsum(groups)[groups > 0] - 1] - 1] = 2  # ends the chunk
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    order[np.arange(len(ids_a)) + (to_b - in_b)[group_a]] = ids_a + last_a * len(tables.a_bytes)
+    order[np.arange(len(ids_b)) + to_a[group_b]] = ids_b + last_b * tables.n_b + 2 * len(tables.a_bytes)
+    lines = "".join(map(tables.texts.__getitem__, order.tolist())).split("\n")
+    links = in_a * in_b
+    counts = np.stack((sizes_a, sizes_b, groups, _sums(links, groups)), 1)
+    # links of small groups are written out; of large ones only those between distinct tokens
+    small = links <= SMALL
+    use = small[group_a]
+    each = in_b[group_a[use]]
+    at_b = np.repeat((to_b - in_b)[group_a[use]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    owner = np.repeat(chunk_of[group_a[use]], each)
+    pairs, times = np.repeat(ids_a[use], each) * tables.n_b + ids_b[at_b], np.ones(len(at_b), np.int64)
+    for g in np.flatnonzero(~small).tolist():
+        (x, n), (y, m) = (np.unique(ids[end - size : end], return_counts=True) for ids, end, size in ((ids_a, to_a[g], in_a[g]), (ids_b, to_b[g], in_b[g])))
+        pairs, times = np.concatenate((pairs, (x[:, None] * tables.n_b + y).ravel())), np.concatenate((times, (n[:, None] * m).ravel()))
+        owner = np.concatenate((owner, np.full(len(x) * len(y), chunk_of[g])))
+    by = np.lexsort((pairs, owner))
+    pairs, times, owner = pairs[by], times[by], owner[by]
+    first = np.flatnonzero(np.concatenate(([len(by) > 0], (np.diff(pairs) != 0) | (np.diff(owner) != 0)))[: len(by)])
+    times = np.add.reduceat(times, first) if len(first) else times
+    return Aligned(lines[: len(a)], counts, np.bincount(owner[first], minlength=len(a)), pairs[first], times)
 
 
 class _Chunks(dict):
-    """Alignments of chunks, made for many at once."""
+    """Numbers of the chunks that this worker has met, and what is known of each; begun anew when there are too many."""
 
     def __init__(self, pair: Pair):
-        self.pair = pair
+        self.pair, self.tables = pair, Tables([pair.a_bytes[i] for i in range(len(pair.a_bytes))], pair.b_bytes)
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.shown: list[str] = []
+        self.counts, self.held, self.pairs, self.times, self.begin = np.zeros((0, 4), np.int64), *(np.zeros(0, np.int64) for _ in range(4))
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return n
 
-    def of(self, chunks: list[str]) -> list[tuple | None]:
-        fresh = [c for c in chunks if c not in self]
-        made = {c: align(x, y, self.pair, c.encode()) for c, (x, y) in zip(fresh, self.pair.encode(fresh))} if fresh else {}
-        out = [made[c] if c in made else self[c] for c in chunks]
-        if len(self) + len(made) > CHUNKS_KEPT:
-            self.clear()
-        self.update((c, x) for c, x in made.items() if len(c) <= CHUNK_CHARS)
-        return out
+    def learn(self) -> None:
+        """Aligns the chunks that were met since the last call."""
+        if not self.fresh:
+            return
+        new = align(*self.pair.encode(self.fresh), [c.encode() for c in self.fresh], self.tables)
+        self.fresh = []
+        self.shown += new.shown
+        for name in ("counts", "held", "pairs", "times"):
+            setattr(self, name, np.concatenate((getattr(self, name), getattr(new, name))))
+        self.begin = np.cumsum(self.held) - self.held
 
 
 @lru_cache(1)
@@ -132,37 +194,24 @@ def _chunks(a_file: str, b_file: str) -> _Chunks:
 keep("alignment", _chunks.cache_clear)
 
 
-class _Numbers(dict):
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 def aligned(texts: list[str | None], chunks: _Chunks) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
     """(n_a, n_b, n_groups, n_links, groups_sha256) of each text, and the records: text's place, pair, links."""
-    numbers = _Numbers()
-    cut_texts = [[numbers[c] for c in CHUNK.findall(" " + t)] if t else [] for t in texts]
-    known = chunks.of(list(numbers))
-    bad = {i for i, x in enumerate(known) if x is None}
+    if len(chunks) > CHUNKS_KEPT:
+        chunks.restart()
+    cut_texts = [[chunks[c] for c in CHUNK.findall(" " + t)] if t else [] for t in texts]
+    chunks.learn()
+    bad = set(np.flatnonzero(chunks.counts[:, 0] < 0).tolist())
     if bad:
         cut_texts = [[] if not bad.isdisjoint(x) else x for x in cut_texts]
-    known = [x or ("", 0, 0, 0, 0, (), ()) for x in known]
     sizes = np.fromiter(map(len, cut_texts), np.int64, len(texts))
     flat = np.fromiter(chain.from_iterable(cut_texts), np.int64, int(sizes.sum()))
-    counts = np.array([x[1:5] for x in known], np.int64).reshape(-1, 4)
-    sums = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(counts[flat], axis=0)))
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    totals = sums[edges[1:]] - sums[edges[:-1]]
-    shown = [x[0] for x in known]
+    totals = np.stack([_sums(chunks.counts[flat, i], sizes) for i in range(4)], 1)
+    shown = chunks.shown
     digest = lambda x: hashlib.sha256(";".join([shown[i] for i in x]).encode()).hexdigest() if x else ""
     rows = [(*t, digest(x)) for t, x in zip(totals.tolist(), cut_texts)]
-    held = np.fromiter((len(x[5]) for x in known), np.int64, len(known))
-    pairs = np.fromiter(chain.from_iterable(x[5] for x in known), np.int64, int(held.sum()))
-    times = np.fromiter(chain.from_iterable(x[6] for x in known), np.int64, int(held.sum()))
-    starts = np.concatenate(([0], np.cumsum(held)[:-1])) if len(held) else held
-    each = held[flat]
-    at = np.repeat(starts[flat] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    return rows, np.repeat(np.repeat(np.arange(len(texts)), sizes), each), pairs[at], times[at]
+    each = chunks.held[flat]
+    at = np.repeat(chunks.begin[flat] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    return rows, np.repeat(np.repeat(np.arange(len(texts)), sizes), each), chunks.pairs[at], chunks.times[at]
 
 
 def _pack(values: np.ndarray) -> bytes:

@@ -77,14 +77,16 @@ def test_odd_texts_in_many_small_runs(spark, monkeypatch):
     assert empty.count() == 0 and empty.columns == ["doc_id", *COLUMNS]
 
 
-def test_long_groups_are_counted_by_distinct_tokens():
-    class Two:
-        n_b, a_bytes, b_bytes = 100, {1: b"aaa", 2: b"b"}, {5: b"aa", 6: b"ab", 7: b"b"}
-
-    shown, n_a, n_b, groups, links, pairs, times = alignment.align([1] * 9 + [2], [5] * 13 + [6], Two, b"a" * 27 + b"b")
-    assert (n_a, n_b, groups, links) == (10, 14, 5, 4 * 2 * 3 + 2 * 2)
-    assert dict(zip(pairs, times)) == {105: 4 * 6 + 1, 106: 1, 205: 1, 206: 1}
-    assert alignment.align([1], [6], Two, b"aaa") is None
+@pytest.mark.parametrize("small", [0, 1024])
+def test_groups_of_many_chunks_at_once(monkeypatch, small):
+    monkeypatch.setattr(alignment, "SMALL", small)
+    tables = alignment.Tables([b"", b"aaa", b"b"], [b"", b"aa", b"ab", b"b"])
+    got = alignment.align([[1] * 9 + [2], [1], [2], [1, 2]], [[1] * 13 + [2], [2], [3], [1, 2]], [b"a" * 27 + b"b", b"aaa", b"b", b"aaab"], tables)
+    assert got.counts.tolist() == [[10, 14, 5, 4 * 2 * 3 + 2 * 2], [-1, 0, 0, 0], [1, 1, 1, 1], [2, 2, 1, 4]]
+    assert got.held.tolist() == [4, 0, 1, 4]
+    assert list(zip(got.pairs.tolist(), got.times.tolist())) == [(5, 4 * 6 + 1), (6, 1), (9, 1), (10, 1), (11, 1), (5, 1), (6, 1), (9, 1), (10, 1)]
+    assert got.shown[1:] == ["", "2|3", "1,2|1,2"] and got.shown[0].startswith("1,1|1,1,1;1,1|")
+    assert alignment.align([], [], [], tables).shown == []
 
 
 def test_chunks_are_cut_behind_text_only():
