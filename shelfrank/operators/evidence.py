@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import norm_text
-from shelfrank.operators.dense import cosine
-from shelfrank.sources.shared import cut
+from shelfrank.operators.lexical import top_k
+from shelfrank.operators.ranking import best_of_row
+from shelfrank.sources.shared import cut, if_small, send_package
+from shelfrank.streaming.evidence_index import product_bucket
 
 #: Chunks asked for at first and at most, reviews shown, and the rating that counts as low.
 FIRST_CHUNKS, MOST_CHUNKS, REVIEWS, LOW_RATING = 10, 20, 5, 3.0
 PAIR = ["request_id", "parent_asin"]
-PLACES = 9
+
+#: Chunks and requests of a product that meet in one task at most.
+CHUNKS_MET, PAIRS_MET = 4096, 256
 
 #: Fixed texts of explanations without a model.
 REASON = "%s 符合当前需求；已检索到 %d 条可追溯评论证据。"
@@ -29,11 +35,44 @@ def review_query(english: Column, title: Column, categories: Column) -> Column:
 
 
 def evidence_search(pairs: DataFrame, chunks: DataFrame, k: int = MOST_CHUNKS, rating_lte: float | None = None) -> DataFrame:
-    """The k chunks of each pair's product nearest to its vector: pairs (request_id, parent_asin, vector), chunks (parent_asin, chunk_id, review_id, rating, embedding, ...)."""
+    """The k chunks of each pair's product nearest to its vector: pairs (request_id, parent_asin, vector, ...), chunks (parent_asin, chunk_id, embedding, ...).
+
+    Pairs are distinct, and so are the chunks of a product. Both sides of a product are dealt into a grid of parts, so a popular
+    product's requests meet its chunks in many tasks, each of which passes on its own k best; what else a chunk holds is
+    joined to the best alone. Of an index in folders by product only those of the pairs' products are read.
+    """
+    send_package(pairs.sparkSession)
     own = chunks if rating_lte is None else chunks.where(F.col("rating") <= rating_lte)
-    scored = pairs.join(own, "parent_asin").withColumn("score", cosine("vector", "embedding")).drop("vector", "embedding")
-    w = W.partitionBy(*PAIR).orderBy(F.desc(F.round("score", PLACES)), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    product = ["parent_asin", "bucket"] if "bucket" in chunks.columns else ["parent_asin"]
+    asked = pairs.where(F.col("vector").isNotNull()).groupBy("parent_asin").agg(F.ceil(F.count("*") / F.lit(PAIRS_MET)).alias("_pairs"))
+    asked = if_small(cut(asked.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs")))
+    sizes = own.where(F.col("embedding").isNotNull()).join(asked, product).groupBy("parent_asin", "_pairs").agg(F.ceil(F.count("*") / F.lit(CHUNKS_MET)).alias("_chunks"))
+    grid = cut(sizes.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs", "_chunks"))
+    grid = if_small(grid)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    left = pairs.where(F.col("vector").isNotNull()).select(*PAIR, F.col("vector").cast("array<double>").alias("vector")).join(grid.drop("bucket"), "parent_asin")
+    left = left.withColumn("p", dealt("request_id", "_pairs")).withColumn("c", every("_chunks")).select(*PAIR, "vector", "p", "c")
+    right = own.where(F.col("embedding").isNotNull()).select(*product, "chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).join(grid, product)
+    right = right.withColumn("c", dealt("chunk_id", "_chunks")).withColumn("p", every("_pairs")).select("parent_asin", "chunk_id", "embedding", "p", "c")
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if q.num_rows and v.num_rows:
+            ids = np.array(v.column("chunk_id").to_pylist(), object)
+            scores = np.array(q.column("vector").to_pylist()) @ np.array(v.column("embedding").to_pylist()).T
+            for request, product, row in zip(q.column("request_id").to_pylist(), q.column("parent_asin").to_pylist(), scores):
+                rows += [(request, product, ids[j], row[j]) for j in best_of_row(row, ids, k)]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = [q.schema.field(c).type for c in PAIR] + [v.schema.field("chunk_id").type, pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], [*PAIR, "chunk_id", "score"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in PAIR)
+    cell = ["parent_asin", "p", "c"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, f"{kinds}, chunk_id string, score double")
+    found = cut(top_k(found, PAIR, "chunk_id", k))
+    shown = own.drop("embedding", *([] if "bucket" not in chunks.columns else ["bucket"])).join(if_small(found), ["parent_asin", "chunk_id"])
+    return pairs.drop("vector").join(shown, PAIR)
 
 
 def expand_if_sparse(ranked: DataFrame, first: int = FIRST_CHUNKS, reviews: int = REVIEWS) -> DataFrame:
@@ -82,13 +121,16 @@ def check_sizes(first: int, most: int, reviews: int) -> None:
 def explain_batch(pairs: DataFrame, chunks: DataFrame, payloads: DataFrame | None = None, first: int = FIRST_CHUNKS, most: int = MOST_CHUNKS, reviews: int = REVIEWS) -> DataFrame:
     """The explanation of each pair (request_id, parent_asin, title, vector) from its evidence: what a model wrote (payloads) where that is sound, else the fixed one.
 
-    Of repeated pairs the one with the greatest title counts. A blank product is an error. A request with a chunk of another
-    product falls back to the fixed texts without evidence.
+    Of repeated pairs the last by their column `place` counts; where there is no such column or places are equal, the one with
+    the greatest title. Products are trimmed; a blank one is an error. A request with a chunk of another product falls back to
+    the fixed texts without evidence.
     """
     check_sizes(first, most, reviews)
-    if not pairs.where(F.trim("parent_asin").isNull() | (F.trim("parent_asin") == "")).isEmpty():
+    pairs = pairs.withColumn("parent_asin", norm_text(F.col("parent_asin")))
+    if not pairs.where("parent_asin is null").isEmpty():
         raise ValueError("parent_asin must not be blank")
-    once = cut(pairs.groupBy(*PAIR).agg(F.max_by(F.struct("title", "vector"), F.coalesce("title", F.lit(""))).alias("x")).select(*PAIR, "x.*"))
+    last = F.struct(F.col("place") if "place" in pairs.columns else F.lit(0), F.coalesce("title", F.lit("")))
+    once = cut(pairs.groupBy(*PAIR).agg(F.max_by(F.struct("title", "vector"), last).alias("x")).select(*PAIR, "x.*"))
     ranked = evidence_search(once, chunks, most)
     found = cut(add_low_rating(select_evidence(expand_if_sparse(ranked, first, reviews), reviews), evidence_search(once, chunks, most, LOW_RATING), reviews))
     found = found.join(check_scope(found, once), "request_id", "left_anti")

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfrank.operators.ranking import best_of_row
-from shelfrank.sources.shared import cut, if_small, send_package
-
-PLACES = 9
-
-#: Items and users of a group that is scored as a matrix.
-ITEM_BLOCK, USER_BLOCK = 16_384, 4096
+from shelfrank.operators import blocks
+from shelfrank.sources.shared import bucketed, cut, if_small, numbered
 
 #: A layer is sent to all tasks if it has at most so many numbers.
 SENT_VALUES = 4_000_000
 
+#: A source with more edges is split into parts of so many.
+HEAD = 16_384
+
 ADAM = (0.9, 0.999, 1e-8)
 
 
@@ -47,99 +46,117 @@ def normalized(edges: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, layers: int = 3) -> DataFrame:
+@dataclass(frozen=True)
+class Walk:
+    """Normalised edges (src, part, dst, w) in buckets of (src, part), and the sources that have several parts (src, parts)."""
+
+    edges: DataFrame
+    heads: DataFrame
+
+
+def walk_of(edges: DataFrame) -> Walk:
+    """Edges as layers pass over them. A source of many edges is split into parts of about HEAD edges by their other ends."""
+    walk = cut(normalized(edges))
+    counts = walk.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HEAD)
+    heads = cut(counts.select("src", F.ceil(F.col("n") / F.lit(HEAD)).alias("parts")))
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
+    return Walk(bucketed(walk.join(if_small(heads), "src", "left").select("src", part.alias("part"), "dst", "w"), ["src", "part"]), heads)
+
+
+def _near(walk: Walk, layer: DataFrame, values: int) -> DataFrame:
+    """Edges with the values of their sources. A small layer is sent to the edges; a larger one is dealt out as the edges lie, heads once a part."""
+    named = layer.withColumnRenamed("node", "src")
+    if layer.count() <= SENT_VALUES // max(values, 1):
+        return walk.edges.join(F.broadcast(named), "src")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+    return walk.edges.join(named.join(if_small(walk.heads), "src", "left").withColumn("part", parts).drop("parts"), ["src", "part"])
+
+
+def propagate(edges: DataFrame | Walk, nodes: DataFrame, layers: int = 3) -> DataFrame:
     """node, vector: the mean of the node vectors (node, vector) and of their `layers` smoothings over normalised edges.
 
-    A layer that is small enough is sent to the edges, whose weighted vectors are then summed before they are shuffled. What
-    no edge reaches has no row in a layer, and the layers meet once, in one sum at the end.
+    Edges are written once, in buckets of their sources, and stay where they are while layers pass; weighted vectors are summed
+    in each task before they are shuffled. What no edge reaches has no row in a layer, and the layers meet once, in one sum at
+    the end.
     """
     dims = len(nodes.select("vector").first().vector)
-    walk = cut(normalized(edges))
+    walk = edges if isinstance(edges, Walk) else walk_of(edges)
     names = [f"x{d}" for d in range(dims)]
     layer = wide = cut(nodes.select("node", *(F.col("vector")[d].cast("double").alias(x) for d, x in enumerate(names))))
     total = wide
     for _ in range(layers):
-        near = if_small(layer.withColumnRenamed("node", "src"), SENT_VALUES // max(dims, 1))
-        sums = walk.join(near, "src").groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names))
-        layer = cut(sums)
+        layer = cut(_near(walk, layer, dims).groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names)))
         total = total.unionByName(layer)
     total = total.groupBy("node").agg(*(F.sum(x).alias(x) for x in names)).join(wide.select("node"), "node", "left_semi") if layers else total
     return total.select("node", F.array(*(F.col(x) / (layers + 1) for x in names)).alias("vector"))
 
 
-def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = USER_BLOCK) -> DataFrame:
+def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = blocks.BLOCK) -> DataFrame:
     """user_id, parent_asin, score, rank: each known user's k best items by dot product, without those seen; ties by id.
 
-    Users are dealt into blocks that tasks hold as matrices against ranges of items; each task passes on its own k best after
-    masking, and these few are ranked again.
+    Items lie in blocks of `block` in the order of their norms. A user reads the blocks that promise most, then only those whose
+    bound reaches the k-th score; what the user has seen is masked by its places in a block.
     """
     if k < 0 or block <= 0:
         raise ValueError("k must not be negative, block must be positive")
-    send_package(vectors.sparkSession)
+    if not k:
+        return users.sparkSession.createDataFrame([], "user_id string, parent_asin string, score double, rank int")
     vectors = cut(vectors)
-    own = users.select("user_id").distinct().join(vectors.select(F.substring("node", 3, 1 << 30).alias("user_id"), F.col("vector").alias("uv"), F.substring("node", 1, 2).alias("kind")).where("kind = 'u:'").drop("kind"), "user_id")
-    history = seen.groupBy("user_id").agg(F.collect_set("parent_asin").alias("seen"))
-    asked = cut(own.join(history, "user_id", "left").select("user_id", "uv", F.coalesce("seen", F.array().cast("array<string>")).alias("seen")))
-    n = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int"))
-    items = vectors.where(F.col("node").startswith("i:")).select(F.substring("node", 3, 1 << 30).alias("parent_asin"), F.col("vector").alias("iv"))
-    ranges = max(1, -(-items.count() // ITEM_BLOCK))
-    items = items.withColumn("range", F.pmod(F.xxhash64("parent_asin"), F.lit(ranges)).cast("int"))
-    # each block of users meets each part of the items in one group, whose size both bounds hold
-    left = asked.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-    right = items.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def best(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(u) and len(i) and k:
-            ids = i["parent_asin"].to_numpy()
-            place = {x: j for j, x in enumerate(ids)}
-            wide = np.array(i["iv"].tolist()).T
-            for first in range(0, len(u), 256):  # so many rows of scores at once
-                part = u.iloc[first : first + 256]
-                scores = np.array(part["uv"].tolist()) @ wide
-                for user, row, mask in zip(part["user_id"], scores, part["seen"]):
-                    row[[place[x] for x in mask if x in place]] = -np.inf
-                    out += [(user, ids[j], float(row[j])) for j in best_of_row(row, ids, k)]
-        return pd.DataFrame(out, columns=["user_id", "parent_asin", "score"])
-
-    found = left.groupBy("block", "range").cogroup(right.groupBy("block", "range")).applyInPandas(best, "user_id string, parent_asin string, score double")
-    w = W.partitionBy("user_id").orderBy(F.desc(F.round("score", PLACES)), "parent_asin")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    name = F.substring("node", 3, 1 << 30)
+    own = vectors.where(F.col("node").startswith("u:")).select(name.alias("query_id"), "vector").join(users.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    items = vectors.where(F.col("node").startswith("i:")).select(name.alias("id"), "vector")
+    masked = seen.select(F.col("user_id").alias("query_id"), F.col("parent_asin").alias("id")).join(users.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    found = blocks.search_blocks(blocks.norm_blocks(items, block), own, k, masked).rows
+    return found.select(F.col("query_id").alias("user_id"), F.col("id").alias("parent_asin"), "score", "rank")
 
 
 def number(df: DataFrame, key: str) -> DataFrame:
-    """df with ordinal, from 0 in the order of a unique key: numbered within ranges of the key, to which the sizes of earlier ranges are added."""
-    ranged = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    placed = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1).join(F.broadcast(before), "_part")
-    return placed.withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    """df with ordinal, from 0 in the order of a unique key."""
+    return numbered(df, [F.asc(key)])
+
+
+def _hashed(ordinal: Column, n: Column, seed: int, epoch: int) -> Column:
+    """A draw from 0 to n - 1 for a pair, the same on every run."""
+    return F.pmod(F.xxhash64("user_id", "parent_asin", F.lit(epoch), F.lit(seed), ordinal), n).cast("long")
 
 
-def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int, draws: int = 8, rounds: int = 20) -> DataFrame:
+def sample_negatives(pairs: DataFrame, items: DataFrame, seed: int, epoch: int, draws: int = 8, rounds: int = 4) -> DataFrame:
     """pairs (user_id, parent_asin) with negative: a uniform item that the user doesn't have, the same on every run.
 
     Each pair draws several hashed ordinals at once; draws that hit the user's items go, the lowest of the rest counts, and
-    pairs without one draw again. A user who has every item is an error.
+    pairs without one draw again. After some rounds only users are left who have nearly all items: they draw from those that
+    they lack, which are listed for them. A user who has every item is an error.
     """
-    numbered = cut(number(items.select("parent_asin").distinct(), "parent_asin"))
-    n = numbered.count()
+    catalog = cut(number(items.select("parent_asin").distinct(), "parent_asin"))
+    n = catalog.count()
     owned = pairs.select("user_id", "parent_asin").distinct()
     if not owned.groupBy("user_id").agg(F.count("*").alias("c")).where(F.col("c") >= n).isEmpty():
         raise ValueError("a user has every item")
     left, found = owned, None
     for r in range(rounds):
         ordinals = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")
-        drawn = left.select("user_id", "parent_asin", ordinals).withColumn("ordinal", F.pmod(F.xxhash64("user_id", "parent_asin", F.lit(epoch), F.lit(seed), F.col("j") + r * draws), F.lit(n)).cast("long"))
-        named = drawn.join(numbered.withColumnRenamed("parent_asin", "negative"), "ordinal")
+        drawn = left.select("user_id", "parent_asin", ordinals).withColumn("ordinal", _hashed(F.col("j") + r * draws, F.lit(n), seed, epoch))
+        named = drawn.join(if_small(catalog.withColumnRenamed("parent_asin", "negative")), "ordinal")
         fresh = named.join(owned.select("user_id", F.col("parent_asin").alias("negative")), ["user_id", "negative"], "left_anti")
         got = cut(fresh.groupBy("user_id", "parent_asin").agg(F.min_by("negative", "j").alias("negative")))
         found = got if found is None else found.unionByName(got)
         left = cut(left.join(got, ["user_id", "parent_asin"], "left_anti"))
         if left.isEmpty():
             return found
-    raise RuntimeError("some pairs drew only items of their users")
+    return _of_complement(left, owned, catalog, n, seed, epoch) if found is None else found.unionByName(_of_complement(left, owned, catalog, n, seed, epoch))
+
+
+def _of_complement(left: DataFrame, owned: DataFrame, catalog: DataFrame, n: int, seed: int, epoch: int) -> DataFrame:
+    """Draws of pairs whose users have nearly all items, from what these users lack: a list hardly longer than their own rows."""
+    users = left.select("user_id").distinct()
+    all_ = users.withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    has = owned.join(users, "user_id", "left_semi").join(catalog, "parent_asin").select("user_id", "ordinal")
+    lacks = cut(all_.join(has, ["user_id", "ordinal"], "left_anti"))
+    placed = lacks.withColumn("at", (F.row_number().over(W.partitionBy("user_id").orderBy("ordinal")) - 1).cast("long"))
+    sizes = lacks.groupBy("user_id").agg(F.count("*").alias("size"))
+    drawn = left.join(sizes, "user_id").withColumn("at", _hashed(F.lit(-1), F.col("size"), seed, epoch)).drop("size")
+    named = drawn.join(placed, ["user_id", "at"]).join(catalog.withColumnRenamed("parent_asin", "negative"), "ordinal")
+    return named.select("user_id", "parent_asin", "negative")
 
 
 def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int = 5, lr: float = 0.01, reg: float = 1e-4, seed: int = 0) -> tuple[DataFrame, list[float]]:
@@ -151,6 +168,7 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     edges = cut(build_graph(train))
     start = lambda d: ((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(d)), F.lit(2_000_003)) / 2_000_003.0) - 0.5) * 0.2
     names = [f"x{d}" for d in range(dims)]
+    walk = walk_of(edges)
     nodes = cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.array(*(start(d) for d in range(dims))).alias("vector")))
     zero = F.array(*[F.lit(0.0)] * dims)
     state = nodes.select("node", "vector", zero.alias("m"), zero.alias("v"))
@@ -160,9 +178,10 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     losses = []
     zip_ = lambda a, b, f: F.zip_with(a, b, f)
     for epoch in range(epochs):
-        final = cut(propagate(edges, state.select("node", "vector"), layers))
+        final = cut(propagate(walk, state.select("node", "vector"), layers))
         sampled = sample_negatives(pairs, items, seed, epoch).select(user_node("user_id").alias("u"), item_node("parent_asin").alias("p"), item_node("negative").alias("q"))
-        look = lambda name: final.select(F.col("node").alias(name), F.col("vector").alias(f"{name}v"))
+        few = final.count() <= SENT_VALUES // dims
+        look = lambda name: (F.broadcast if few else lambda x: x)(final.select(F.col("node").alias(name), F.col("vector").alias(f"{name}v")))
         met = sampled.join(look("u"), "u").join(look("p"), "p").join(look("q"), "q")
         dot = F.aggregate(zip_("uv", zip_("pv", "qv", lambda a, b: a - b), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         met = cut(met.withColumn("x", dot))
@@ -178,7 +197,7 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
         )
         grads = parts.groupBy("z.node").agg(*(F.sum(F.col("z.g")[d]).alias(x) for d, x in enumerate(names)), F.count("*").alias("touched"))
         full = cut(nodes.select("node").join(grads, "node", "left").fillna(0.0, names).fillna(0, ["touched"]))
-        back = propagate(edges, full.select("node", F.array(*names).alias("vector")), layers)
+        back = propagate(walk, full.select("node", F.array(*names).alias("vector")), layers)
         step = state.join(back.select("node", F.col("vector").alias("g")), "node").join(full.select("node", "touched"), "node")
         step = step.withColumn("g", zip_("g", "vector", lambda g, w: g + F.lit(reg / n) * F.col("touched") * w))
         b1, b2, eps = ADAM
@@ -187,17 +206,23 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
         loss = met.agg(F.avg(F.log1p(F.exp(-F.col("x"))))).first()[0]
         losses.append(float(loss))
         state = cut(step.select("node", zip_("vector", move, lambda w, d: w - d).alias("vector"), "m", "v"))
-    return cut(propagate(edges, state.select("node", "vector"), layers)), losses
+    return cut(propagate(walk, state.select("node", "vector"), layers)), losses
 
 
-def save_embeddings(vectors: DataFrame, history: DataFrame, edges: DataFrame, path: str) -> None:
-    """Vectors, histories and edges as tables, with the version of their layout."""
+def save_embeddings(vectors: DataFrame, history: DataFrame, edges: DataFrame, path: str, config: dict | None = None) -> None:
+    """Vectors, histories and edges as tables, with the version of their layout and the configuration of the model."""
     for name, df in (("nodes", vectors), ("history", history), ("edges", edges)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    vectors.sparkSession.createDataFrame([(1,)], "version int").write.mode("overwrite").parquet(f"{path}/meta")
+    meta = [(1, json.dumps(config or {}, sort_keys=True))]
+    vectors.sparkSession.createDataFrame(meta, "version int, config string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_embeddings(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     if (version := spark.read.parquet(f"{path}/meta").first().version) != 1:
         raise ValueError(f"unknown layout version {version}")
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("nodes", "history", "edges"))
+
+
+def load_config(spark, path: str) -> dict:
+    """The configuration that a model was saved with."""
+    return json.loads(spark.read.parquet(f"{path}/meta").first().config)

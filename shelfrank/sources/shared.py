@@ -10,12 +10,16 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
+#: Marks names of tables among the folders that are recorded.
+TABLE = "table:"
+
 _written: list[list[str]] = []
 
 
@@ -35,7 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of any file system that Spark reaches."""
+    """Removes a folder of any file system that Spark reaches, or a name that `bucketed` gave."""
+    if path.startswith(TABLE):
+        spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix(TABLE)}")
+        return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -77,6 +84,26 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df from a table in buckets of its keys: joins and sums by these keys leave it where it is."""
+    spark = df.sparkSession
+    path, n = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"shelfrank_{uuid.uuid4().hex}"
+    for paths in _written:
+        paths.append(f"{TABLE}{name}")
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with ordinal, from 0 in an order without ties: numbered within ranges of it, to which the sizes of earlier ranges are added."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1).join(F.broadcast(before), "_part")
+    return placed.withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df is counted, so cut() it before."""
     return F.broadcast(df) if df.count() <= rows else df
