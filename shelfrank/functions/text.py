@@ -53,10 +53,10 @@ def float_text(c: Column) -> Column:
     return c.cast("double").cast("string")
 
 
-def product_document(title: Column, brand: Column, main_category: Column, categories: Column, features: Column, details: Column, description: Column, spaced: bool = False) -> Column:
+def product_document(title: Column, brand: Column, main_category: Column, categories: Column, features: Column, details: Column, description: Column, spaced: bool = True) -> Column:
     """Seven labelled lines; lists are joined by ' | ' without blank entries, details are shown as key: value sorted by key; absent values are left out of their line.
 
-    Values of details are JSON, compact or, if spaced, with a space behind each comma and colon outside of texts.
+    Values of details are JSON with a space behind each comma and colon outside of texts, or compact if not spaced.
     """
     shown_as = _spaced if spaced else lambda json: json
     parsed = F.from_json(details, "map<string,variant>")
@@ -140,7 +140,17 @@ def free_query_id(query: Column) -> Column:
 
 
 def index_name(scope: str, model: str) -> str:
-    """A path-safe name of an index."""
+    """A path-safe name of an index. A model whose name holds no letter or digit is an error."""
     import re
 
-    return re.sub(r"[^0-9a-z]+", "_", f"{scope} {model}".lower()).strip("_")
+    slug = lambda x: re.sub(r"[^0-9a-z]+", "_", x.lower()).strip("_")
+    if not slug(model):
+        raise ValueError("the model's name must hold a letter or digit")
+    return "_".join(filter(None, (slug(scope), slug(model))))
+
+
+def known_index_name(scope: str, key: str, models: dict[str, str]) -> str:
+    """The name of an index of one of the known models (key to name); another key is an error."""
+    if key not in models:
+        raise ValueError(f"unknown model: {key}")
+    return index_name(scope, models[key])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from shelfrank.functions.text import norm_text, tokenize
 from shelfrank.operators.lexical import top_k
@@ -49,6 +50,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
         raise ValueError("k must be greater than zero")
     send_package(vectors.sparkSession)
     kind, asked = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
+        raise ValueError("query ids must be unique")
     whole = queries.select("query_id", "vector").repartition(max(1, -(-queries.count() // QUERY_BLOCK)))
     blocks = if_small(cut(_packed(whole, "query_id", QUERY_BLOCK, ("asked", "q"))), SENT_BLOCKS)
     met = _packed(vectors, "id", VECTOR_BLOCK, ("ids", "v")).join(blocks, how="cross")  # of blocks; the queries are a stated set
@@ -81,6 +84,56 @@ def hashed_encoder(dims: int = 64) -> Callable[[DataFrame, str, str], DataFrame]
     return encode
 
 
+#: What a worker has opened, by name; it serves one task after another.
+_opened: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def model_encoder(name: str, opened: Callable[[], Callable[[list[str]], np.ndarray]], dims: int, batch: int = 512) -> Callable[[DataFrame, str, str], DataFrame]:
+    """An encoder by a model that each worker opens once, whatever the number of its tasks.
+
+    `opened` gives a function from texts to an array (n, dims). Of equal texts of an Arrow batch one is encoded; vectors are
+    made unit length, and a model that returns another width is an error. Names tell models apart within a worker.
+    """
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        send_package(df.sparkSession)
+        kept = [f for f in df.schema.fields if f.name != out]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from shelfrank.operators import dense  # the module of the worker, which outlives the task
+
+            if name not in dense._opened:
+                dense._opened[name] = opened()
+            model = dense._opened[name]
+            for rows in batches:
+                coded = rows.column(len(kept)).fill_null("").dictionary_encode()
+                texts = coded.dictionary.to_pylist()
+                parts = [np.asarray(model(texts[i : i + batch]), np.float64).reshape(-1, dims) for i in range(0, len(texts), batch)]
+                made = np.concatenate(parts) if parts else np.zeros((0, dims))
+                if len(made) != len(texts):
+                    raise ValueError(f"the model must give {dims} numbers for each text")
+                length = np.linalg.norm(made, axis=1, keepdims=True)
+                unit = (made / np.where(length > 0, length, 1)).astype(np.float32)[coded.indices.to_numpy()]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dims), pa.int32()), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], vectors], [*(f.name for f in kept), out])
+
+        schema = StructType([*kept, StructField(out, ArrayType(FloatType()))])
+        return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("string").alias("_in")).mapInArrow(run, schema)
+
+    return encode
+
+
+def distinct_texts(encoder: Callable[[DataFrame, str, str], DataFrame]) -> Callable[[DataFrame, str, str], DataFrame]:
+    """The encoder on each distinct text of a table once; rows get their text's vector by a join. For tables of queries, which repeat."""
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        made = encoder(df.select(F.col(f"`{text}`").alias("_each")).distinct(), "_each", "_made")
+        joined = df.drop(out).join(made.select("_each", F.col("_made").alias(out)), F.col(f"`{text}`").eqNullSafe(F.col("_each")), "left")
+        return joined.drop("_each")
+
+    return encode
+
+
 def embed(df: DataFrame, text: str, encoder: Callable[[DataFrame, str, str], DataFrame], out: str = "vector", prefix: str = "passage: ") -> DataFrame:
     """df with a unit vector of each prefixed text."""
     return encoder(df.withColumn("_text", F.concat(F.lit(prefix), F.coalesce(norm_text(F.col(text)), F.lit("")))), "_text", out).drop("_text")

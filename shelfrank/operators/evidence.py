@@ -45,10 +45,9 @@ def evidence_search(pairs: DataFrame, chunks: DataFrame, k: int = MOST_CHUNKS, r
     own = chunks if rating_lte is None else chunks.where(F.col("rating") <= rating_lte)
     product = ["parent_asin", "bucket"] if "bucket" in chunks.columns else ["parent_asin"]
     asked = pairs.where(F.col("vector").isNotNull()).groupBy("parent_asin").agg(F.ceil(F.count("*") / F.lit(PAIRS_MET)).alias("_pairs"))
-    asked = if_small(cut(asked.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs")))
+    asked = asked.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs")
     sizes = own.where(F.col("embedding").isNotNull()).join(asked, product).groupBy("parent_asin", "_pairs").agg(F.ceil(F.count("*") / F.lit(CHUNKS_MET)).alias("_chunks"))
-    grid = cut(sizes.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs", "_chunks"))
-    grid = if_small(grid)
+    grid = if_small(cut(sizes.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs", "_chunks")))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     left = pairs.where(F.col("vector").isNotNull()).select(*PAIR, F.col("vector").cast("array<double>").alias("vector")).join(grid.drop("bucket"), "parent_asin")

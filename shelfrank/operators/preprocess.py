@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import norm_list, norm_text, parse_price, review_id
+from shelfrank.sources.files import write_observed
+from shelfrank.sources.shared import if_small, shared_dir
 
 SPLITS = ("train", "valid", "test")
 
@@ -97,6 +99,26 @@ def select_reviews(reviews: DataFrame, kept: int = REVIEWS_KEPT, low_kept: int =
     return final.withColumn("low_list", F.col("block") == 0).drop("_n", "block", "place")
 
 
+def write_reviews(reviews: DataFrame, catalog: DataFrame, path: str, kept: int = REVIEWS_KEPT, low_kept: int = LOW_KEPT, seq: str = "seq") -> dict:
+    """Writes the reviews kept of catalog items with their ids; returns the counters of the selection.
+
+    The source is read once: its counters are observed while what can be kept is stored, the others while the result is.
+    """
+    if kept <= 0 or low_kept < 0:
+        raise ValueError("kept must be more than zero, low_kept not negative")
+    inside, text = F.coalesce("_inside", F.lit(False)), norm_text(F.col("text")).isNotNull()
+    marked = reviews.join(if_small(catalog.select("parent_asin").distinct().withColumn("_inside", F.lit(True))), "parent_asin", "left")
+    store = shared_dir(reviews.sparkSession)
+    seen = Observation()
+    counted = marked.observe(seen, F.count(F.lit(1)).alias("source_rows"), F.count_if(inside).alias("catalog_source_rows"), F.count_if(inside & ~text).alias("missing_text_rows"))
+    counted.where(inside & text).drop("_inside").write.parquet(store)
+    usable = reviews.sparkSession.read.schema(reviews.schema).parquet(store)
+    final = with_review_ids(select_reviews(usable, kept, low_kept, seq))
+    stats = seen.get | write_observed(final, path, retained_rows=F.count(F.lit(1)), items_with_reviews=F.count_if(F.col("position") == 1), low_rating_rows_retained=F.count_if(F.col("rating") <= LOW_RATING))
+    eligible = stats["catalog_source_rows"] - stats["missing_text_rows"]
+    return stats | {"eligible_text_rows": eligible, "filtered_by_limit_or_duplicate_rows": eligible - stats["retained_rows"], "low_rating_threshold": LOW_RATING}
+
+
 def with_review_ids(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("review_id", review_id(*(F.col(c) for c in ("parent_asin", "asin", "user_id", "ts", "title", "text"))))
 

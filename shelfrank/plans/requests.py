@@ -136,6 +136,35 @@ def search_only_batch(spark, root):
     return fused.final.select("request_id", "parent_asin", F.round("score", 6).alias("score"), "rank")
 
 
+_STAGES = """CASE c_custkey % 20 WHEN 3 THEN 'translation' WHEN 4 THEN 'intent' WHEN 5 THEN 'intent' ELSE 'request' END AS stage,
+CASE c_custkey % 20 WHEN 1 THEN 'blank query' WHEN 2 THEN 'top_k out of range' WHEN 3 THEN 'no translation' WHEN 4 THEN 'not a JSON object' WHEN 5 THEN 'no intent' ELSE 'repeated id' END AS detail"""
+
+
+@query(_FUSED + f"""SELECT request_id, 'answer' AS stage, parent_asin AS detail, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10 UNION ALL
+SELECT CAST(c_custkey AS VARCHAR), {_STAGES}, NULL FROM (SELECT c_custkey FROM customer WHERE c_custkey % 20 BETWEEN 1 AND 6 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 20 = 6)""")
+def recommend_requests(spark, root):
+    """From raw text: every twentieth customer has a request with an answer, half of them in Chinese; others fail in each way, one of them twice."""
+    key = F.col("c_custkey")
+    kind = key % 20
+    customers = td.read_table(spark, root, "customer").select("c_custkey").where(kind <= 6)
+    names = td.read_table(spark, root, "part").select(F.col("p_partkey").alias("c_custkey"), "p_name")
+    chinese = F.concat(F.lit("红色"), key)
+    query_ = F.when(kind == 1, "  ").when((kind == 3) | (key % 40 == 20), chinese).otherwise(F.concat(F.lit(" "), F.coalesce("p_name", F.lit("x"))))
+    rows = customers.unionByName(customers.where(kind == 6)).join(names, "c_custkey", "left")
+    asked = rows.select(key.cast("string").alias("request_id"), query_.alias("query"), F.when(key % 40 == 0, F.concat(F.lit(" "), key)).alias("user_id"), F.when(kind == 2, 99).alias("top_k"))
+    english = rows.where(key % 40 == 20).select(chinese.alias("query"), F.col("p_name").alias("english"))
+    terms = c._requests(spark, root).withColumnRenamed("category_tags", "product_terms")
+    payload = F.when(F.col("request_id").cast("long") % 20 == 4, "[1]").otherwise(F.to_json(F.struct(*constraints.INTENT_LISTS, *constraints.INTENT_PRICES)))
+    payloads = terms.where(F.col("request_id").cast("long") % 20 != 5).select("request_id", payload.alias("payload"))
+    same = lambda *names: spark.createDataFrame([(n, n) for n in names], "alias string, canonical string")
+    stored = td.read_table(spark, root, "embeddings").select(F.col("vec_id").cast("string").alias("request_id"), F.col("embedding").alias("vector"))
+    train = cut(td.splits(spark, root).where("split = 'train'").select("user_id", "parent_asin"))
+    index, vectors = _search_tables(spark, root)
+    found = recommend.recommend_requests(asked, english, payloads, same("small", "eco", "promo"), same(*(f"brand#{i}" for i in range(1, 6))), lambda df, text, out: df.join(stored.withColumnRenamed("vector", out), "request_id", "left"), c._items(spark, root), index, vectors, train, cut(c._propagated(train)))
+    answers = found.fused.final.select("request_id", F.lit("answer").alias("stage"), F.col("parent_asin").alias("detail"), "rank")
+    return answers.unionByName(found.errors.select("request_id", "stage", F.col("error").alias("detail"), F.lit(None).cast("int").alias("rank")))
+
+
 # The graph model's metrics.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,16 +11,24 @@ from shelfrank.functions.text import norm_key, norm_text, point_id
 INTERACTION = "user_id string, parent_asin string, rating double, timestamp long"
 
 
+def line_order() -> Column:
+    """The order of lines over any number of files: the file, then where in it a task began to read, then the line within the task.
+
+    How files are dealt to tasks doesn't matter. It must be taken where the files are read.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_interactions(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """CSV with a header, compressed or not; the four columns by name. A gz file is one task's, so its rows are dealt out anew."""
     raw = spark.read.option("header", True).csv(path)
-    df = raw.select("user_id", "parent_asin", F.col("rating").cast("double").alias("rating"), F.col("timestamp").cast("long").alias("ts"))
-    return df.withColumn("seq", F.monotonically_increasing_id()).repartition(partitions or spark.sparkContext.defaultParallelism)
+    df = raw.select(line_order().alias("seq"), "user_id", "parent_asin", F.col("rating").cast("double").alias("rating"), F.col("timestamp").cast("long").alias("ts"))
+    return df.repartition(partitions or spark.sparkContext.defaultParallelism).select("user_id", "parent_asin", "rating", "ts", "seq")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """seq and value (VARIANT) of JSON lines; seq follows the lines of each file."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("seq"), F.parse_json("value").alias("value"))
+    """seq and value (VARIANT) of JSON lines; seq is in the order of files by name and of lines in a file, however many there are."""
+    return spark.read.text(path).select(line_order().alias("seq"), "value").where(F.trim("value") != "").select("seq", F.parse_json("value").alias("value"))
 
 
 def read_scores(spark: SparkSession, path: str, required: tuple[str, ...], glob: str = "*.csv") -> DataFrame:
@@ -44,6 +52,13 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
 
+def write_observed(df: DataFrame, path: str, **counters: Column) -> dict:
+    """Writes a table and returns counters (aggregates by name) of its rows, taken by the same job."""
+    seen = Observation()
+    df.observe(seen, *(c.alias(name) for name, c in counters.items())).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def write_metrics(wide: DataFrame, path: str) -> None:
     """CSV: model, split, users, the measures at each k, other columns last."""
     first = ["model", "split", "users"]
@@ -55,10 +70,11 @@ AUDIT_COLUMNS = ("section", "channel", "against", "query_id", "queries", "mean_r
 
 
 def write_audit(overall: DataFrame, by_query: DataFrame, wins: DataFrame, path: str) -> None:
-    """The three sections of an audit in one CSV of fixed columns."""
+    """The three sections of an audit as CSV of fixed columns, in order within and across its files."""
     parts = [df.withColumn("section", F.lit(name)) for name, df in (("overall", overall), ("by_query", by_query), ("pairwise_wins", wins))]
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    rows.select(*AUDIT_COLUMNS).orderBy("section", "channel", "query_id", "against").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    order = ["section", "channel", "query_id", "against"]
+    rows.select(*AUDIT_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def _json_object(spark: SparkSession, path: str) -> DataFrame:

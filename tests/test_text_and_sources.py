@@ -40,7 +40,7 @@ def test_ids(spark):
 def test_documents_and_chunks(spark):
     df = spark.createDataFrame([("T", None, ["a", "b"], '{"b": [1, "x"], "a": "y"}'), ("T", "B", [], "{broken"), ("T", "B", [], None)], "t string, b string, c array<string>, d string")
     got = [r[0].split("\n") for r in df.select(t.product_document(F.col("t"), F.col("b"), F.lit("M"), F.col("c"), F.col("c"), F.col("d"), F.lit(None).cast("string"))).collect()]
-    assert got[0] == ["Title: T", "Brand: ", "Main Category: M", "Categories: a | b", "Features: a | b", 'Details: a: "y" | b: [1,"x"]', "Description: "]
+    assert got[0] == ["Title: T", "Brand: ", "Main Category: M", "Categories: a | b", "Features: a | b", 'Details: a: "y" | b: [1, "x"]', "Description: "]
     assert got[1][5] == "Details: {broken" and got[2][5] == "Details: "
     assert one(spark, ["a b c d e", "a", "", None], lambda c: t.word_windows(c, 3, 1)) == [["a b c", "c d e"], ["a"], [], None][:3] + [[]]
     with pytest.raises(ValueError):
