@@ -327,10 +327,10 @@ def dense_search(spark, root):
     return lexical.top_k(found.drop("rank"), ["query_id"], "id", 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT vec_id, label + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+@query("SELECT vec_id, label + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings")
 def upsert_vectors(spark, root):
     rows = td.read_table(spark, root, "embeddings", ["vec_id", "label"])
-    return dense.upsert_vectors(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+    return dense.upsert_vectors(rows, rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
 
 
 # Constraints and fusion on candidates of all customers.

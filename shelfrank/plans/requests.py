@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfrank.functions import text as t
-from shelfrank.operators import chunking, constraints, dense, evidence, fusion, lexical, popularity, profile, recommend
+from shelfrank.operators import blocks, chunking, constraints, dense, evidence, fusion, lexical, popularity, preprocess, profile, recommend
 from shelfrank.plans import catalogue as c
 from shelfrank.plans.catalogue import query
 from shelfrank.plans.oracle_parts import BM25, EVIDENCE, FUSION, GRAPH
 from shelfrank.sources import testdata as td
-from shelfrank.sources.shared import cut
+from shelfrank.sources.shared import cut, shared_dir
 from shelfrank.sources.testdata import with_sql
 from shelfrank.streaming import evidence_index
 
@@ -330,6 +330,31 @@ def quality_totals(spark, root):
     return profile.quality_totals(td.reviews(spark, root))
 
 
+@query(with_sql("reviews") + """, inside AS (SELECT *, CAST(substr(asin, 2) AS BIGINT) AS seq FROM reviews WHERE CAST(parent_asin AS BIGINT) % 7 <> 0), u AS (SELECT * FROM inside WHERE trim(text) <> ''),
+low AS (SELECT *, 0 AS block, ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY verified_purchase DESC, helpful_vote DESC, ts DESC, seq DESC) AS place FROM u WHERE rating <= 3 QUALIFY place <= 2),
+top AS (SELECT *, 1 AS block, ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY verified_purchase DESC, helpful_vote DESC, ts DESC, seq DESC) AS place FROM u QUALIFY place <= 5),
+once AS (SELECT * FROM (SELECT * FROM low UNION ALL SELECT * FROM top) QUALIFY ROW_NUMBER() OVER (PARTITION BY parent_asin, asin, user_id, ts, title, text ORDER BY block, place) = 1),
+kept AS (SELECT * FROM once QUALIFY ROW_NUMBER() OVER (PARTITION BY parent_asin ORDER BY block, place) <= 5)
+SELECT (SELECT COUNT(*) FROM reviews) AS source_rows, (SELECT COUNT(*) FROM inside) AS catalog_source_rows, (SELECT COUNT(*) FROM inside) - (SELECT COUNT(*) FROM u) AS missing_text_rows, (SELECT COUNT(*) FROM u) AS eligible_text_rows,
+COUNT(*) AS retained_rows, (SELECT COUNT(*) FROM u) - COUNT(*) AS filtered_by_limit_or_duplicate_rows, COUNT(DISTINCT parent_asin) AS items_with_reviews, COUNT(*) FILTER (rating <= 3) AS low_rating_rows_retained, 3.0::DOUBLE AS low_rating_threshold FROM kept""")
+def review_counters(spark, root):
+    """Observed while the selected reviews are written."""
+    rows = td.reviews(spark, root).withColumn("seq", F.substring("asin", 2, 20).cast("long"))
+    catalog = rows.select("parent_asin").distinct().where(F.col("parent_asin").cast("long") % 7 != 0)
+    stats = preprocess.write_reviews(rows, catalog, shared_dir(spark), 5, 2)
+    return spark.createDataFrame([tuple(float(v) if k == "low_rating_threshold" else int(v) for k, v in stats.items())], ", ".join(f"{k} {'double' if k == 'low_rating_threshold' else 'long'}" for k in stats))
+
+
+@query(c.ORACLES["dense_search"])
+def dense_search_blocks(spark, root):
+    """The same search over blocks of near vectors, of which only those are read that can hold one of the best."""
+    rows = td.read_table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")  # the stated queries
+    hidden = asked.select("query_id", F.col("query_id").alias("id"))
+    found = blocks.search_blocks(blocks.cluster_blocks(rows), asked, 10, hidden).rows
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(with_sql("items") + "SELECT COUNT(*) AS items, COUNT(*) FILTER (CAST(parent_asin AS BIGINT) % 9 <> 0) AS named, COUNT(*) FILTER (CAST(parent_asin AS BIGINT) % 9 = 0) AS missing, COUNT(DISTINCT CASE WHEN CAST(parent_asin AS BIGINT) % 9 <> 0 THEN lower(brand) END) AS brands FROM items")
 def brand_summary(spark, root):
     return profile.brand_summary(td.items(spark, root).withColumn("brand", F.when(F.col("parent_asin").cast("long") % 9 == 0, "  ").otherwise(F.col("brand"))))

@@ -74,7 +74,8 @@ def write_audit(overall: DataFrame, by_query: DataFrame, wins: DataFrame, path:
     parts = [df.withColumn("section", F.lit(name)) for name, df in (("overall", overall), ("by_query", by_query), ("pairwise_wins", wins))]
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     order = ["section", "channel", "query_id", "against"]
-    rows.select(*AUDIT_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+    absent = [F.lit(None).cast("string").alias(c) for c in AUDIT_COLUMNS if c not in rows.columns]
+    rows.select("*", *absent).select(*AUDIT_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def _json_object(spark: SparkSession, path: str) -> DataFrame:
