@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like the given one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers; where the session has Spark's default of 10000 rows, Arrow batches get 1000 from here on, for texts are long."""
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"

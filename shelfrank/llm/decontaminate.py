@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shelfrank.llm.common import cut, if_small
+from shelfrank.llm.common import cut, if_small, unused
 
 #: Words in a shingle, and the least weighted similarity, as agreed for all near-duplicate work.
 SHINGLE = 5
@@ -195,5 +195,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _found(docs, _items(benchmark))
     if found is None:
         return docs
-    marked = docs.withColumn("_key", _key(F.col("text")))
-    return marked.join(if_small(cut(found.select(F.col("key").alias("_key")).distinct())), "_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = unused("key", docs.columns)
+    marked = docs.withColumn(key, _key(F.col("text")))
+    return marked.join(if_small(cut(found.select(F.col("key").alias(key)).distinct())), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,7 +1,12 @@
-"""Main text of web pages by consensus of host: containers are scored page by page, their paths win votes by host, pages are read again by them."""
+"""Main text of web pages by consensus of host: containers are scored page by page, their paths win votes by host, pages are read again by them.
+
+A container is scored by the text in it that is the page's own: not aside by its names, not mostly links, and not said on half
+of the host's pages. So strips and lines that a site puts on every page don't widen what is voted for.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from html import unescape
@@ -26,8 +31,12 @@ ASIDE_WORDS = frozenset(
     "cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription social share sharing comment comments disqus respond reply replies related "
     "recommended form search login signup copyright legal disclaimer widget toolbar pagination pager contentinfo complementary alert".split()
 )
+#: Of those elements, the ones that some sites put around a whole page: they are aside unless they hold the article.
+WRAPPERS = frozenset("header form dialog".split())
+#: Begins of parts of a class, id or role that mark reader comments wherever they stand in a name.
+COMMENT_WORDS = ("comment", "disqus")
 #: Parts of a class, id or role that tell of the page's state: "no-sidebar" is no sidebar.
-STATES = frozenset("no non not without with has have is hide show".split())
+STATES = frozenset("no non not without with has have is hide show open opened closed enabled disabled".split())
 #: Elements that no class word makes aside.
 MAIN = frozenset("article main".split())
 #: A start tag of these ends an open element of those, if none of these last is open in between.
@@ -35,6 +44,9 @@ CELLS = frozenset(("table",))
 LISTS = BLOCKS - frozenset("div p address li dt dd".split())
 CLOSES = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, LISTS), "dd": ({"dt", "dd"}, LISTS), "tr": ({"tr"}, CELLS), "td": ({"td", "th"}, CELLS | {"tr"}), "th": ({"td", "th"}, CELLS | {"tr"})}
 
+#: Text that so many pages of a host have, and at least half of them, is the host's and not a page's.
+RECURS = 4
+
 #: A path is used if it has at least a tenth of its host's votes; so there are ten at most.
 SHARE = 10
 
@@ -48,10 +60,10 @@ _LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
 
 
 def _named_aside(names: str) -> bool:
-    """Whether a whole name of a class, id or role, or its last part, is a word for what is not the article."""
+    """Whether a whole name of a class, id or role, or its last part, is a word for what is not the article, or any part one for comments."""
     for name in names.split():
         parts_of = re.findall(r"[a-z]+", name)
-        if parts_of and parts_of[-1] in ASIDE_WORDS and STATES.isdisjoint(parts_of):
+        if parts_of and STATES.isdisjoint(parts_of) and (parts_of[-1] in ASIDE_WORDS or any(p.startswith(COMMENT_WORDS) for p in parts_of)):
             return True
     return False
 
@@ -222,9 +234,10 @@ def blocks(page: str) -> Blocks:
         number, main = -1, main or tag in MAIN
         marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
         places += tag in MAIN or tag == "h1"
-        if not aside:
-            aside = tag in ASIDE or "hidden" in marks
-            if marks and tag not in MAIN and _named_aside(" ".join(marks.get(k, "") for k in ("class", "id", "role"))):
+        if not aside and not (tag == "header" and main):
+            wrapper = tag in WRAPPERS
+            aside = tag in ASIDE and not wrapper or "hidden" in marks
+            if wrapper or marks and tag not in MAIN and _named_aside(" ".join(marks.get(k, "") for k in ("class", "id", "role"))):
                 number = len(named)
                 named.append([len(out), -1, places - (tag == "h1"), -1])
         if tag in CONTAINERS:
@@ -251,29 +264,42 @@ def blocks(page: str) -> Blocks:
     return out
 
 
-def _good(found: Blocks) -> list[int]:
-    """Paths of a page's good text: not aside, and not mostly links. If there is none, of what an article or main has that isn't aside."""
-    good = [path for path, aside, linked, value in found if not aside and len(value) > 2 * linked]
+def digest(value: str) -> int:
+    """A 63-bit hash of a block's text."""
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest()) >> 1
+
+
+def _good(found: Blocks, common: frozenset[int] = frozenset()) -> list[int]:
+    """Paths of a page's good text: not aside, not mostly links, nor common to the host, unless that is more than half of it.
+
+    If there is none, of what an article or main has that isn't aside.
+    """
+    good = [(path, value) for path, aside, linked, value in found if not aside and len(value) > 2 * linked]
+    if common:
+        own = [(path, value) for path, value in good if digest(value) not in common]
+        if 2 * sum(len(value) for _, value in own) >= sum(len(value) for _, value in good):
+            good = own
     if good:
-        return good
+        return [path for path, _ in good]
     main = [False] * len(found.parent)
     for i in range(1, len(main)):
         main[i] = main[found.parent[i]] or found.step[i].split(".")[0] in MAIN
     return [path for path, aside, _, _ in found if not aside and main[path]]
 
 
-def best_path(found: Blocks) -> str | None:
+def best_path(found: Blocks, common: frozenset[int] = frozenset()) -> str | None:
     """The deepest container path that holds all of a page's good text; None without such text."""
-    good = _good(found)
+    good = _good(found, common)
     return found.name(found.holder(good)) if good else None
 
 
-def read(found: Blocks, winners: list[str]) -> str:
+def read(found: Blocks, winners: list[str], common: frozenset[int] = frozenset()) -> str:
     """The blocks below the first winning path that holds all of the page's good text, else below the page's own best path.
 
-    A page without good text is read by the first winning path that it has.
+    What a winner doesn't hold is left out, so a host's common lines beside the article go. A page without good text is read by
+    the first winning path that it has.
     """
-    own = best_path(found)
+    own = best_path(found, common)
     for name in [*(w for w in winners if own is None or f"{own}/".startswith(f"{w}/")), own]:
         path = None if name is None else found.find(name)
         if path is not None:
@@ -283,6 +309,16 @@ def read(found: Blocks, winners: list[str]) -> str:
     return ""
 
 
+class _Sets(dict):
+    """The sets of lists, each made once."""
+
+    def __missing__(self, key: tuple) -> frozenset:
+        if len(self) > 1000:
+            self.clear()
+        out = self[key] = frozenset(key)
+        return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
@@ -295,22 +331,36 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = parts(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
+    def said(batches):
+        for batch in batches:
+            each = [{digest(v) for _, aside, linked, v in blocks(x.as_py()) if not aside and len(v) > 2 * linked} for x in batch.column("html")]
+            hosts = batch.column("host").take(pa.array([i for i, x in enumerate(each) for _ in x], pa.int64()))
+            yield pa.RecordBatch.from_arrays([hosts, pa.array([v for x in each for v in x], pa.int64())], ["host", "block"])
+
+    # of a host's pages each has few of these, for half of the pages must hold one: the list of a host is about twice a page's at most
+    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    often = rows.select("host", "html").mapInArrow(said, "host string, block long").groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
+    common = often.join(sizes, "host").where(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list("block")).alias("common"))
+    rows = rows.join(if_small(cut(common)), "host", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+
     def vote(batches):
+        sets = _Sets()
         for batch in batches:
-            best = [best_path(blocks(x.as_py())) for x in batch.column("html")]
+            best = [best_path(blocks(x.as_py()), sets[tuple(c.as_py())]) for x, c in zip(batch.column("html"), batch.column("common"))]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(best, pa.string())], ["host", "path"])
 
-    votes = cut(rows.select("host", "html").mapInArrow(vote, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes")))
+    votes = cut(rows.select("host", "html", "common").mapInArrow(vote, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes")))
     cast = votes.groupBy("host").agg(F.sum("votes").alias("cast"))
     won = votes.join(cast, "host").where(F.col("votes") * SHARE >= F.col("cast"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
     winners = cut(won.groupBy("host").agg(F.transform(order, lambda x: x["path"]).alias("winners")))
 
     def take(batches):
+        sets = _Sets()
         for batch in batches:
-            out = [read(blocks(x.as_py()), w.as_py() or []) for x, w in zip(batch.column("html"), batch.column("winners"))]
+            out = [read(blocks(x.as_py()), w.as_py() or [], sets[tuple(c.as_py())]) for x, w, c in zip(*(batch.column(n) for n in ("html", "winners", "common")))]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(if_small(winners), "host", "left").select("page_id", "url", "html", "winners")
+    joined = rows.join(if_small(winners), "host", "left").select("page_id", "url", "html", "winners", "common")
     return joined.mapInArrow(take, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from shelfrank.llm.common import LOWER, SPACE, cut, if_small, mix, shingle_hashes, ship, take_turn, texts, word_bounds, word_hashes
+from shelfrank.llm.common import cut, if_small, LOWER, mix, shingle_hashes, ship, SPACE, take_turn, texts, unused, word_bounds, word_hashes
 
 #: Coordinates of a sketch.
 COORDINATES = 120
@@ -290,25 +290,26 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows of docs that group() keeps, with all their columns; of rows with equal ids and equal words any one, and every row without id."""
-    groups = cut(_grouped(docs, k, percent).where("doc_id is not null").select(F.col("doc_id").alias("_of"), F.col("same").alias("_words"), "kept"))
-    several = if_small(cut(groups.groupBy("_of").agg(F.count("*").alias("n")).where("n > 1").select("_of")), IDS)
-    gone = if_small(cut(groups.where("not kept").select("_of").distinct()), IDS)  # fewer than those that stay
-    here = F.col("doc_id").cast("long") == F.col("_of")
+    of, words, same = (unused(c, docs.columns) for c in ("of", "words", "same_words"))
+    groups = cut(_grouped(docs, k, percent).where("doc_id is not null").select(F.col("doc_id").alias(of), F.col("same").alias(words), "kept"))
+    several = if_small(cut(groups.groupBy(of).agg(F.count("*").alias("times")).where("times > 1").select(of)), IDS)
+    gone = if_small(cut(groups.where("not kept").select(of).distinct()), IDS)  # fewer than those that stay
+    here = F.col("doc_id").cast("long") == F.col(of)
     single = docs.join(gone, here, "left_anti").join(several, here, "left_anti")  # a null id is equal to none, so its row stays
 
     # Ids of several rows are looked at word by word.
-    own, schema = docs.columns, StructType([*docs.schema.fields, StructField("_same", BinaryType())])
+    own, schema = docs.columns, StructType([*docs.schema.fields, StructField(same, BinaryType())])
 
     def run(batches):
         take_turn("near_dedup")
         for batch in batches:
-            same = [_digest(_normal(data, starts)) if len(starts := word_bounds(data)[0]) else None for data in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary())], [*own, "_same"])
+            found = [_digest(_normal(data, starts)) if len(starts := word_bounds(data)[0]) else None for data in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*own, same])
 
     worded = docs.join(several, here, "left_semi").mapInArrow(run, schema)
-    stays = groups.join(several, "_of", "left_semi").where("kept").select("_of", "_words").distinct()
-    left = worded.join(stays, here & F.col("_same").eqNullSafe(F.col("_words")), "left_semi").dropDuplicates(["doc_id", "_same"])
-    return single.unionByName(left.select(*own))
+    stays = groups.join(several, of, "left_semi").where("kept").select(of, words).distinct()
+    left = worded.join(stays, here & F.col(same).eqNullSafe(F.col(words)), "left_semi").dropDuplicates(["doc_id", same])
+    return single.unionByName(left.select(*(F.col(f"`{c}`") for c in own)))
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import cut, shared_dir
+from shelfrank.llm.common import cut, shared_dir, unused
 
 
 class Rule(NamedTuple):
@@ -136,10 +136,12 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with a mark in place of every run of characters that a span covers, and n_chars anew where the text changed.
 
-    Rows without findings come out as they are, a null text too. Copies are scanned once.
+    Rows without findings come out as they are, a null text too. Copies are scanned once. Other columns of docs keep their
+    values, whatever their names.
     """
+    blob, spans = (unused(c, docs.columns) for c in ("blob", "spans"))
     spark = docs.sparkSession
-    found = scan(docs, Ledger(spark, shared_dir(spark)), rules).where(F.size("spans") > 0).select("blob", "spans").distinct()
+    found = scan(docs, Ledger(spark, shared_dir(spark)), rules).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).distinct()
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, s: Column) -> Column:
@@ -148,8 +150,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         return F.struct(F.concat(state["out"], more).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
     rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, rest))
-    out = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(cut(found).withColumnRenamed("blob", "_blob"), "_blob", "left").withColumn("text", text)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.aggregate(spans, start, step, rest))
+    out = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(cut(found), blob, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfrank.llm import decontaminate, html, secrets, urls
+from shelfrank.llm import decontaminate, html, near_dedup, secrets, urls
 from shelfrank.llm.common import shared_dir, table
 
 # URL filters
@@ -250,6 +251,19 @@ def test_malformed_pages_are_read(page):
     assert isinstance(html.read(html.blocks(page), ["/x"]), str)
 
 
+def test_columns_of_documents_keep_their_values(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    names = ("blob", "_blob", "spans", "key", "_key", "of", "words", "same_words", "kept", "rules")
+    df = spark.createDataFrame([(1, long + " token=abcdefgh1234", 5)], "doc_id long, text string, n_chars long").withColumns({n: F.lit(f"own {n}") for n in names})
+    (row,) = secrets.redact(df).collect()
+    assert row.text.endswith("[SECRET]") and row.n_chars == len(row.text) and all(row[n] == f"own {n}" for n in names)
+    (row,) = decontaminate.clean(df, table(spark, "/root/testdata/sf0.001", "benchmark")).collect()
+    assert all(row[n] == f"own {n}" for n in names)
+    for twice in (df, df.unionByName(df)):
+        (row,) = near_dedup.survivors(twice, 5, 80).collect()
+        assert all(row[n] == f"own {n}" for n in names)
+
+
 def test_votes_by_host(spark):
     shell = "<body><div class=a>{}</div><div class=b>{}</div></body>"
     rows = [(i, f"http://h.org/{i}", shell.format("short intro", "long text " * 30)) for i in range(9)]
@@ -313,6 +327,33 @@ def test_probed_pages_come_out_whole(page, text):
     assert html.read(html.blocks(page.replace("{}", long)), []) == text.replace("{}", long)
 
 
+@pytest.mark.parametrize("form", ["<form id=aspnetForm>{}</form>", "<form action=x><div class=wrap>{}</div></form>", "<dialog open>{}</dialog>", "<header class=page>{}</header>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_form_around_the_page_keeps_its_article(form, tag):
+    long = ("long text " * 60).strip()
+    page = form.replace("{}", f"<nav><a href=x>Menu</a></nav><{tag}><h1>Head</h1><p>{long}</p></{tag}>")
+    assert html.read(html.blocks(f"<body>{page}<form>Name <input></form></body>"), []) == f"Head\n{long}"
+
+
+@pytest.mark.parametrize("name", ["class=commentlist", "class='comment-list'", "class='comments-area'", "id=disqus_thread", "class='post-comments wide'"])
+def test_reader_comments_are_not_the_article(name):
+    long = ("long text " * 60).strip()
+    assert html.read(html.blocks(f"<body><main><h1>Head</h1><p>{long}</p><div {name}><p>Nice post!</p></div></main></body>"), []) == f"Head\n{long}"
+    assert html.read(html.blocks(f"<body><article class='comments-open'><header><h1>Title</h1></header><p>{long}</p></article></body>"), []) == f"Title\n{long}"
+
+
+def test_what_a_host_says_on_every_page_is_not_the_article(spark):
+    """Nothing but the host's pages tells that strip and line are not the article; a page that says little else keeps its text."""
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    page = "<body><div class=topstrip>Sign up for our letters today</div><{1}><p>{0}</p><p>One more line by the author</p></{1}><div class=below>Copyright of the house</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(text(i), "div class=story") if i % 2 else page.format(text(i), "section")) for i in range(20)]
+    rows += [(20, "http://h.org/20", "<body><div class=topstrip>Sign up for our letters today</div><div class=z>brief</div></body>"), (21, "http://few.org/1", page.format(text(21), "section"))]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, common string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i] == f"{text(i)}\nOne more line by the author" for i in range(20))
+    assert got[20] == "Sign up for our letters today\nbrief" and got[21].startswith("Sign up") and got[21].endswith("house")
+
+
 @pytest.mark.parametrize(
     "page",
     [
