@@ -2,34 +2,29 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.llm import bpe, decontaminate, near_dedup, quality, secrets
-from shelfrank.llm.common import cut, delete, recorded, scratch, shared_dir, table
+from shelfrank.llm.common import cut, scratch, shared_dir, table, unused
 
-
-_left: dict[tuple[int, str], list[str]] = {}
+#: The columns that stages know by name.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first removes the intermediate tables of the stage before it, called on the same tables from the same thread.
+    """A stage under which further columns of the documents, whatever their names, keep their names and values.
 
-    What a stage returns is written as Parquet before the next stage is called, so nothing reads those tables any more.
+    Intermediate tables of a stage stay, as what it returns is read later; `run` removes them once its rows are written.
     """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        run_of = (threading.get_ident(), sf_dir)
-        for path in _left.pop(run_of, []):
-            delete(spark, path)
-        with recorded() as paths:
-            out = f(spark, docs, sf_dir)
-        _left[run_of] = paths
-        return out
+        further = {c: unused(f"further_{i}", docs.columns) for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        out = f(spark, docs.withColumnsRenamed(further), sf_dir)
+        return out.withColumnsRenamed({new: old for old, new in further.items() if new in out.columns})
 
     return run_stage
 
