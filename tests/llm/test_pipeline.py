@@ -73,3 +73,19 @@ def test_rows_without_id_and_with_repeated_ids(spark):
     marked = {(r.doc_id, r.text) for r in stages["secret_scans"](spark, df, ROOT).collect()}
     assert (2, long + " [SECRET]") in marked and len(marked) == 5
     assert stages["byte_bpe"](spark, df.limit(0), ROOT).count() == 0 and stages["near_duplicates"](spark, df, ROOT).count() == 4
+
+
+def test_stages_keep_further_columns_and_do_not_disturb_each_other(spark):
+    from pyspark.sql import functions as F
+
+    names = ("spans", "kept", "quality", "_blob", "blob", "_key", "key", "_same", "same", "_of", "words", "n_words", "rules", "id")
+    docs = table(spark, ROOT, "documents").withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, ROOT)
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names), name
+    assert dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, ROOT).count() == docs.count()
+    first = dict(corpus_pipeline.STAGES)["secret_scans"](spark, docs, ROOT)
+    dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, ROOT).count()
+    assert first.count() == docs.count()
