@@ -16,6 +16,11 @@ SEARCH = ("dense", "bm25")
 KNOWN_USER = {"dense": 0.45, "bm25": 0.25, "lightgcn": 0.25, "popularity": 0.05}
 COLD_START = {"dense": 0.65, "bm25": 0.30, "popularity": 0.05}
 RRF_K = 60
+#: What the channels' scores and the fused score are called.
+SCORE_TYPES = {"dense": "dense_score", "bm25": "bm25_score", "popularity": "interaction_count"}
+FUSED_TYPE = "weighted_rrf"
+#: Columns of candidates that are kept by source where they are given.
+CARRIED = ("score_type", "retrieval_query", "document")
 PLACES = 12
 
 
@@ -31,6 +36,9 @@ class Fused:
 def merge(candidates: DataFrame) -> DataFrame:
     """One row for each (request, item) of candidates (request_id, channel, rank, parent_asin, score): sources in order, ranks and scores by source.
 
+    Types of scores, retrieval queries and documents are kept by source too; the latter two from the candidates' columns
+    retrieval_query and document, if they have them, and without nulls.
+
     A channel's list is in the order of its optional column `place`, from 1; without that column in the order of rank, then
     item. Of repeats within a channel the last listed counts; a rank that is null or not positive is replaced by the place in
     the list.
@@ -41,13 +49,19 @@ def merge(candidates: DataFrame) -> DataFrame:
         known = known.withColumn("place", F.row_number().over(listed))
     known = known.withColumn("parent_asin", F.trim("parent_asin")).where(F.col("parent_asin") != "").withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.col("place")))
     order = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel")).cast("int")
-    last = known.groupBy("request_id", "parent_asin", "channel", order.alias("o")).agg(F.max_by(F.struct("rank", "score"), "place").alias("x"))
-    entry = F.struct("o", "channel", F.col("x.rank").alias("rank"), F.col("x.score").alias("score"))
+    carried = [c for c in CARRIED if c in candidates.columns]
+    last = known.groupBy("request_id", "parent_asin", "channel", order.alias("o")).agg(F.max_by(F.struct("rank", "score", *carried), "place").alias("x"))
+    entry = F.struct("o", "channel", *(F.col(f"x.{c}").alias(c) for c in ("rank", "score", *carried)))
     grouped = last.groupBy("request_id", "parent_asin").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     pick = lambda name: F.transform("e", lambda x: x[name])
+    texts = "map<string,string>"
+    given = lambda name: F.map_filter(F.map_from_arrays(pick("channel"), pick(name)), lambda _, v: v.isNotNull()) if name in carried else F.create_map().cast(texts)
+    usual = F.create_map(*(F.lit(x) for pair in SCORE_TYPES.items() for x in pair))
+    types = F.map_from_arrays(pick("channel"), pick("score_type") if "score_type" in carried else F.transform("e", lambda x: F.element_at(usual, x["channel"])))
     return grouped.select(
         "request_id", "parent_asin", "e",
         pick("channel").alias("sources"), F.map_from_arrays(pick("channel"), pick("rank")).alias("source_ranks"), F.map_from_arrays(pick("channel"), pick("score")).alias("source_scores"),
+        types.cast(texts).alias("source_score_types"), given("retrieval_query").cast(texts).alias("retrieval_queries"), given("document").cast(texts).alias("documents"),
     )
 
 
@@ -60,14 +74,18 @@ def fuse(candidates: DataFrame, requests: DataFrame, items: DataFrame, rrf_k: in
     """Fusion of candidates under the constraints of requests (request_id, known_user, top_k and constraint columns) with item columns.
 
     Items seen by a search channel are checked for category, price and brand; the others for all constraints, and they need a
-    category tag. The score sums weight / (rrf_k + rank) in the order of the channels; items whose sources have no weight are
+    category tag. Where requests have a search_query, it is the retrieval query of search channels that candidates don't name. The score sums weight / (rrf_k + rank) in the order of the channels; items whose sources have no weight are
     not ranked. Ties: the least rank of any source, then the id.
     """
     if rrf_k < 0:
         raise ValueError("rrf_k must not be negative")
-    joined = merge(candidates).join(requests, "request_id").join(items, "parent_asin", "left")
+    merged = merge(candidates)
+    joined = merged.join(requests, "request_id").join(items, "parent_asin", "left")
     search = F.arrays_overlap("sources", F.array(*map(F.lit, SEARCH)))
     reason = F.when(search, filter_reason(False)).when(F.size(F.coalesce("category_tags", F.array().cast("array<string>"))) == 0, "missing_category_constraint").otherwise(filter_reason(True))
+    if "search_query" in requests.columns:
+        found = F.filter("sources", lambda c: c.isin(*SEARCH) & F.col("search_query").isNotNull() & ~F.map_contains_key("retrieval_queries", c))
+        joined = joined.withColumn("retrieval_queries", F.map_concat("retrieval_queries", F.map_from_arrays(found, F.transform(found, lambda _: F.col("search_query")))))
     judged = joined.withColumn("filter_policy", F.when(search, "search").otherwise("personalized")).withColumn("filter_reason", reason)
     filtered = judged.where("filter_reason is not null").select("request_id", "parent_asin", "sources", "source_ranks", "source_scores", "filter_policy", "filter_reason")
     weights = _weights(F.col("known_user"))
@@ -84,5 +102,7 @@ def fuse(candidates: DataFrame, requests: DataFrame, items: DataFrame, rrf_k: in
         "request_id", "parent_asin", "rank", "score", "sources", "source_ranks", "source_scores",
         F.map_filter("w", lambda k, _: F.array_contains("sources", k)).alias("source_weights"),
         F.map_from_entries("parts").alias("rrf_contributions"), "best_rank", "top_k",
+        F.lit(FUSED_TYPE).alias("score_type"), "source_score_types", "retrieval_queries", "documents",
+        F.coalesce(*(F.try_element_at("retrieval_queries", F.lit(c)) for c in CHANNELS)).alias("retrieval_query"),
     )
     return Fused(ranked.where(F.col("rank") <= F.col("top_k")), ranked, filtered)

@@ -59,7 +59,7 @@ def recommend_batch(requests: DataFrame, limits: DataFrame, items: DataFrame, in
     """The fused result of requests (request_id, search_query, vector, user_id, top_k) under their limits (request_id, constraint columns)."""
     known = cut(known_users(requests, nodes))
     candidates = channel_candidates(known, index, vectors, train, nodes)
-    return fuse(candidates, known.select("request_id", "known_user", "top_k").join(limits, "request_id"), items)
+    return fuse(candidates, known.select("request_id", "known_user", "top_k", "search_query").join(limits, "request_id"), items)
 
 
 @dataclass(frozen=True)

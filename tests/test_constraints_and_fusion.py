@@ -146,3 +146,19 @@ def test_prompts_and_audit_rows(spark):
     shown = spark.createDataFrame([("TUNER_A", "T", "Snark", 19.99)], "parent_asin string, title string, brand string, price double")
     rows = recommend.audit_run(df, candidates(spark, {"dense": ["TUNER_A", "X"]}), shown, train, 1).collect()
     assert [(r.channel, r.rank, r.title, r.history) for r in rows] == [("dense", 1, "T", 2)]
+
+
+def test_fused_records_tell_where_they_come_from(spark):
+    rows = [("q", "dense", 1, "A", 0.9, "doc of A"), ("q", "bm25", 2, "A", 3.0, None), ("q", "lightgcn", 1, "B", None, None), ("q", "popularity", 1, "A", 7.0, None)]
+    cands = spark.createDataFrame(rows, "request_id string, channel string, rank int, parent_asin string, score double, document string")
+    none = F.array().cast("array<string>")
+    asked = spark.createDataFrame([("q", True, 5, "red guitar")], "request_id string, known_user boolean, top_k int, search_query string").withColumns({"min_price": F.lit(None).cast("double"), "max_price": F.lit(None).cast("double")} | {c: none for c in ("category_tags", "brands", "excluded_brands", "color_tags", "material_tags")})
+    items = spark.createDataFrame([("A", "x", 1.0)], "parent_asin string, brand string, price double").withColumns({c: none for c in ("item_categories", "item_colors", "item_materials")})
+    (row,) = fusion.fuse(cands, asked, items).final.collect()
+    assert row.score_type == "weighted_rrf" and row.source_score_types == {"dense": "dense_score", "bm25": "bm25_score", "popularity": "interaction_count"}
+    assert row.retrieval_queries == {"dense": "red guitar", "bm25": "red guitar"} and row.retrieval_query == "red guitar" and row.documents == {"dense": "doc of A"}
+    named = cands.withColumns({"retrieval_query": F.when(F.col("channel") == "bm25", "own words"), "score_type": F.lit("given")})
+    (row,) = fusion.fuse(named, asked, items).final.collect()
+    assert row.retrieval_queries == {"dense": "red guitar", "bm25": "own words"} and set(row.source_score_types.values()) == {"given"}
+    (row,) = fusion.fuse(cands.drop("document"), asked.drop("search_query"), items).final.collect()
+    assert row.retrieval_queries == {} and row.retrieval_query is None and row.documents == {}
