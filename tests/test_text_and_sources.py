@@ -34,7 +34,10 @@ def test_ids(spark):
     df = spark.createDataFrame(rows, "p string, a string, u string, ts long, ti string, te string")
     got = [r[0] for r in df.select(t.review_id(*(F.col(c) for c in ("p", "a", "u", "ts", "ti", "te")))).collect()]
     assert got == ["rvw_" + hashlib.sha256(json.dumps(list(r), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:32] for r in rows]
-    assert t.index_name("Full Scope", "e5-base") == "full_scope_e5_base"
+    assert t.index_name("Full Scope", "e5-base") == "full_scope_e5_base" and t.known_index_name("dev", "a", {"a": "Model/A"}) == "dev_model_a"
+    for bad in (lambda: t.index_name("dev", "--"), lambda: t.known_index_name("dev", "b", {"a": "x"})):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_documents_and_chunks(spark):
