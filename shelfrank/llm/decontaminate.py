@@ -2,7 +2,8 @@
 
 All expressions are Spark's own. A window of a document has as many words as the item it is held against. Its fingerprint
 has one bit for each of 60 weighted votes of its words. Fingerprints within RADIUS of an item's agree with it in at least one
-of RADIUS + 1 blocks of bits, so an equality join on blocks finds every one of them. Texts with fewer words than an item are
+of RADIUS + 1 blocks of bits, so an equality join on blocks finds every one of them; blocks of two or three bits agree often, so
+windows are only held against items that their text shares rare shingles with. Texts with fewer words than an item are
 counted out as a whole, without fingerprints.
 """
 
@@ -87,6 +88,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return cut(made.where(F.col("n") >= SHINGLE).dropDuplicates(["item"]).withColumn("grams", _shingles(F.col("words"))))
 
 
+def _met(whole: DataFrame, items: DataFrame) -> DataFrame:
+    """copy, n, item: which items a text can have a similar window of.
+
+    A similar window lacks at most a ninth of an item's shingles, so of any more of them it holds one. The rarest among the items
+    are taken, so a shingle that many items share makes no pairs.
+    """
+    placed = items.select("item", "n", F.posexplode("grams").alias("at", "gram"))
+    shared = placed.select("item", "gram").distinct().groupBy("gram").agg(F.count("*").alias("items"))
+    rarest = W.partitionBy("item").orderBy("items", "gram", "at")
+    keys = placed.join(shared, "gram").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - SHINGLE + 2 - _need(F.col("n")))
+    keys = if_small(cut(keys.select("gram", "item", "n").distinct()), KNOWN)
+    grams = F.array_distinct(F.transform("hits", lambda h: F.get("grams", h["at"])))
+    return whole.select("copy", F.explode(grams).alias("gram")).join(keys, "gram").select("copy", "n", "item").distinct()
+
+
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     """key (of a text), item, similarity, start, n_words: of windows that are similar enough, some of each text and item; None without items."""
     low, high = items.agg(F.min("n"), F.max("n")).first()
@@ -146,7 +162,8 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     own = own.groupBy("item", "n").agg(*(F.sum(v).alias(f"v{j}") for j, v in enumerate(_votes(F.col("word")))))
     index = own.select("item", "n", _fingerprint([F.col(f"v{j}") for j in range(_LONGS)], F.col("n")).alias("item_print"))
     index = if_small(cut(index.select("*", F.explode(_blocks(F.col("item_print"))).alias("block"))))
-    near = cut(printed).select("*", F.explode(_blocks(F.col("print"))).alias("block")).join(index, ["n", "block"])
+    # windows meet the items that their text shares rare shingles with; of those, the ones that agree in a block
+    near = cut(printed).join(_met(whole, items), ["copy", "n"]).select("*", F.explode(_blocks(F.col("print"))).alias("block")).join(index, ["item", "n", "block"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     candidates = cut(near.select("copy", "n", "start", "item").distinct())
 

@@ -251,6 +251,22 @@ def test_malformed_pages_are_read(page):
     assert isinstance(html.read(html.blocks(page), ["/x"]), str)
 
 
+def test_windows_meet_few_items_of_their_length(spark):
+    """Two thousand items of twenty words, all with one opening; documents hold some of them, or the opening alone."""
+    opening = "which of the following is the right answer to"
+    item = lambda i: f"{opening} {' '.join(f'w{i}x{j}' for j in range(11))}"
+    items = spark.createDataFrame([(i, item(i)) for i in range(2000)], "item_id long, text string")
+    texts = [f"before {item(i * 7)} after {opening} nothing that is known" for i in range(60)] + [f"{opening} number {i} " * 3 for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find(docs, items)
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found.collect()) == [(i, i * 7, 1.0) for i in range(60)]
+    made = decontaminate._items(items)
+    words = docs.withColumn("words", decontaminate.words_of(F.col("text")))
+    whole = words.select(F.col("doc_id").alias("copy"), decontaminate._shingles(F.col("words")).alias("grams"))
+    hits = whole.withColumn("hits", F.transform("grams", lambda g, i: F.struct(i.alias("at"))))
+    assert decontaminate._met(hits, made).count() == 60
+
+
 def test_columns_of_documents_keep_their_values(spark):
     long = " ".join(f"word{i}" for i in range(60))
     names = ("blob", "_blob", "spans", "key", "_key", "of", "words", "same_words", "kept", "rules")
