@@ -34,20 +34,26 @@ def review_query(english: Column, title: Column, categories: Column) -> Column:
     return F.nullif(F.concat_ws("\n", norm_text(english), norm_text(title), norm_text(F.array_join(categories, " "))), F.lit(""))
 
 
-def evidence_search(pairs: DataFrame, chunks: DataFrame, k: int = MOST_CHUNKS, rating_lte: float | None = None) -> DataFrame:
+def product_grid(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Into how many parts (_pairs, _chunks) the requests and the chunks of each asked product are dealt."""
+    product = ["parent_asin", "bucket"] if "bucket" in chunks.columns else ["parent_asin"]
+    asked = pairs.where(F.col("vector").isNotNull()).groupBy("parent_asin").agg(F.ceil(F.count("*") / F.lit(PAIRS_MET)).alias("_pairs"))
+    asked = asked.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs")
+    sizes = chunks.where(F.col("embedding").isNotNull()).join(asked, product).groupBy(*product, "_pairs").agg(F.ceil(F.count("*") / F.lit(CHUNKS_MET)).alias("_chunks"))
+    return if_small(cut(sizes.select(*product, "_pairs", "_chunks")))
+
+
+def evidence_search(pairs: DataFrame, chunks: DataFrame, k: int = MOST_CHUNKS, rating_lte: float | None = None, grid: DataFrame | None = None) -> DataFrame:
     """The k chunks of each pair's product nearest to its vector: pairs (request_id, parent_asin, vector, ...), chunks (parent_asin, chunk_id, embedding, ...).
 
-    Pairs are distinct, and so are the chunks of a product. Both sides of a product are dealt into a grid of parts, so a popular
-    product's requests meet its chunks in many tasks, each of which passes on its own k best; what else a chunk holds is
-    joined to the best alone. Of an index in folders by product only those of the pairs' products are read.
+    Pairs are distinct, and so are the chunks of a product. Both sides of a product are dealt into a grid of parts (made here
+    unless given), so a popular product's requests meet its chunks in many tasks, each of which passes on its own k best; what
+    else a chunk holds is joined to the best alone. Of an index in folders by product only those of the pairs' products are read.
     """
     send_package(pairs.sparkSession)
     own = chunks if rating_lte is None else chunks.where(F.col("rating") <= rating_lte)
     product = ["parent_asin", "bucket"] if "bucket" in chunks.columns else ["parent_asin"]
-    asked = pairs.where(F.col("vector").isNotNull()).groupBy("parent_asin").agg(F.ceil(F.count("*") / F.lit(PAIRS_MET)).alias("_pairs"))
-    asked = asked.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs")
-    sizes = own.where(F.col("embedding").isNotNull()).join(asked, product).groupBy("parent_asin", "_pairs").agg(F.ceil(F.count("*") / F.lit(CHUNKS_MET)).alias("_chunks"))
-    grid = if_small(cut(sizes.withColumn("bucket", product_bucket("parent_asin")).select(*product, "_pairs", "_chunks")))
+    grid = product_grid(pairs, chunks) if grid is None else grid
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     left = pairs.where(F.col("vector").isNotNull()).select(*PAIR, F.col("vector").cast("array<double>").alias("vector")).join(grid.drop("bucket"), "parent_asin")
@@ -100,8 +106,9 @@ def add_low_rating(chosen: DataFrame, low: DataFrame, reviews: int = REVIEWS) ->
 
 def gather(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Evidence of each pair: search, expansion, selection and a low rating."""
-    ranked = evidence_search(pairs, chunks)
-    return add_low_rating(select_evidence(expand_if_sparse(ranked)), evidence_search(pairs, chunks, MOST_CHUNKS, LOW_RATING))
+    grid = product_grid(pairs, chunks)
+    ranked = evidence_search(pairs, chunks, grid=grid)
+    return add_low_rating(select_evidence(expand_if_sparse(ranked)), evidence_search(pairs, chunks, MOST_CHUNKS, LOW_RATING, grid))
 
 
 def check_scope(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -130,8 +137,9 @@ def explain_batch(pairs: DataFrame, chunks: DataFrame, payloads: DataFrame | Non
         raise ValueError("parent_asin must not be blank")
     last = F.struct(F.col("place") if "place" in pairs.columns else F.lit(0), F.coalesce("title", F.lit("")))
     once = cut(pairs.groupBy(*PAIR).agg(F.max_by(F.struct("title", "vector"), last).alias("x")).select(*PAIR, "x.*"))
-    ranked = evidence_search(once, chunks, most)
-    found = cut(add_low_rating(select_evidence(expand_if_sparse(ranked, first, reviews), reviews), evidence_search(once, chunks, most, LOW_RATING), reviews))
+    grid = product_grid(once, chunks)
+    ranked = evidence_search(once, chunks, most, grid=grid)
+    found = cut(add_low_rating(select_evidence(expand_if_sparse(ranked, first, reviews), reviews), evidence_search(once, chunks, most, LOW_RATING, grid), reviews))
     found = found.join(check_scope(found, once), "request_id", "left_anti")
     named = once.select(*PAIR, "title")
     return template_explanations(named, found) if payloads is None else validate_explanations(payloads, named, found)
