@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 DOCUMENT_LINES = ("Title", "Brand", "Main Category", "Categories", "Features", "Details", "Description")
 
 
+#: All characters of Unicode's property White_Space.
+WHITE = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+
+
 def norm_text(c: Column) -> Column:
-    """Trimmed of any white space; blank is null."""
-    return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """Trimmed of any white space; blank is null. Only the ends of a text are looked at."""
+    return F.nullif(F.btrim(c, F.lit(WHITE)), F.lit(""))
 
 
 def norm_list(c: Column) -> Column:

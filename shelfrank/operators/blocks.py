@@ -139,7 +139,7 @@ def _wanted(queries: DataFrame, heads: DataFrame, first: int | None) -> DataFram
         packs: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             q, floor = _matrix(batch.column("vector")), batch.column("floor").to_numpy(zero_copy_only=False)
-            which = batch.column("pack").to_numpy()
+            which, out = batch.column("pack").to_numpy(), []
             for p in np.unique(which):
                 at = np.flatnonzero(which == p)
                 if p not in packs:
@@ -150,12 +150,16 @@ def _wanted(queries: DataFrame, heads: DataFrame, first: int | None) -> DataFram
                 for start in range(0, len(at), ASKED):
                     part = at[start : start + ASKED]
                     most = bounds(q[part], *head)
-                    for i, row in zip(part, most):
-                        good = np.flatnonzero(row >= floor[i] - SLACK)
-                        if first is not None and len(good) > first:
-                            good = good[np.argpartition(-row[good], first - 1)[:first]]
-                        if len(good):
-                            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("query_id")[int(i)], len(good)), pa.array(blocks[good]), pa.array(row[good])], ["query_id", "block", "bound"])
+                    good = most >= floor[part][:, None] - SLACK
+                    if first is not None and len(blocks) > first:
+                        best = np.zeros_like(good)
+                        np.put_along_axis(best, np.argpartition(-most, first - 1, axis=1)[:, :first], True, axis=1)
+                        good &= best
+                    i, j = np.nonzero(good)
+                    out.append((part[i], blocks[j], most[i, j]))
+            if out:
+                i, b, m = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(i)), pa.array(b), pa.array(m)], ["query_id", "block", "bound"])
 
     near = met.select("query_id", "vector", "floor", "pack", "blocks", *HEAD).mapInArrow(run, f"query_id {kind}, block long, bound double")
     return near if first is None else top_k(near.withColumnRenamed("bound", "score"), ["query_id"], "block", first).select("query_id", "block")

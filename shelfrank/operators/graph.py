@@ -15,6 +15,9 @@ from shelfrank.sources.shared import bucketed, cut, if_small, numbered
 #: A layer is sent to all tasks if it has at most so many numbers.
 SENT_VALUES = 4_000_000
 
+#: Items of a block, and blocks that a user reads first.
+ITEM_BLOCK, FIRST_BLOCKS = 4096, 2
+
 #: A source with more edges is split into parts of so many.
 HEAD = 16_384
 
@@ -48,25 +51,35 @@ def normalized(edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Walk:
-    """Normalised edges (src, part, dst, w) in buckets of (src, part), and the sources that have several parts (src, parts)."""
+    """Normalised edges (src, part, dst, w) in buckets of (src, part), and the sources that have several parts (src, parts).
+
+    Where layers are small enough to be sent to the edges there are neither parts nor heads.
+    """
 
     edges: DataFrame
-    heads: DataFrame
+    heads: DataFrame | None
+
+
+def _few(nodes: DataFrame, dims: int) -> bool:
+    """Whether a layer of these nodes is sent to all tasks."""
+    return nodes.count() <= SENT_VALUES // max(dims, 1)
 
 
-def walk_of(edges: DataFrame) -> Walk:
+def walk_of(edges: DataFrame, few: bool = False) -> Walk:
     """Edges as layers pass over them. A source of many edges is split into parts of about HEAD edges by their other ends."""
     walk = cut(normalized(edges))
+    if few:
+        return Walk(walk, None)
     counts = walk.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HEAD)
     heads = cut(counts.select("src", F.ceil(F.col("n") / F.lit(HEAD)).alias("parts")))
     part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
     return Walk(bucketed(walk.join(if_small(heads), "src", "left").select("src", part.alias("part"), "dst", "w"), ["src", "part"]), heads)
 
 
-def _near(walk: Walk, layer: DataFrame, values: int) -> DataFrame:
+def _near(walk: Walk, layer: DataFrame) -> DataFrame:
     """Edges with the values of their sources. A small layer is sent to the edges; a larger one is dealt out as the edges lie, heads once a part."""
     named = layer.withColumnRenamed("node", "src")
-    if layer.count() <= SENT_VALUES // max(values, 1):
+    if walk.heads is None:
         return walk.edges.join(F.broadcast(named), "src")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
     return walk.edges.join(named.join(if_small(walk.heads), "src", "left").withColumn("part", parts).drop("parts"), ["src", "part"])
@@ -75,23 +88,23 @@ def _near(walk: Walk, layer: DataFrame, values: int) -> DataFrame:
 def propagate(edges: DataFrame | Walk, nodes: DataFrame, layers: int = 3) -> DataFrame:
     """node, vector: the mean of the node vectors (node, vector) and of their `layers` smoothings over normalised edges.
 
-    Edges are written once, in buckets of their sources, and stay where they are while layers pass; weighted vectors are summed
+    Edges are written once, for large layers in buckets of their sources, and stay where they are while layers pass; weighted vectors are summed
     in each task before they are shuffled. What no edge reaches has no row in a layer, and the layers meet once, in one sum at
     the end.
     """
     dims = len(nodes.select("vector").first().vector)
-    walk = edges if isinstance(edges, Walk) else walk_of(edges)
     names = [f"x{d}" for d in range(dims)]
     layer = wide = cut(nodes.select("node", *(F.col("vector")[d].cast("double").alias(x) for d, x in enumerate(names))))
+    walk = edges if isinstance(edges, Walk) else walk_of(edges, _few(wide, dims))
     total = wide
     for _ in range(layers):
-        layer = cut(_near(walk, layer, dims).groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names)))
+        layer = cut(_near(walk, layer).groupBy(F.col("dst").alias("node")).agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in names)))
         total = total.unionByName(layer)
     total = total.groupBy("node").agg(*(F.sum(x).alias(x) for x in names)).join(wide.select("node"), "node", "left_semi") if layers else total
     return total.select("node", F.array(*(F.col(x) / (layers + 1) for x in names)).alias("vector"))
 
 
-def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = blocks.BLOCK) -> DataFrame:
+def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int = 10, block: int = ITEM_BLOCK) -> DataFrame:
     """user_id, parent_asin, score, rank: each known user's k best items by dot product, without those seen; ties by id.
 
     Items lie in blocks of `block` in the order of their norms. A user reads the blocks that promise most, then only those whose
@@ -106,7 +119,7 @@ def graph_top_k(vectors: DataFrame, users: DataFrame, seen: DataFrame, k: int =
     own = vectors.where(F.col("node").startswith("u:")).select(name.alias("query_id"), "vector").join(users.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi")
     items = vectors.where(F.col("node").startswith("i:")).select(name.alias("id"), "vector")
     masked = seen.select(F.col("user_id").alias("query_id"), F.col("parent_asin").alias("id")).join(users.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi")
-    found = blocks.search_blocks(blocks.norm_blocks(items, block), own, k, masked).rows
+    found = blocks.search_blocks(blocks.norm_blocks(items, block), own, k, masked, FIRST_BLOCKS).rows
     return found.select(F.col("query_id").alias("user_id"), F.col("id").alias("parent_asin"), "score", "rank")
 
 
@@ -168,8 +181,9 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     edges = cut(build_graph(train))
     start = lambda d: ((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(d)), F.lit(2_000_003)) / 2_000_003.0) - 0.5) * 0.2
     names = [f"x{d}" for d in range(dims)]
-    walk = walk_of(edges)
     nodes = cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.array(*(start(d) for d in range(dims))).alias("vector")))
+    few = _few(nodes, dims)
+    walk = walk_of(edges, few)
     zero = F.array(*[F.lit(0.0)] * dims)
     state = nodes.select("node", "vector", zero.alias("m"), zero.alias("v"))
     pairs = train.select("user_id", "parent_asin").distinct()
@@ -180,7 +194,6 @@ def train_lightgcn(train: DataFrame, dims: int = 8, layers: int = 3, epochs: int
     for epoch in range(epochs):
         final = cut(propagate(walk, state.select("node", "vector"), layers))
         sampled = sample_negatives(pairs, items, seed, epoch).select(user_node("user_id").alias("u"), item_node("parent_asin").alias("p"), item_node("negative").alias("q"))
-        few = final.count() <= SENT_VALUES // dims
         look = lambda name: (F.broadcast if few else lambda x: x)(final.select(F.col("node").alias(name), F.col("vector").alias(f"{name}v")))
         met = sampled.join(look("u"), "u").join(look("p"), "p").join(look("q"), "q")
         dot = F.aggregate(zip_("uv", zip_("pv", "qv", lambda a, b: a - b), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -58,7 +58,7 @@ def test_a_source_with_half_of_all_edges_is_split(spark, monkeypatch):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = graph._near(walk, layer, 1)._jdf.queryExecution().executedPlan().toString()
+        plan = graph._near(walk, layer)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "Bucketed: true" in plan

@@ -19,6 +19,7 @@ def one(spark, values, f, kind="string"):
 
 def test_cleaning(spark):
     assert one(spark, ["  a ", "   ", None, ""], t.norm_text) == ["a", None, None, None]
+    assert one(spark, ["\u3000\u00a0é\u2003x\u0085\t", "\u2028\u205f", "\u00e9", "\x1c a"], t.norm_text) == ["é\u2003x", None, "é", "\x1c a"]
     assert one(spark, ["$1,299.99", "12.5", None, "free", "about 7"], t.parse_price) == [1299.99, 12.5, None, None, 7.0]
     assert one(spark, [[" a", "", None], None], t.norm_list, "array<string>") == [["a"], []]
     assert one(spark, ["  Straße "], t.norm_key) == ["strasse"]
