@@ -29,6 +29,12 @@ IDS = 1_000_000
 #: In buckets of up to so many classes every two are held against each other, in larger ones by their rarest shingles.
 PAIRED = 12
 
+#: Sizes of sets are parted into classes by this factor.
+WIDTH = 1.03
+
+#: Rows of a shingle and two size classes that meet in one task.
+CELL = 4096
+
 _NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
 
 #: Components need more rounds than this only if a chain of links is longer than 2 to this power.
@@ -173,13 +179,52 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("links form longer chains than can be")
 
 
+def _length_class(n):
+    """The class of a set's size: sizes of one class differ by a factor of WIDTH at most."""
+    return F.floor(F.log(n.cast("double")) / math.log(WIDTH) + 1e-9)
+
+
+def _least_size(c):
+    """No size of the class is below this."""
+    return F.floor(F.pow(F.lit(WIDTH), c) * (1 - 1e-6))
+
+
+def meetings(early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, id2) of rows (gram, id, component, n, place) of a common gram and different components, at which enough is left.
+
+    Two sets of n and m shingles need percent / (100 + percent) * (n + m) in common, so how late a gram may stand in a set
+    depends on the size of the other one. The rows of a gram are therefore parted by the size classes of both sides, and a
+    row enters only the parts of those classes for which it stands early enough. Of equal sizes that is about half of what
+    may stand first for any size, and exactly so much that sets which agree in too few shingles, all of them the same ones,
+    don't meet at all. A part with many rows is dealt into a grid of cells.
+    """
+    enough = lambda m: (F.col("n") - F.col("place") + 1) * (100 + percent) >= percent * (F.col("n") + m)
+    own = _length_class(F.col("n"))
+    largest, smallest = F.floor(F.col("n") * 100 / percent), F.ceil(F.col("n") * percent / 100)
+    key = ["gram", "c", "c2"]
+    low = early.select("*", own.alias("c"), F.explode(F.sequence(own, _length_class(largest))).alias("c2")).where(enough(_least_size(F.col("c2"))))
+    high = early.select("*", F.explode(F.sequence(_length_class(smallest), own)).alias("c"), own.alias("c2")).where(enough(F.greatest(_least_size(F.col("c")), smallest)))
+    sides = low.select(*key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(high.select(*key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counted = sides.groupBy(*key).agg(F.sum("a").alias("rows"), F.sum("b").alias("columns")).where((F.col("rows") > CELL) & (F.col("columns") > 0) | (F.col("columns") > CELL) & (F.col("rows") > 0))
+    grids = if_small(cut(counted.select(*key, F.ceil(F.col("rows") / CELL).alias("rows"), F.ceil(F.col("columns") / CELL).alias("columns"))))
+    rows, columns = F.coalesce("rows", F.lit(1)), F.coalesce("columns", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n.cast("long"))
+    low = low.join(grids, key, "left").select(*key, "id", "component", "n", "place", mine(rows).alias("row"), every(columns).alias("column"))
+    high = high.join(grids, key, "left").select(*key, *(F.col(x).alias(f"{x}2") for x in ("id", "component", "n", "place")), every(rows).alias("row"), mine(columns).alias("column"))
+    left_over = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    once = (F.col("component") < F.col("component2")) | (F.col("c") < F.col("c2")) & (F.col("component") != F.col("component2"))
+    return low.join(high, [*key, "row", "column"]).where(once & left_over).select("id", "id2")
+
+
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members (id, component) of different components, among them all that are as similar as asked for.
 
     The shingles of every member are ranked by the number of members that hold them, the rarest first; equal numbers by hash.
     A similar pair has `need` shingles in common at least, so the first of these has need - 1 behind it in either ranking:
-    the pair meets at a shingle that stands early in both, and at which enough are left. What a member holds alone comes
-    first and meets nobody, so a member with many words of its own makes no pairs at all, whatever the size of its group.
+    the pair meets at a shingle that stands early in both, and at which enough are left, see meetings(). What a member holds
+    alone comes first and meets nobody, so a member with many words of its own makes no pairs at all, whatever the size of
+    its group.
     """
 
     def run(batches):
@@ -198,11 +243,8 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     early = held.join(common, "gram").withColumn("place", place).where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent)
     early = cut(early.join(members, "id").select("gram", "id", "component", "n", "place"))
     several = early.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
-    early = early.join(several, "gram", "left_semi")
-    other = early.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")))
-    left_over = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    pairs = early.join(other, "gram").where((F.col("component") < F.col("component2")) & left_over)
-    return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    early = cut(early.join(several, "gram", "left_semi"))
+    return meetings(early, percent).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:

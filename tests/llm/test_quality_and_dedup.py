@@ -153,3 +153,29 @@ def test_rarest_shingles_meet_every_similar_pair(spark, percent):
     sets = {d: shingles(t, 3) for d, t in texts.items()}
     expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert expected and linked == expected <= made
+
+
+def early_rows(spark, sets):
+    """(gram, id, component, n, place) of every shingle, each set its own component, in one order of all grams."""
+    holders = Counter(g for s in sets.values() for g in s)
+    rows = [(g, i, i, len(s), p) for i, s in sets.items() for p, g in enumerate(sorted(s, key=lambda g: (holders[g], g)), 1)]
+    return spark.createDataFrame(rows, "gram long, id long, component long, n long, place long")
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_meetings_by_size_classes_lose_no_pair(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    rnd = random.Random(cell)
+    base = list(range(300))
+    sets = {i: {g for g in base[: rnd.choice([1, 2, 7, 30, 33, 40, 240, 250, 280, 300])] if rnd.random() > 0.04} | {1000 + rnd.randrange(40) for _ in range(rnd.randrange(4))} for i in range(120)}
+    sets = {i: s for i, s in sets.items() if s}
+    for percent in (80, 85):
+        met = {tuple(sorted(r)) for r in near_dedup.meetings(early_rows(spark, sets), percent).collect()}
+        similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert similar and similar <= met and all(a != b for a, b in met)
+
+
+def test_sets_that_share_the_same_too_few_shingles_do_not_meet(spark):
+    sets = {i: set(range(100)) | {1000 * (i + 1) + j for j in range(9)} for i in range(300)}  # 100 of 118: below 0.85
+    assert near_dedup.meetings(early_rows(spark, sets), 85).count() == 0
+    assert near_dedup.meetings(early_rows(spark, {i: set(range(100)) | {1000 * (i + 1) + j for j in range(8)} for i in range(3)}), 85).select("id", "id2").distinct().count() == 3
