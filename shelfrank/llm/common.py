@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,24 @@ def take_turn(name: str) -> None:
             clear()
 
 
+def in_turn(name: str, run: Callable) -> Callable:
+    """run (of batches) as a task that takes its turn and, when it ends, gives freed memory back to the system.
+
+    A worker stays for a while after its last task; without this it would keep the most that it ever held, beside the JVM's
+    memory in the next stage.
+    """
+
+    def whole_task(batches):
+        take_turn(name)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc do without it
+        if trim:
+            trim(0)
+
+    return whole_task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from shelfrank.llm.common import cut, if_small, LOWER, mix, shingle_hashes, ship, SPACE, take_turn, texts, unused, word_bounds, word_hashes
+from shelfrank.llm.common import cut, if_small, in_turn, LOWER, mix, shingle_hashes, ship, SPACE, texts, unused, word_bounds, word_hashes
 
 #: Coordinates of a sketch.
 COORDINATES = 120
@@ -96,7 +96,6 @@ def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
     bands = COORDINATES // r
 
     def run(batches):
-        take_turn("near_dedup")
         for batch in batches:
             sizes, same, out, bits = [], [], [], []
             for data in texts(batch.column("text")):
@@ -117,7 +116,7 @@ def _sketched(docs: DataFrame, k: int, r: int) -> DataFrame:
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(out, lists), pa.array(bits, lists)], ["doc_id", "n_shingles", "same", "bands", "nibbles"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<bigint>, nibbles array<bigint>")
+    return docs.mapInArrow(in_turn("near_dedup", run), "doc_id long, n_shingles long, same binary, bands array<bigint>, nibbles array<bigint>")
 
 
 def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,12 +125,11 @@ def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.where("doc_id is not null").join(places, "doc_id")
 
     def run(batches):
-        take_turn("near_dedup")
         for batch in batches:
             own = pa.array([_digest(_normal(data, word_bounds(data)[0])) == i.as_py() for data, i in zip(texts(batch.column("text")), batch.column("id"))], pa.bool_())
             yield batch.filter(own)
 
-    return found.select("id", "text").mapInArrow(run, "id binary, text string").dropDuplicates(["id"])
+    return found.select("id", "text").mapInArrow(in_turn("near_dedup", run), "id binary, text string").dropDuplicates(["id"])
 
 
 def _shingles(text: bytes, k: int) -> set:
@@ -146,7 +144,6 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     both = pairs.join(text.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batches):
-        take_turn("near_dedup")
         last, known = None, set()
         for batch in batches:
             linked = []
@@ -158,7 +155,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
                 linked.append(100 * common >= percent * (len(x) + len(known) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(in_turn("near_dedup", run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,7 +225,6 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     """
 
     def run(batches):
-        take_turn("near_dedup")
         for batch in batches:
             for data, i in zip(texts(batch.column("text")), batch.column("id")):
                 own = np.unique(shingle_hashes(word_hashes(LOWER[data], *word_bounds(data)), k)).view(np.int64)
@@ -236,7 +232,7 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                     part = own[j : j + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), pa.binary()), pa.array(np.full(len(part), len(own))), pa.array(part)], ["id", "n", "gram"])
 
-    held = cut(texts_of(members.select("id"), classes, docs).mapInArrow(run, "id binary, n long, gram long"))
+    held = cut(texts_of(members.select("id"), classes, docs).mapInArrow(in_turn("near_dedup", run), "id binary, n long, gram long"))
     common = held.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
     by_id = W.partitionBy("id")
     place = F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("holders", "gram"))
@@ -343,12 +339,11 @@ def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own, schema = docs.columns, StructType([*docs.schema.fields, StructField(same, BinaryType())])
 
     def run(batches):
-        take_turn("near_dedup")
         for batch in batches:
             found = [_digest(_normal(data, starts)) if len(starts := word_bounds(data)[0]) else None for data in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*own, same])
 
-    worded = docs.join(several, here, "left_semi").mapInArrow(run, schema)
+    worded = docs.join(several, here, "left_semi").mapInArrow(in_turn("near_dedup", run), schema)
     stays = groups.join(several, of, "left_semi").where("kept").select(of, words).distinct()
     left = worded.join(stays, here & F.col(same).eqNullSafe(F.col(words)), "left_semi").dropDuplicates(["doc_id", same])
     return single.unionByName(left.select(*(F.col(f"`{c}`") for c in own)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import ship, shingle_hashes, take_turn, texts, word_bounds, word_hashes
+from shelfrank.llm.common import in_turn, ship, shingle_hashes, texts, word_bounds, word_hashes
 
 #: Fixed values of the base rule.
 MIN_WORDS = 50
@@ -89,14 +89,13 @@ def _featured(rows: DataFrame) -> DataFrame:
     """doc_id, label and packed features of labelled rows."""
 
     def run(batches):
-        take_turn("quality")
         for batch in batches:
             packed = []
             for data in texts(batch.column("text")):
                 packed.append(features(data, word_hashes(data, *word_bounds(data))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "x"])
 
-    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x binary")
+    return rows.select("doc_id", "label", "text").mapInArrow(in_turn("quality", run), "doc_id long, label int, x binary")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarray:
@@ -157,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model
                 columns = [pa.array([model.weights.astype(np.float64).tobytes()]), pa.array([model.slope]), pa.array([model.offset])]
                 yield pa.RecordBatch.from_arrays(columns, ["weights", "slope", "offset"])
 
-    made = featured.repartition(1).mapInArrow(run, "weights binary, slope double, offset double").first()
+    made = featured.repartition(1).mapInArrow(in_turn("quality", run), "weights binary, slope double, offset double").first()
     return Model(np.frombuffer(made.weights), made.slope, made.offset) if made else None
 
 
@@ -175,7 +174,6 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), own])
 
     def run(batches):
-        take_turn("quality")
         for batch in batches:
             rows = []
             for data in texts(batch.column("text")):
@@ -190,4 +188,4 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *names])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(in_turn("quality", run), schema)
