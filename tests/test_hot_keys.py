@@ -98,3 +98,19 @@ def test_a_saved_model_keeps_its_configuration(spark, tmp_path):
     one = spark.createDataFrame([("u:1", [1.0])], "node string, vector array<double>")
     graph.save_embeddings(one, one, one, str(tmp_path / "m"), {"dims": 8, "lr": 0.1})
     assert graph.load_config(spark, str(tmp_path / "m")) == {"dims": 8, "lr": 0.1}
+
+
+def test_copies_of_a_title_are_scored_once(spark):
+    from shelfrank.operators.lexical import build_lexical_index, bm25_search
+
+    texts = ["red bolt", "bolt red", "blue bolt bolt", "blue nut", ""]
+    docs = spark.createDataFrame([(f"d{i:03d}", texts[i % 5]) for i in range(200)], "doc_id string, text string")
+    index = build_lexical_index(docs)
+    assert index.postings.count() == 6 and index.docs.count() == 200
+    asked = spark.createDataFrame([(i, ["red bolt", "Bolt red", "nut"][i % 3]) for i in range(9)], "query_id int, query string")
+    for k in (3, 100):
+        got = {}
+        for r in bm25_search(index, asked, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.doc_id)
+        red, bolts, nuts = ([f"d{i:03d}" for i in range(200) if i % 5 in of] for of in ((0, 1), (2,), (3,)))
+        assert all(got[i] == ((red + bolts)[:k] if i % 3 < 2 else nuts[:k]) for i in range(9))
