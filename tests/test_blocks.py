@@ -76,3 +76,18 @@ def test_a_block_that_all_queries_want_is_met_in_parts(spark, monkeypatch):
     rnd = np.random.default_rng(2)
     v, q = rnd.normal(size=(30, 4)), rnd.normal(size=(95, 4))
     assert rows(blocks.search_blocks(blocks.norm_blocks(frame(spark, v, "id"), 30), frame(spark, q, "query_id", "q"), 3)) == brute(v, q, 3)
+
+
+def test_users_of_a_flat_graph_read_few_blocks(spark, monkeypatch):
+    from shelfrank.operators import graph
+
+    rnd = np.random.default_rng(8)
+    items, users = rnd.normal(size=(2000, 2)), rnd.normal(size=(60, 2))
+    nodes = [(f"{kind}:{i:04d}", [float(x) for x in row]) for kind, v in (("i", items), ("u", users)) for i, row in enumerate(v)]
+    seen, read = spark.createDataFrame([("0000", "0000")], "user_id string, parent_asin string"), []
+    search = blocks.search_blocks
+    monkeypatch.setattr(blocks, "search_blocks", lambda *args: read.append(search(*args)) or read[0])
+    asked = spark.createDataFrame([(f"{i:04d}",) for i in range(60)], "user_id string")
+    found = graph.graph_top_k(spark.createDataFrame(nodes, "node string, vector array<double>"), asked, seen, 5, block=50).collect()
+    assert sorted(("q" + r.user_id, r.parent_asin, r["rank"]) for r in found) == brute(items, users, 5, {(0, 0)})
+    assert read[0].visits.count() <= 60 * 40 / 8
