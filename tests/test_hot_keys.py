@@ -114,3 +114,31 @@ def test_copies_of_a_title_are_scored_once(spark):
             got.setdefault(r.query_id, []).append(r.doc_id)
         red, bolts, nuts = ([f"d{i:03d}" for i in range(200) if i % 5 in of] for of in ((0, 1), (2,), (3,)))
         assert all(got[i] == ((red + bolts)[:k] if i % 3 < 2 else nuts[:k]) for i in range(9))
+
+
+def test_scores_of_two_blocks_are_summed_in_memory(spark, monkeypatch):
+    """No row a pair of question and bag is shuffled or spilled: blocks give no more than the best of each question."""
+    import math
+
+    from shelfrank.operators import lexical
+
+    monkeypatch.setattr(lexical, "BAG_BLOCK", 7)
+    monkeypatch.setattr(lexical, "ASK_BLOCK", 3)
+    monkeypatch.setattr(lexical, "SUMMED", 5)
+    rnd = np.random.default_rng(3)
+    words = ["a", "b", "c", "d", "e", "f", "g"]
+    texts = [" ".join(rnd.choice(words, rnd.integers(0, 9), p=[0.4, 0.2, 0.15, 0.1, 0.05, 0.05, 0.05])) for _ in range(60)]
+    asks = [" ".join(rnd.choice([*words, "none"], rnd.integers(0, 6))) for _ in range(11)]
+    docs = [t.split() for t in texts]
+    df = {w: sum(w in d for d in docs) for w in words}
+    raw = {w: math.log((60 - n + 0.5) / (n + 0.5)) for w, n in df.items() if n}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    average = sum(map(len, docs)) / 60
+    expected = []
+    for q, ask in enumerate(asks):
+        score = {i: sum(idf[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / average)) for w in ask.split() if w in d) for i, d in enumerate(docs) if set(d) & set(ask.split())}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), f"d{i:02d}"))[:5]
+        expected += [(q, f"d{i:02d}", r + 1, round(score[i], 8)) for r, i in enumerate(best)]
+    index = lexical.build_lexical_index(spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(2))
+    found = lexical.bm25_search(index, spark.createDataFrame(list(enumerate(asks)), "query_id int, query string"), 5)
+    assert sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 8)) for r in found.collect()) == sorted(expected)
