@@ -142,3 +142,17 @@ def test_scores_of_two_blocks_are_summed_in_memory(spark, monkeypatch):
     index = lexical.build_lexical_index(spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(2))
     found = lexical.bm25_search(index, spark.createDataFrame(list(enumerate(asks)), "query_id int, query string"), 5)
     assert sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 8)) for r in found.collect()) == sorted(expected)
+
+
+def test_terms_alone_need_no_index(spark):
+    """The terms equal those of the index, and their counts are all that is written on the way."""
+    from shelfrank.operators import lexical
+    from shelfrank.sources.shared import recorded
+
+    docs = spark.createDataFrame([("a", "Red bolt red"), ("b", "red BOLT red"), ("c", None), ("d", "nut")], "doc_id string, text string")
+    with recorded() as paths:
+        terms = lexical.lexical_terms(docs)
+    assert len(paths) == 1
+    assert sorted(terms.collect()) == sorted(lexical.build_lexical_index(docs).terms.collect())
+    with pytest.raises(ValueError):
+        lexical.lexical_terms(docs.unionByName(docs))
