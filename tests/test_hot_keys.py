@@ -156,3 +156,25 @@ def test_terms_alone_need_no_index(spark):
     assert sorted(terms.collect()) == sorted(lexical.build_lexical_index(docs).terms.collect())
     with pytest.raises(ValueError):
         lexical.lexical_terms(docs.unionByName(docs))
+
+
+def test_edges_never_meet_degrees(spark):
+    """Training rows are grouped once for both directions; a pass joins edges with a layer alone, whose rows are not sorted."""
+    train = spark.createDataFrame([(f"u{i % 20}", f"p{i % 7}") for i in range(90)], "user_id string, parent_asin string")
+    edges = graph.build_graph(train)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        walk = graph.walk_of(edges)
+        assert sorted(walk.edges.select("src", "dst", "w").collect()) == sorted(edges.collect())
+        plan = graph._near(walk, walk.degrees)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    names, step = matrix(edges.collect())
+    e = np.arange(2.0 * len(names)).reshape(-1, 2)
+    nodes = spark.createDataFrame([(n, [float(x) for x in e[i]]) for i, n in enumerate(names)] + [("u:none", [3.0, 6.0])], "node string, vector array<double>")
+    for given in (edges, walk):
+        got = {r.node: r.vector for r in graph.propagate(given, nodes, 2).collect()}
+        assert np.allclose([got[n] for n in names], (e + step @ e + step @ step @ e) / 3) and np.allclose(got["u:none"], [1.0, 2.0])
