@@ -178,3 +178,20 @@ def test_edges_never_meet_degrees(spark):
     for given in (edges, walk):
         got = {r.node: r.vector for r in graph.propagate(given, nodes, 2).collect()}
         assert np.allclose([got[n] for n in names], (e + step @ e + step @ step @ e) / 3) and np.allclose(got["u:none"], [1.0, 2.0])
+
+
+def test_pairs_of_blocks_need_one_worker(spark):
+    """Blocks of vectors are written, so the task that scores them holds no second worker; ragged vectors are an error."""
+    from shelfrank.operators import dense
+
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(50, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(f"v{i:02d}", [float(x) for x in row]) for i, row in enumerate(v)] + [("none", None)], "id string, vector array<float>")
+    asked = rows.where("id < 'v07'").withColumnRenamed("id", "query_id")
+    found = dense.dense_search(rows, asked, 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    scores = v.astype(np.float64) @ v.astype(np.float64).T
+    expected = [(f"v{i:02d}", f"v{j:02d}", r + 1) for i in range(7) for r, j in enumerate(np.argsort(-scores[i], kind="stable")[:3])]
+    assert sorted((r.query_id, r.id, r["rank"]) for r in found.collect()) == sorted(expected)
+    with pytest.raises(Exception, match="same number of dimensions"):
+        dense.dense_search(rows.unionByName(rows.where("id = 'v01'").withColumn("vector", F.array(F.lit(1.0).cast("float")))).coalesce(1), asked, 3).collect()
