@@ -80,6 +80,7 @@ def resolve_products(labels: DataFrame, variants: DataFrame, items: DataFrame) -
     """labels with parent_asin: by variant, or where the product is itself a parent; null if neither."""
     own = items.select(F.col("parent_asin").alias("product_id"), F.col("parent_asin").alias("_own"))
     of = variants.select(F.col("asin").alias("product_id"), F.col("parent_asin").alias("_of"))
+    of, own = of.hint("shuffle_hash"), own.hint("shuffle_hash")  # labels, the many, are not sorted
     return labels.join(of, "product_id", "left").join(own, "product_id", "left").withColumn("parent_asin", F.coalesce("_of", "_own")).drop("_of", "_own")
 
 
@@ -94,13 +95,22 @@ def label_overlap(resolved: DataFrame, locale: str = "us") -> DataFrame:
 
 
 def label_overlap_report(resolved: DataFrame) -> DataFrame:
-    """By locale and split: rows, queries and products, all and matched, rows of each label that matched, and coverage."""
-    rows = resolved.withColumn("hit", F.col("parent_asin").isNotNull())
+    """By locale and split: rows, queries and products, all and matched, rows of each label that matched, and coverage.
+
+    Rows are summed by query, by product and by item in one narrow grouping; the queries' sums hold the rows' own counts.
+    """
+    groups, hit = ["product_locale", "split"], F.col("parent_asin").isNotNull()
+    kinds = {"query": "query_id", "product": "product_id", "item": "parent_asin"}
+    keys = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in kinds.items()))).alias("of")
+    dealt = resolved.select(*groups, hit.alias("hit"), "label", keys).where("of.kind = 'query' or of.key is not null")
     labels = [F.count_if(F.col("hit") & (F.col("label") == x)).alias(f"matched_{x}") for x in LABELS]
-    matched = lambda c: F.count_distinct(F.when(F.col("hit"), F.col(c)))
-    return rows.groupBy("product_locale", "split").agg(
-        F.count("*").alias("rows"), F.count_distinct("query_id").alias("queries"), F.count_distinct("product_id").alias("products"),
-        F.count_if(F.col("hit")).alias("matched_rows"), matched("query_id").alias("matched_queries"), matched("product_id").alias("matched_products"), matched("parent_asin").alias("matched_items"), *labels,
+    each = dealt.groupBy(*groups, F.col("of.kind").alias("kind"), F.col("of.key").alias("key")).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), *labels)
+    total = lambda c: F.sum(F.when(F.col("kind") == "query", F.col(c)))
+    keyed = lambda kind, least: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull() & (F.col("hits") >= least))
+    return each.groupBy(*groups).agg(
+        total("n").alias("rows"), keyed("query", 0).alias("queries"), keyed("product", 0).alias("products"),
+        total("hits").alias("matched_rows"), keyed("query", 1).alias("matched_queries"), keyed("product", 1).alias("matched_products"), keyed("item", 1).alias("matched_items"),
+        *(total(f"matched_{x}").alias(f"matched_{x}") for x in LABELS),
     ).withColumn("query_coverage", F.round(F.col("matched_queries") / F.col("queries"), 6))
 
 

@@ -195,3 +195,17 @@ def test_pairs_of_blocks_need_one_worker(spark):
     assert sorted((r.query_id, r.id, r["rank"]) for r in found.collect()) == sorted(expected)
     with pytest.raises(Exception, match="same number of dimensions"):
         dense.dense_search(rows.unionByName(rows.where("id = 'v01'").withColumn("vector", F.array(F.lit(1.0).cast("float")))).coalesce(1), asked, 3).collect()
+
+
+def test_label_rows_are_not_sorted_or_expanded(spark):
+    """One narrow grouping holds queries, products and items; null keys count as rows alone."""
+    from shelfrank.operators import profile
+
+    rows = [(1, "p1", "us", "train", "E"), (1, "p2", "us", "train", "S"), (2, "p2", "us", "train", "E"), (None, "p1", "us", "train", "I"), (3, None, "us", "train", "C"), (1, "p1", "es", "test", "E")]
+    labels = spark.createDataFrame(rows, "query_id long, product_id string, product_locale string, split string, label string")
+    variants = spark.createDataFrame([("p1", "A")], "asin string, parent_asin string")
+    resolved = profile.resolve_products(labels, variants, spark.createDataFrame([("B",)], "parent_asin string"))
+    report = profile.label_overlap_report(resolved)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortMergeJoin" not in plan
+    assert sorted(tuple(r) for r in report.collect()) == [("es", "test", 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 1.0), ("us", "train", 5, 3, 2, 2, 1, 1, 1, 1, 0, 0, 1, 0.333333)]
