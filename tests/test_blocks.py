@@ -91,3 +91,45 @@ def test_users_of_a_flat_graph_read_few_blocks(spark, monkeypatch):
     found = graph.graph_top_k(spark.createDataFrame(nodes, "node string, vector array<double>"), asked, seen, 5, block=50).collect()
     assert sorted(("q" + r.user_id, r.parent_asin, r["rank"]) for r in found) == brute(items, users, 5, {(0, 0)})
     assert read[0].visits.count() <= 60 * 40 / 8
+
+
+@pytest.mark.parametrize("listed", [7, 4096])
+def test_metrics_search_for_few_users_and_equal_brute_force(spark, monkeypatch, listed):
+    """Targets that k unseen items of a short list beat need no search; hits are still those of all items."""
+    from shelfrank.operators import graph, popularity
+
+    rnd = np.random.default_rng(11)
+    items, users, k = rnd.normal(size=(1500, 3)), rnd.normal(size=(400, 3)), 5
+    items[7] = items[8]  # a tie
+    order = [[j for _, j in sorted((-round(s, 9), j) for j, s in enumerate(items @ u))] for u in users]
+    rows = []
+    for i, best in enumerate(order):
+        rows += [(f"{i:04d}", f"{j:04d}", "train") for j in best[:6]] + [(f"{i:04d}", f"{best[6]:04d}", "valid")]
+        at = 7 + i % 9 if i % 20 == 0 else int(rnd.integers(100, 1500))  # every twentieth target is one of the best, or nearly
+        rows += [(f"{i:04d}", f"{best[at]:04d}", "test")]
+    rows += [("0001", f"{order[1][8]:04d}", "test"), ("none", "0001", "test"), ("0002", "none", "test")]  # two targets, a user and an item without vectors
+    targets = {(u, p) for u, p, s in rows if s == "test"}
+    rows.append(rows[7])  # a row that is there twice
+    expected = sorted((f"{i:04d}", f"{j:04d}", n) for i, best in enumerate(order) for n, j in enumerate(best[7 : 7 + k], 1) if (f"{i:04d}", f"{j:04d}") in targets)
+    nodes = spark.createDataFrame([(f"{c}:{i:04d}", [float(x) for x in row]) for c, v in (("i", items), ("u", users)) for i, row in enumerate(v)], "node string, vector array<double>")
+    splits = spark.createDataFrame(rows, "user_id string, parent_asin string, split string")
+
+    searched, search = [], blocks.search_blocks
+    monkeypatch.setattr(blocks, "search_blocks", lambda b, queries, *args: searched.append(queries.count()) or search(b, queries, *args))
+    seen = splits.where("split <> 'test'")
+    hits = graph.graph_hits(nodes, splits.where("split = 'test'"), seen, k, block=50, listed=listed)
+    assert sorted(tuple(r) for r in hits.collect()) == expected and len(expected) > 10
+    assert listed < 4096 or searched[0] <= 30
+    got, owners = popularity.evaluate_graph(nodes, splits, "test", k).first(), [u for u, _ in targets]
+    recall = sum(1 / owners.count(u) for u, _, _ in expected) / 401
+    assert (got.users, got.hit_rate, got.recall) == (401, round(len({u for u, _, _ in expected}) / 401, 6), pytest.approx(recall, abs=1e-6)) and searched[-1] <= 30
+
+
+def test_what_is_left_out_is_beaten_beyond_errors_and_unseen(spark):
+    rows = [("a", "t", [1.0, 0.0], [1.0, 0.0], None), ("b", "t", [1.0, 0.0], [1.0, 0.0], [1]), ("c", "t", [1.0, 0.0], [3.0, 0.0], []), ("d", "t", [1.0, 0.0], [2.0 - 1e-9, 5.0], []), ("e", "t", [1.0, 0.0], None, [])]
+    rows += [("f", "t", [1e200, 0.0], [0.0, 0.0], []), ("g", "t", [-1.0, 0.0], [1.0, 0.0], [])]
+    asked = spark.createDataFrame(rows, "query_id string, id string, vector array<double>, target array<double>, places array<int>")
+    listed = [[2.0, 0.0], [2.0, 1.0], [1.0, 0.0], [-3.0, 0.0]]
+    left = lambda listed, k: sorted(r.query_id for r in blocks.not_beaten(asked, listed, k).collect())
+    assert left(listed, 2) == ["b", "c", "d", "f", "g"] and left(listed, 3) == ["a", "b", "c", "d", "f", "g"]
+    assert left([[1e200, 0.0]] * 4, 2) == ["a", "b", "c", "d", "f", "g"]  # errors that are not finite leave all rows in

@@ -86,6 +86,7 @@ def test_propagation_equals_matrices(spark):
     nodes = spark.createDataFrame([(n, [float(x) for x in e[i]]) for i, n in enumerate(names)], "node string, vector array<double>")
     got = {r.node: r.vector for r in graph.propagate(edges, nodes, 2).collect()}
     assert np.allclose([got[n] for n in names], expected)
+    assert sorted(graph.build_graph(train, repeats=False).collect()) == sorted(edges.collect())
 
 
 def test_training_lowers_the_loss_and_recommends_unseen(spark, tmp_path):
